@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def pieces(batch: pa.RecordBatch, text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows whose texts hold about most_bytes at most (one row at least)."""
     start, size = 0, 0
-    for i, n in enumerate(pa.compute.binary_length(batch.column(text)).to_pylist()):
+    for i, n in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
         if size and size + (n or 0) > most_bytes:
             yield batch.slice(start, i - start)
             start, size = i, 0

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from rubrica.llm import quality_rules
+from rubrica.llm import packing, quality_rules, sharding
 
 QUERIES = {
+    "op2_rendezvous": sharding.op2_rendezvous,
     "op6_line_first": quality_rules.op6_line_first,
+    "op10_pattern_packing": packing.op10_pattern_packing,
 }
 ORACLE_SQL = {
     "op6_line_first": quality_rules.ORACLE_SQL,
