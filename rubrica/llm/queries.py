@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rubrica.llm import packing, quality_rules, sharding
+from rubrica.llm import packing, quality_rules, sharding, warc
 
 QUERIES = {
     "op2_rendezvous": sharding.op2_rendezvous,
+    "op5_revisit_archives": warc.op5_revisit_archives,
     "op6_line_first": quality_rules.op6_line_first,
     "op10_pattern_packing": packing.op10_pattern_packing,
 }
