@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rubrica.llm import packing, quality_rules, sharding, warc
+from rubrica.llm import packing, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     "op2_rendezvous": sharding.op2_rendezvous,
+    "op3_segment_scan": toxicity.op3_segment_scan,
     "op5_revisit_archives": warc.op5_revisit_archives,
     "op6_line_first": quality_rules.op6_line_first,
     "op10_pattern_packing": packing.op10_pattern_packing,
