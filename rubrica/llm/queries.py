@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from rubrica.llm import packing, quality_rules, sharding, toxicity, warc
+from rubrica.llm import language, packing, quality, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     "op2_rendezvous": sharding.op2_rendezvous,
     "op3_segment_scan": toxicity.op3_segment_scan,
+    "op4_subword_embeddings": quality.op4_subword_embeddings,
     "op5_revisit_archives": warc.op5_revisit_archives,
     "op6_line_first": quality_rules.op6_line_first,
+    "op7_word_crf": language.op7_word_crf,
     "op10_pattern_packing": packing.op10_pattern_packing,
 }
 ORACLE_SQL = {
