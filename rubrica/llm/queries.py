@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rubrica.llm import language, packing, quality, quality_rules, sharding, toxicity, warc
+from rubrica.llm import jaccard, language, packing, quality, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     "op2_rendezvous": sharding.op2_rendezvous,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_revisit_archives": warc.op5_revisit_archives,
     "op6_line_first": quality_rules.op6_line_first,
     "op7_word_crf": language.op7_word_crf,
+    "op8_signature_trees": jaccard.op8_signature_trees,
     "op10_pattern_packing": packing.op10_pattern_packing,
 }
 ORACLE_SQL = {
