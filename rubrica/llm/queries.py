@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rubrica.llm import jaccard, language, packing, quality, quality_rules, sharding, toxicity, warc
+from rubrica.llm import decontaminate, jaccard, language, packing, quality, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
+    "op1_block_max_wand": decontaminate.op1_block_max_wand,
     "op2_rendezvous": sharding.op2_rendezvous,
     "op3_segment_scan": toxicity.op3_segment_scan,
     "op4_subword_embeddings": quality.op4_subword_embeddings,
