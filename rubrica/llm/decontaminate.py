@@ -2,8 +2,9 @@
 
 Test items, cut into units of at most `unit` words, are an inverted index. Every document is cut into overlapping passages that hold any
 run of `unit` words whole, and each passage is a query: all units whose BM25 score reaches `least` of the score they give themselves are
-retrieved. Impacts are stored as shares of that self-score, so one threshold holds for all units. The sum of a passage's list maxima is
-worked out for many passages at once, as it is where WAND would find no pivot; what remains goes through block-max WAND. A document and
+retrieved. Impacts are stored as shares of that self-score, so one threshold holds for all units. The sums of a passage's list
+maxima, over all units and over spans of them, are worked out for many passages at once: below the threshold WAND would find no pivot. What
+remains goes through block-max WAND. A document and
 an item that meet are then compared word for word: five-word shingles of the item's question and of its answer in the whole document.
 
 The index of a block of items is broadcast: a block holds ITEMS_AT_ONCE items and BYTES_AT_ONCE bytes of text at most, and further blocks
@@ -33,6 +34,7 @@ SHINGLE = 5
 ITEMS_AT_ONCE = 20_000
 BYTES_AT_ONCE = 32 << 20
 POSTINGS_IN_BLOCK = 16
+SPANS = 64
 K1, B = 1.2, 0.75
 
 
@@ -76,6 +78,10 @@ class Index:
         self.units = [[u for u, _ in p] for p in lists.values()]
         self.impacts = [[x for _, x in p] for p in lists.values()]
         self.most = np.asarray([max(p) for p in self.impacts]) if lists else np.zeros(0)
+        # The same by spans of units: a passage whose list maxima would do must also find them together in one span
+        self.spans = np.zeros((len(lists), min(SPANS, max(1, len(units)))), np.float32)
+        for t, (own, x) in enumerate(zip(self.units, self.impacts, strict=True)):
+            np.maximum.at(self.spans[t], np.asarray(own) * self.spans.shape[1] // len(units), np.asarray(x, np.float32))
         self.block_last = [[p[min(i + POSTINGS_IN_BLOCK, len(p)) - 1] for i in range(0, len(p), POSTINGS_IN_BLOCK)] for p in self.units]
         self.block_most = [[max(p[i : i + POSTINGS_IN_BLOCK]) for i in range(0, len(p), POSTINGS_IN_BLOCK)] for p in self.impacts]
 
@@ -172,13 +178,24 @@ class Scanner:
         bound = np.add.reduceat(x.most[term], first) if len(first) else np.zeros(0)
         ends = np.append(first[1:], len(code))
         out: dict[tuple[int, int], float] = {}
-        for i in np.flatnonzero(bound >= self.least - 1e-9):
+        for i in self.hopeful(term, first, ends, np.flatnonzero(bound >= self.least - 1e-9)):
             d = int(passage[first[i]]) // per
             for u, s in x.retrieve(term[first[i] : ends[i]].tolist(), self.least):
                 pair = (d, x.item_of[u])
                 out[pair] = max(s, out.get(pair, 0.0))
         return out
 
+    def hopeful(self, term: np.ndarray, first: np.ndarray, ends: np.ndarray, some: np.ndarray, at_once: int = 40_000) -> Iterator[int]:
+        """Those of the passages `some` whose terms' largest impacts within one span of units add up to enough."""
+        sizes = ends[some] - first[some]
+        part = (np.cumsum(sizes) - sizes) // at_once
+        for own in np.split(some, np.flatnonzero(np.diff(part)) + 1) if len(some) else []:
+            n = ends[own] - first[own]
+            heads = np.cumsum(n) - n
+            flat = np.arange(int(n.sum())) - np.repeat(heads, n) + np.repeat(first[own], n)
+            best = np.add.reduceat(self.x.spans[term[flat]], heads, axis=0).max(1)
+            yield from own[best >= self.least - 1e-4].tolist()
+
     def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, float, float]]:
         """(document, item, score, question overlap, answer overlap) of verified matches."""
         docs = [words_of(t) for t in texts]
