@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rubrica.llm import decontaminate, jaccard, language, packing, quality, quality_rules, sharding, toxicity, warc
+from rubrica.llm import decontaminate, html_text, jaccard, language, packing, quality, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     "op1_block_max_wand": decontaminate.op1_block_max_wand,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_line_first": quality_rules.op6_line_first,
     "op7_word_crf": language.op7_word_crf,
     "op8_signature_trees": jaccard.op8_signature_trees,
+    "op9_tree_model": html_text.op9_tree_model,
     "op10_pattern_packing": packing.op10_pattern_packing,
 }
 ORACLE_SQL = {
