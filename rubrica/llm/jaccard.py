@@ -92,10 +92,10 @@ class Parts:
             parts = differ + differ // 20 + 6
             part = ((s >> U(32)) * U(parts)) >> U(32)
             starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            salt = U((f << 32) + 1)
-            out.append(mixed(np.add.reduceat(s, starts) + mixed(part[starts] + salt * STEP)))
+            salt = U(((f << 32) + 1) * int(STEP) % (1 << 64))
+            out.append(mixed(np.add.reduceat(s, starts) + mixed(part[starts] + salt)))
             if len(starts) <= differ:
-                out.append(mixed(np.asarray([salt * MIX2], U)))
+                out.append(mixed(np.asarray([salt], U)))
         return np.concatenate(out)
 
 
