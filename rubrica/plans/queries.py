@@ -49,7 +49,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = F.create_map(*[F.lit(x) for own in USED.values() for r in own for x in (r, RULES[r].dimension)])
     fixes = F.create_map(*[F.lit(x) for own in USED.values() for r in own for x in (r, f"fix {r}")])
     df = table(spark, sf_dir, "lineitem").withColumn("rule_id", rule)
-    return df.select(by_index(k % 3, TYPES).alias("artifact_type"), F.concat(F.lit("a"), k.cast("string")).alias("path"), "rule_id", by_index(F.col("l_suppkey") % 3, SEVERITIES).alias("severity"), dims[F.col("rule_id")].alias("dimension"), F.concat(F.lit("m"), F.col("l_partkey").cast("string")).alias("message"), fixes[F.col("rule_id")].alias("fix"), ((F.col("rule_id") == "SK001") & (F.col("l_quantity") > 30)).alias("foundational"), F.lit("f.md").alias("file"), F.col("l_linenumber").cast("int").alias("line"), F.lit(None).cast("string").alias("tool_name"), F.lit(None).cast("map<string,string>").alias("meta"))
+    return df.select(by_index(k % 3, TYPES).alias("artifact_type"), F.concat(F.lit("a"), k.cast("string")).alias("path"), "rule_id", by_index(F.col("l_suppkey") % 3, SEVERITIES).alias("severity"), dims[F.col("rule_id")].alias("dimension"), F.concat(F.lit("m"), F.col("l_partkey").cast("string"), F.lit("s"), F.col("l_suppkey").cast("string")).alias("message"), fixes[F.col("rule_id")].alias("fix"), ((F.col("rule_id") == "SK001") & (F.col("l_quantity") > 30)).alias("foundational"), F.lit("f.md").alias("file"), F.col("l_linenumber").cast("int").alias("line"), F.lit(None).cast("string").alias("tool_name"), F.lit(None).cast("map<string,string>").alias("meta"))
 
 
 def cards(spark: SparkSession, sf_dir: str, fixes: bool = False) -> DataFrame:
@@ -105,7 +105,7 @@ art AS (SELECT o_orderkey AS k, {_sql_list(TYPES)}[o_orderkey % 3 + 1] AS artifa
 fnd AS (
   SELECT x.*, v.dimension, v.multiplier, v.cap, v.deflt FROM (
     SELECT 'a' || l_orderkey AS path, [{', '.join(_sql_list(USED[t]) for t in TYPES)}][l_orderkey % 3 + 1][l_partkey % 6 + 1] AS rule_id,
-           {_sql_list(SEVERITIES)}[l_suppkey % 3 + 1] AS severity, 'm' || l_partkey AS message, l_linenumber::INT AS line, l_quantity FROM lineitem) x JOIN {_RULES_SQL} USING (rule_id)),
+           {_sql_list(SEVERITIES)}[l_suppkey % 3 + 1] AS severity, 'm' || l_partkey || 's' || l_suppkey AS message, l_linenumber::INT AS line, l_quantity FROM lineitem) x JOIN {_RULES_SQL} USING (rule_id)),
 ranked AS (
   SELECT *, row_number() OVER w AS i, first_value(severity) OVER w AS first_severity, first_value(message) OVER w AS first_message FROM fnd
   WINDOW w AS (PARTITION BY path, rule_id ORDER BY line, message)),
@@ -215,7 +215,7 @@ def text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 COUNTS_SQL = r"""
 SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::INT AS words, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::INT AS lines,
        (length(regexp_replace(text, '\PL', '', 'g')) = 0 OR (length(regexp_replace(text, '[^a-zA-Z]', '', 'g'))::DOUBLE / length(regexp_replace(text, '\PL', '', 'g')) >= 0.66
-        AND len(list_filter(regexp_split_to_array(lower(text), '[^\pL\pM0-9_]+'), lambda w: regexp_matches(w, '^(der|die|das|und|nicht|wenn|für|eine?[nmr]?|möchte|verwenden|benutzer|oder|dans|pour|une|avec|les|des|cuando|para|los|las|usar|também|quando|não|ou)$'))) < 2)) AS english,
+        AND len(regexp_extract_all(text, '(?i)\b(?:der|die|das|und|nicht|wenn|für|eine?[nmr]?|möchte|verwenden|benutzer|oder|dans|pour|une|avec|les|des|cuando|para|los|las|usar|também|quando|não|ou)\b')) < 2)) AS english,
        length(text)::INT AS units
 FROM documents
 """
