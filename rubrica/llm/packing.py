@@ -171,13 +171,9 @@ def best_fit(hist: np.ndarray, most: int) -> list[Pattern]:
     return [p for group in free for p in group]
 
 
-def pack_histogram(counts: dict[int, int], most: int) -> list[Pattern]:
-    """Patterns that hold every piece of the histogram exactly once."""
-    hist = np.zeros(most + 1, np.int64)
-    for length, n in counts.items():
-        hist[length] = n
-    plan = [Pattern([(most, 1)], int(hist[most]))] if hist[most] else []
-    hist[most] = 0
+def fitted(hist: np.ndarray, most: int, share: float) -> list[Pattern]:
+    """Patterns by least squares, each rounded to `share` of its count and to what the histogram still holds, and best fit for the rest."""
+    hist, plan = hist.copy(), []
     for _ in range(3):  # what rounding left is fitted again by other patterns
         present = np.flatnonzero(hist)
         if hist.sum() < 4 * len(present):
@@ -185,24 +181,46 @@ def pack_histogram(counts: dict[int, int], most: int) -> list[Pattern]:
         pats = enumerate_patterns(present, most)
         if not len(pats):
             break
-        x = fit(pats, hist.astype(float))
+        x = share * fit(pats, hist.astype(float))
         used = 0
-        for i in np.argsort(-x, kind="stable"):
+        # Patterns with a long piece first: what is short fits in anywhere later
+        for i in np.lexsort((-x, -pats[:, 0])):
             k = int(x[i] + 0.5)
-            if not k:
-                break
-            parts = [(int(v), int(m)) for v, m in zip(*np.unique(pats[i][pats[i] > 0], return_counts=True), strict=True)][::-1]
+            parts = [(int(v), int(m)) for v, m in zip(*np.unique(pats[i][pats[i] > 0], return_counts=True), strict=True)][::-1] if k else []
             k = min([k, *(int(hist[v]) // m for v, m in parts)])
             if k:
                 plan.append(Pattern(parts, k))
                 used += k
                 for v, m in parts:
                     hist[v] -= m * k
-        if not used:
+        if not used or share < 1:
             break
     return plan + best_fit(hist, most)
 
 
+#: How much of the fitted counts is fixed before best fit takes over; the plan with the fewest sequences is taken.
+SHARES = (1.0, 0.6, 0.3, 0.1)
+
+
+def pack_histogram(counts: dict[int, int], most: int) -> list[Pattern]:
+    """Patterns that hold every piece of the histogram exactly once."""
+    hist = np.zeros(most + 1, np.int64)
+    for length, n in counts.items():
+        hist[length] = n
+    full = [Pattern([(most, 1)], int(hist[most]))] if hist[most] else []
+    hist[most] = 0
+    # No plan can do with fewer than the tokens, or the pieces of more than half a sequence, ask for
+    least = max(-(-int(hist @ np.arange(most + 1)) // most), int(hist[most // 2 + 1 :].sum()))
+    best: list[Pattern] | None = None
+    for share in SHARES:
+        plan = fitted(hist, most, share)
+        if best is None or sum(p.repeats for p in plan) < sum(p.repeats for p in best):
+            best = plan
+        if sum(p.repeats for p in best) <= least:
+            break
+    return full + best
+
+
 def runs_of(plan: list[Pattern]) -> dict[str, np.ndarray]:
     """The plan as runs, sorted by length and first rank: pieces r0 .. of a length go, `m` to a sequence, to sequences base .. from place `at`."""
     rank: dict[int, int] = {}
