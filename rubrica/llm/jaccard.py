@@ -401,6 +401,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     small_batches(spark)
     if buckets is None:  # about 8 MB of input each; the estimate is Catalyst's and reads nothing
         size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size >= spark._jsparkSession.sessionState().conf().defaultSizeInBytes():  # nothing is known of it
+            size = docs.count() << 11
         buckets = int(min(1 << 20, max(16, size >> 23)))
     met = written(meet(docs, k, num, den, buckets, key, text), "jaccard-met")
     rows = met.where(F.col("kind") == ROW).select(F.col("a").alias("doc_id"), F.col("b").alias("class_id"), F.col("n").alias("n_shingles"))
