@@ -5,8 +5,9 @@
    that is equal and not empty. Equal parts meet in a shuffle of (part hash, class) pairs, packed into blobs; every map task sends one class for each
    part hash and notes the rest as edges, so a part that millions share arrives a few times. The few sets with too many empty parts all
    meet under one hash for their sizes. This loses no pair.
-3. Classes that meet form candidate clusters (connected components). A cluster is one tile, a large cluster is dealt into blocks and every
-   two blocks are a tile.
+3. Classes that meet in a band of sizes form that band's candidate clusters (connected components), so a passage that texts of all lengths
+   share makes no cluster of all of them. A cluster is one tile, a large cluster is dealt into blocks and every two blocks are a tile. A pair is
+   looked at in the band of its smaller set only.
 4. In a tile, sets are the leaves of a signature tree: nodes hold the OR of their sets' bitmaps, their size range and how far a set's
    size exceeds its bits. Two nodes are compared only if sets below them could overlap enough; leaves that remain are intersected exactly.
 5. Links give the components of the classes, and the smallest id in each.
@@ -83,20 +84,26 @@ class Parts:
             self.last.append((self.last[-1] + 1) * self.den // self.num)
         return int(np.searchsorted(self.last, n))
 
-    def hashes(self, s: np.ndarray) -> np.ndarray:
-        """The part hashes of a set."""
+    def hashes(self, s: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(band, part hashes) of a set, for its own band and the one below."""
         own = self.band(len(s))
-        out = []
+        told = []
         for f in {own, max(1, own - 1)}:
             differ = self.last[f] * (self.den - self.num) // self.num
             parts = differ + differ // 20 + 6
             part = ((s >> U(32)) * U(parts)) >> U(32)
             starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             salt = U(((f << 32) + 1) * int(STEP) % (1 << 64))
-            out.append(mixed(np.add.reduceat(s, starts) + mixed(part[starts] + salt)))
+            out = [mixed(np.add.reduceat(s, starts) + mixed(part[starts] + salt))]
             if len(starts) <= differ:
                 out.append(mixed(np.asarray([salt], U)))
-        return np.concatenate(out)
+            told.append((f, np.concatenate(out)))
+        return told
+
+
+def band_mark(f: int) -> int:
+    """What turns a class into its node of band f, by exclusive or."""
+    return int(signed(mixed(np.asarray([f], U)))[0])
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -127,7 +134,7 @@ ROW, EDGE, BLOB = 0, 1, 2
 
 
 def meet(docs: DataFrame, k: int, num: int, den: int, buckets: int, key: str, text: str) -> DataFrame:
-    """Rows of kind ROW (a: id, b: class, n: set size) and EDGE (a, b: classes that share a part)."""
+    """Rows of kind ROW (a: id, b: class, n: set size) and EDGE (a, b: nodes that share a part; a node is a class in a band)."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Parts(num, den)
@@ -157,10 +164,10 @@ def meet(docs: DataFrame, k: int, num: int, den: int, buckets: int, key: str, te
                     if c in seen:
                         continue
                     seen.add(c)
-                    x = parts.hashes(s)
-                    hashes.append(x)
-                    keys.append(np.full(len(x), c, np.int64))
-                    held += len(x)
+                    for f, x in parts.hashes(s):
+                        hashes.append(x)
+                        keys.append(np.full(len(x), c ^ band_mark(f), np.int64))
+                        held += len(x)
                 deal = [0 if c is None else c % buckets for c in classes]
                 yield met_rows(ROW, len(classes), bucket=deal, a=ids, b=pa.array(classes, pa.int64()), n=sizes)
                 if held > 2_000_000:
@@ -231,21 +238,21 @@ def bits_for(sizes: list[int]) -> int:
     return int(min(1 << 15, max(512, 1 << int(np.ceil(np.log2(8 * max(1.0, float(np.median(sizes)))))))))
 
 
-def linked(x: Tree, y: Tree, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in x.order, y.order) of all linked pairs by dual traversal; for x is y, each pair once."""
+def linked(x: Tree, y: Tree, num: int, den: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in x.order, y.order) of all linked pairs by dual traversal; for x is y, each pair once. One set of a pair has `limit` shingles at most."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
     same = x is y
     stack = [(x.root, y.root)]
     while stack:
         u, v = stack.pop()
-        if den * x.high[u] < num * y.low[v] or den * y.high[v] < num * x.low[u]:
+        if den * x.high[u] < num * y.low[v] or den * y.high[v] < num * x.low[u] or min(x.low[u], y.low[v]) > limit:
             continue
         need = -(-num * (x.low[u] + y.low[v]) // (num + den))
         common = int(np.bitwise_count(x.union[u] & y.union[v]).sum())
         if min(x.slack[u], y.slack[v]) + common < need:
             continue
         if x.below[u] is None and y.below[v] is None:
-            i, j = leaf_pairs(x, y, u, v, num, den, same)
+            i, j = leaf_pairs(x, y, u, v, num, den, same, limit)
             if len(i):
                 out.append((i, j))
         elif y.below[v] is None or (x.below[u] is not None and x.span[u][1] - x.span[u][0] >= y.span[v][1] - y.span[v][0] and not (same and u == v)):
@@ -260,13 +267,13 @@ def linked(x: Tree, y: Tree, num: int, den: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
 
 
-def leaf_pairs(x: Tree, y: Tree, u: int, v: int, num: int, den: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+def leaf_pairs(x: Tree, y: Tree, u: int, v: int, num: int, den: int, same: bool, limit: int) -> tuple[np.ndarray, np.ndarray]:
     (a, b), (c, d) = x.span[u], y.span[v]
     nx, ny = x.n[a:b, None], y.n[None, c:d]
     need = -(-num * (nx + ny) // (num + den))
     common = np.bitwise_count(x.maps[a:b, None, :] & y.maps[None, c:d, :]).sum(2, dtype=np.int64)
     maybe = np.minimum(x.over[a:b, None], y.over[None, c:d]) + common >= need
-    maybe &= np.minimum(nx, ny) >= need
+    maybe &= (np.minimum(nx, ny) >= need) & (np.minimum(nx, ny) <= limit)
     if same and u == v:
         maybe &= np.arange(a, b)[:, None] < np.arange(c, d)[None, :]
     i, j = np.nonzero(maybe)
@@ -284,16 +291,16 @@ def leaf_pairs(x: Tree, y: Tree, u: int, v: int, num: int, den: int, same: bool)
     return a + i[ok], c + j[ok]
 
 
-def tile_links(keys: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places of linked sets: within the tile if it has one side, else across its sides."""
+def tile_links(keys: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, num: int, den: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of linked sets, the smaller of `limit` shingles at most: within the tile if it has one side, else across its sides."""
     bits = bits_for([len(s) for s in sets])
     if sides.min() == sides.max():
         t = Tree(sets, bits)
-        i, j = linked(t, t, num, den)
+        i, j = linked(t, t, num, den, limit)
         return t.order[i], t.order[j]
     left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
     x, y = Tree([sets[i] for i in left], bits), Tree([sets[i] for i in right], bits)
-    i, j = linked(x, y, num, den)
+    i, j = linked(x, y, num, den, limit)
     return left[x.order[i]], right[y.order[j]]
 
 
@@ -329,11 +336,11 @@ def hinted(df: DataFrame, rows: int) -> DataFrame:
 
 
 def verify(docs: DataFrame, wanted: DataFrame, rows: int, k: int, num: int, den: int, key: str, text: str) -> DataFrame:
-    """(key, root, links, classes) of each class that links with another in a tile. wanted: (id, key, members, cluster, block, blocks) of each candidate class."""
+    """(key, root, links, classes) of each class that links with another in a tile. wanted: (id, key, members, cluster, top, block, blocks) of each candidate class; top: the largest size of the cluster's band."""
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["cluster", "i", "j", "side", "key", "members", "shingles"]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["cluster", "i", "j", "side", "key", "members", "top", "shingles"]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for whole in batches:
             for b in cut(whole, "t", 1 << 20):
                 out = []
@@ -343,7 +350,7 @@ def verify(docs: DataFrame, wanted: DataFrame, rows: int, k: int, num: int, den:
                         continue  # the row shares its id with the one that is wanted
                     data, own = s.tobytes(), r["block"]
                     for other in range(r["blocks"]):
-                        out.append((r["cluster"], min(own, other), max(own, other), int(own > other), r["key"], r["members"], data))
+                        out.append((r["cluster"], min(own, other), max(own, other), int(own > other), r["key"], r["members"], r["top"], data))
                         if len(out) >= 500:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
                             out = []
@@ -351,7 +358,7 @@ def verify(docs: DataFrame, wanted: DataFrame, rows: int, k: int, num: int, den:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held, done = None, {}, []
+        tile, held, done, limit = None, {}, [], 0
 
         def close():
             if len(held) < 2:
@@ -360,7 +367,7 @@ def verify(docs: DataFrame, wanted: DataFrame, rows: int, k: int, num: int, den:
             sides, members, sets = (list(x) for x in zip(*held.values(), strict=True))
             if tile[1] != tile[2] and len(set(sides)) < 2:
                 return
-            i, j = tile_links(keys, sets, np.asarray(sides), num, den)
+            i, j = tile_links(keys, sets, np.asarray(sides), num, den, limit)
             if not len(i):
                 return
             m = np.asarray(members)
@@ -378,10 +385,10 @@ def verify(docs: DataFrame, wanted: DataFrame, rows: int, k: int, num: int, den:
                 done.clear()
 
         for b in batches:
-            for c, i, j, side, key_, m, s in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for c, i, j, side, key_, m, top, s in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if (c, i, j) != tile:
                     close()
-                    tile, held = (c, i, j), {}
+                    tile, held, limit = (c, i, j), {}, top
                 held[key_] = (side, m, np.frombuffer(s, U))
             if len(done) > 500:
                 yield from emit()
@@ -390,8 +397,8 @@ def verify(docs: DataFrame, wanted: DataFrame, rows: int, k: int, num: int, den:
 
     slim = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     match = slim["k"].eqNullSafe(wanted["id"])
-    sent = slim.join(hinted(wanted, rows), match).select("t", "key", "members", "cluster", "block", "blocks")
-    tiles = sent.mapInArrow(ship, "cluster long, i int, j int, side int, key long, members long, shingles binary")
+    sent = slim.join(hinted(wanted, rows), match).select("t", "key", "members", "cluster", "top", "block", "blocks")
+    tiles = sent.mapInArrow(ship, "cluster long, i int, j int, side int, key long, members long, top long, shingles binary")
     return tiles.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(compare, FOUND)
 
 
@@ -407,17 +414,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     met = written(meet(docs, k, num, den, buckets, key, text), "jaccard-met")
     rows = met.where(F.col("kind") == ROW).select(F.col("a").alias("doc_id"), F.col("b").alias("class_id"), F.col("n").alias("n_shingles"))
     edges = met.where(F.col("kind") == EDGE).select("a", "b")
-    classes = rows.where("class_id IS NOT NULL").groupBy(F.col("class_id").alias("key")).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("members"))
+    classes = rows.where("class_id IS NOT NULL").groupBy(F.col("class_id").alias("key")).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("members"), F.first("n_shingles").alias("n"))
     clusters = components(edges)
     sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
     blocks = F.ceil(F.col("_n") / F.lit(BLOCK)).cast("int")
-    wanted = clusters.join(sizes, "label").join(classes, F.col("node") == F.col("key")).select("id", "key", "members", F.col("label").alias("cluster"), F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
+    # The nodes of a class: itself in its own band and in the one below
+    parts = Parts(num, den)
+    parts.band(1 << 40)
+    last = F.array(*[F.lit(x).cast("long") for x in parts.last])
+    own = F.size(F.filter(last, lambda x: x < F.col("n")))
+    marks = F.array(*[F.lit(band_mark(f)).cast("long") for f in range(len(parts.last))])
+    bands = F.array_distinct(F.array(own, F.greatest(own - 1, F.lit(1))))
+    nodes = classes.withColumn("band", F.explode(bands)).select("id", "key", "members", F.get(last, F.col("band")).alias("top"), F.col("key").bitwiseXOR(F.get(marks, F.col("band"))).alias("node"))
+    wanted = clusters.join(sizes, "label").join(nodes, "node").select("id", "key", "members", F.col("label").alias("cluster"), "top", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
     wanted = written(wanted, "jaccard-wanted")
     found = written(verify(docs, wanted, wanted.count(), k, num, den, key, text), "jaccard-found")
-    links = found.groupBy("key").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
-    if wanted.where("blocks > 1").limit(1).count():
+    # A class may link in several tiles: its roots there are one component
+    links = found.groupBy("key").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("root").alias("other"))
+    if links.where("root <> other").limit(1).count():
         labels = components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("key"), F.col("label").alias("root"))
         links = links.drop("root").join(labels, "key")
+    links = links.drop("other")
     tops = links.join(classes, "key").groupBy("root").agg(F.min("id").alias("top"))
     told = classes.join(links.join(tops, "root"), "key", "left").where("members > 1 OR links IS NOT NULL").select("key", F.coalesce("top", "id").alias("top"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
     out = rows.join(told, F.col("class_id") == F.col("key"), "left")
