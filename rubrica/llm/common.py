@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -97,5 +97,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(bounded), "doc_id")
 
 
+#: How to empty each operator's per-worker cache.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(name: str) -> None:
+    """Empties the caches that other operators left in this worker, which Spark hands from one stage to the next."""
+    for other, empty in CACHES.items():
+        if other != name:
+            empty()
+
+
 def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)

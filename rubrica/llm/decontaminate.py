@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import small_batches
+from rubrica.llm.common import keep_only, small_batches
 from rubrica.llm.common import pieces as cut
 
 WORD = re.compile(r"\w+")
@@ -270,6 +270,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, over
         told = spark.sparkContext.broadcast(Index(block, df, whole["n"], whole["words"] / max(1, whole["n"]), unit))
 
         def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+            keep_only("decontaminate")
             scan = Scanner(told.value, least, overlap, each)
             for all_ in batches:
                 for b in cut(all_, "t", 1 << 21):

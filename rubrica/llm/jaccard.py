@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import forget, small_batches, written
+from rubrica.llm.common import CACHES, keep_only, small_batches, written
 from rubrica.llm.common import pieces as cut
 from rubrica.llm.components import components
 
@@ -36,6 +36,7 @@ U = np.uint64
 STEP, MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _WORDS: dict[bytes, int] = {}
 WORDS_KEPT = 300_000
+CACHES["jaccard"] = _WORDS.clear
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -137,6 +138,7 @@ def meet(docs: DataFrame, k: int, num: int, den: int, buckets: int, key: str, te
     """Rows of kind ROW (a: id, b: class, n: set size) and EDGE (a, b: nodes that share a part; a node is a class in a band)."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("jaccard")
         parts = Parts(num, den)
         hashes: list[np.ndarray] = []
         keys: list[np.ndarray] = []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import fold_of, small_batches
+from rubrica.llm.common import fold_of, keep_only, small_batches
 from rubrica.llm.common import pieces as cut
 
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -204,6 +204,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     names = ["doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("language")
         m = told.value
         for whole in batches:
             for b in cut(whole, "t", 1 << 20):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubrica.llm.common import pieces as cut
-from rubrica.llm.common import small_batches, written
+from rubrica.llm.common import CACHES, keep_only, small_batches, written
 from rubrica.llm.slots import block_count, numbered
 
 
@@ -54,6 +54,7 @@ def word_list(text: str) -> list[str]:
 #: Ids of words already met in this worker, by tokenizer; emptied when it holds CACHE_WORDS. It only saves time.
 _CACHE: dict[str, dict[str, bytes]] = {}
 CACHE_WORDS = 600_000
+CACHES["packing"] = _CACHE.clear
 
 
 def token_bytes(path: str, texts: list[str]) -> list[bytes]:
@@ -83,6 +84,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("packing")
         for whole in batches:
             for batch in cut(whole, "t"):
                 rows: list[tuple] = []

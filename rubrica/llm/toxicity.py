@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import fold_of, small_batches, training_rows
+from rubrica.llm.common import fold_of, keep_only, small_batches, training_rows
 from rubrica.llm.common import pieces as cut
 
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -154,6 +154,7 @@ def best_segments(rows: DataFrame, model: Model) -> DataFrame:
     told = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("toxicity")
         m = told.value
         for whole in batches:
             for b in cut(whole, "text"):
@@ -215,6 +216,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("n_passages", pa.int32()), ("passage_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("toxicity")
         m = told.value
         for whole in batches:
             for b in cut(whole, "t"):
