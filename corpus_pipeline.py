@@ -1,7 +1,8 @@
 """Corpus pipeline: toxicity, quality, near duplicates, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as Parquet and read again as the next stage's docs.
-The first four return the columns of documents, for the rows they keep; the last returns the packed pieces.
+The first four return the columns of documents, for the rows they keep; the last returns the packed pieces. Stages decide on rows: a doc_id
+may be null or repeated, and what happens to a row doesn't depend on others that share its id.
 """
 
 from __future__ import annotations
@@ -12,12 +13,8 @@ from pyspark.sql import functions as F
 from rubrica.llm import decontaminate, jaccard, packing, quality, toxicity
 from rubrica.llm.common import delete_path, fresh_path, read, written
 
-
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in `gone`: a broadcast below a million ids, else a shuffled anti join. Rows with a null doc_id stay, unless `gone` holds null."""
-    ids = written(gone.select(F.col("doc_id").cast("long").alias("_gone")).distinct(), "gone")
-    match = docs["doc_id"].cast("long").eqNullSafe(ids["_gone"])
-    return docs.join(jaccard.hinted(ids, ids.count()), match, "left_anti")
+#: The key of a row of a stage's input; no column of documents.
+ROW = "_row"
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,24 +24,32 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5."""
     model = toxicity.train(docs, labelled(spark, sf_dir))
-    return without(docs, toxicity.score(docs, model).where("predicted = 1"))
+    return toxicity.clean_rows(docs, model)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.3 or more."""
     model = quality.train(docs, labelled(spark, sf_dir))
-    return without(docs, quality.score(docs, model).where("predicted = 0"))
+    return quality.good_rows(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that five-word shingles link at 0.8 or more, the one with the smallest doc_id."""
-    groups = jaccard.jaccard_components(docs, k=5, num=80, den=100)
-    return without(docs, groups.where("doc_id <> component_id"))
+    """Of each group of documents that five-word shingles link at 0.8 or more, one row: that of the smallest doc_id (null last).
+
+    Rows get a key of their own, written with them, so repeated and null ids neither join groups nor escape them.
+    """
+    keyed = written(docs.select(F.monotonically_increasing_id().alias(ROW), "*"), "keyed")
+    groups = jaccard.jaccard_components(keyed, k=5, num=80, den=100, key=ROW).where("n_links > 0").select(F.col("doc_id").alias(ROW), "component_id")
+    members = written(groups.join(keyed.select(ROW, "doc_id"), ROW), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW)))
+    tops = members.groupBy("component_id").agg(first.alias("top")).select(F.col(f"top.{ROW}").alias(ROW))
+    gone = written(members.select(ROW).join(tops, ROW, "left_anti"), "gone")
+    return keyed.join(jaccard.hinted(gone, gone.count()), ROW, "left_anti").drop(ROW)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return without(docs, decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")))
+    return decontaminate.leak_free_rows(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

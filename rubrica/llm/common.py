@@ -7,9 +7,11 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,5 +110,18 @@ def keep_only(name: str) -> None:
             empty()
 
 
+def rows_kept(docs: DataFrame, operator: str, told: Broadcast, judge: Callable[[Any], Callable[[list[str]], list[bool]]], text: str = "text", most_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of docs, whole, that judge(told.value) keeps. Each is judged by its own text (null: empty), so rows that share an id, or have none, don't matter to each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(operator)
+        keep = judge(told.value)
+        for whole in batches:
+            for b in pieces(whole, text, most_bytes):
+                yield b.filter(pa.array(keep([t or "" for t in b.column(text).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)

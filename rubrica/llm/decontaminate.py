@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import keep_only, small_batches
+from rubrica.llm.common import keep_only, rows_kept, small_batches
 from rubrica.llm.common import pieces as cut
 
 WORD = re.compile(r"\w+")
@@ -248,6 +249,20 @@ def unit_terms(items: DataFrame, unit: int) -> DataFrame:
     return items.mapInArrow(run, "term string, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
 
 
+def indexes(benchmark: DataFrame, unit: int, item_key: str, item_text: str) -> Iterator[Broadcast]:
+    """An index of each block of items, sent to all workers."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t IS NOT NULL")
+    counts = unit_terms(items, unit).cache()
+    whole = counts.where("term IS NULL").first()
+    for block in item_blocks(items):
+        own = sorted({t for _, text_ in block for t in words_of(text_)})
+        terms = spark.createDataFrame(pa.table({"term": pa.array(own, pa.string())}))
+        df = {r["term"]: r["n"] for r in counts.join(F.broadcast(terms), "term").collect()}
+        yield spark.sparkContext.broadcast(Index(block, df, whole["n"], whole["words"] / max(1, whole["n"]), unit))
+    counts.unpersist()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, overlap: float = 0.8, each: float = 0.5, unit: int = 64, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of each document and item that match.
 
@@ -255,21 +270,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, over
     """
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t IS NOT NULL")
-    counts = unit_terms(items, unit).cache()
-    whole = counts.where("term IS NULL").first()
     slim = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL")
     names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
     shape = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     types = [pa.int64(), pa.int64(), *[pa.float64()] * 3]
     out = spark.createDataFrame([], shape)
-    for block in item_blocks(items):
-        own = sorted({t for _, text_ in block for t in words_of(text_)})
-        terms = spark.createDataFrame(pa.table({"term": pa.array(own, pa.string())}))
-        df = {r["term"]: r["n"] for r in counts.join(F.broadcast(terms), "term").collect()}
-        told = spark.sparkContext.broadcast(Index(block, df, whole["n"], whole["words"] / max(1, whole["n"]), unit))
+    for index in indexes(benchmark, unit, item_key, item_text):
 
-        def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], told=index) -> Iterator[pa.RecordBatch]:
             keep_only("decontaminate")
             scan = Scanner(told.value, least, overlap, each)
             for all_ in batches:
@@ -280,10 +288,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, over
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         out = out.union(slim.mapInArrow(run, shape))
-    counts.unpersist()
     return out
 
 
+def leak_free_rows(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, overlap: float = 0.8, each: float = 0.5, unit: int = 64, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, whole, that match no item as contaminated() counts matches."""
+    small_batches(docs.sparkSession)
+
+    def judge(index: Index):
+        scan = Scanner(index, least, overlap, each)
+
+        def keep(texts: list[str]) -> list[bool]:
+            found = {d for d, *_ in scan.matches(texts)}
+            return [d not in found for d in range(len(texts))]
+
+        return keep
+
+    for index in indexes(benchmark, unit, item_key, item_text):
+        docs = rows_kept(docs, "decontaminate", index, judge, text, 1 << 21)
+    return docs
+
+
 def op1_block_max_wand(spark, sf_dir: str) -> DataFrame:
     from rubrica.llm.common import read
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import fold_of, keep_only, small_batches, training_rows
+from rubrica.llm.common import fold_of, keep_only, rows_kept, small_batches, training_rows
 from rubrica.llm.common import pieces as cut
 
 #: Training uses at most so many labelled rows.
@@ -178,6 +178,13 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return slim.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def good_rows(docs: DataFrame, model: Model, text: str = "text", least: float = 0.3) -> DataFrame:
+    """The rows of docs, whole, that score `least` or more."""
+    small_batches(docs.sparkSession)
+    told = docs.sparkSession.sparkContext.broadcast(model)
+    return rows_kept(docs, "quality", told, lambda m: lambda texts: [m.probability(t) >= least for t in texts], text)
+
+
 def op4_subword_embeddings(spark, sf_dir: str) -> DataFrame:
     from rubrica.llm.common import read
 

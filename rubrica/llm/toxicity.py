@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import fold_of, keep_only, small_batches, training_rows
+from rubrica.llm.common import fold_of, keep_only, rows_kept, small_batches, training_rows
 from rubrica.llm.common import pieces as cut
 
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -233,6 +233,20 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return slim.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_passages int, passage_tokens long")
 
 
+def clean_rows(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs, whole, that score() does not predict as toxic."""
+    small_batches(docs.sparkSession)
+
+    def judge(m: Model):
+        def clean(t: str) -> bool:
+            s = m.scores(tokens(t))
+            return m.probability([x for *_, x in segments(s)], len(s)) < 0.5
+
+        return lambda texts: [clean(t) for t in texts]
+
+    return rows_kept(docs, "toxicity", docs.sparkSession.sparkContext.broadcast(model), judge, text)
+
+
 def op3_segment_scan(spark, sf_dir: str) -> DataFrame:
     from rubrica.llm.common import read
 
