@@ -3,7 +3,7 @@
 A text's features are its words, the character n-grams of its words, its word pairs, and two marks for repetition (a word that repeats the
 one before it, a line seen before). Each is hashed to a learned vector; the vectors are averaged, and a softmax layer turns the average
 into class probabilities. Vectors and layer are trained together by stochastic gradient descent in numpy. As averaging is linear, a
-trained model is one number for each bucket, and a text is scored by sums over words that each worker keeps.
+trained model is one number for each bucket, and a text is scored by sums over words that each worker keeps. Every character counts, in runs of any length.
 
 Nulls: a null or empty text, or one of white space alone, gets EMPTY. Null ids and labels train nothing. Repeated rows are scored one by one. With one
 kind of label, or none, the score is that label's share of the training rows (0.5 without any). Extra columns are not carried.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +36,27 @@ PAIR = np.uint32(2654435761)
 AGAIN, LINE_AGAIN = (zlib.crc32(x) % BUCKETS for x in (b"\x00again", b"\x00line again"))
 
 
+#: A run of more characters is no word: its n-grams are taken in pieces of PIECE characters, so that memory stays bounded.
+LONG = 64
+PIECE = 1 << 14
+
+
 def word_features(word: str) -> list[int]:
-    """Buckets of a word and of its character n-grams, edges marked."""
-    marked = f"<{word[:64]}>"  # longer runs of characters are no words; their whole still counts as one
+    """Buckets of a word and of its character n-grams, edges marked; of a long run only its own, as long_features has its n-grams."""
+    marked = f"<{word}>" if len(word) <= LONG else ""
     grams = [marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)]
     return [zlib.crc32(g.encode()) % BUCKETS for g in (f"w:{word}", *grams)]
 
 
+def long_features(word: str) -> Iterator[np.ndarray]:
+    """Buckets of all character n-grams of a long run, edges marked, in pieces; none of a word."""
+    marked = f"<{word}>" if len(word) > LONG else ""
+    for at in range(0, len(marked), PIECE):
+        part = marked[at : at + PIECE + max(NGRAMS) - 1]
+        grams = [part[i : i + n] for n in NGRAMS for i in range(min(PIECE, len(part) - n + 1))]
+        yield np.fromiter((zlib.crc32(g.encode()) % BUCKETS for g in grams), np.int64, len(grams))
+
+
 def marks(text: str, words: np.ndarray) -> tuple[int, int]:
     """How often a word repeats the one before it, and how many words stand in lines seen before."""
     again = int((words[1:] == words[:-1]).sum())
@@ -57,19 +72,21 @@ def marks(text: str, words: np.ndarray) -> tuple[int, int]:
 
 
 class Vocabulary:
-    """Words met so far, by number; whatever is kept for a word is kept at its number."""
+    """Words met so far, by number; whatever is kept for a word is kept at its number. It starts anew beyond so many words, or characters of new words."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 200_000, most_chars: int = 16 << 20):
         self.number: dict[str, int] = {}
-        self.most = most
+        self.most, self.most_chars, self.chars = most, most_chars, 0
 
     def numbers(self, words: list[str]) -> tuple[np.ndarray, list[str], bool]:
         """(numbers, words that are new, whether everything kept before is void)"""
-        void = len(self.number) > self.most
+        void = len(self.number) > self.most or self.chars > self.most_chars
         if void:
             self.number.clear()
+            self.chars = 0
         known = self.number
         new = [w for w in dict.fromkeys(words) if w not in known]
+        self.chars += sum(map(len, new))
         for w in new:
             known[w] = len(known)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words)), new, void
@@ -86,6 +103,15 @@ def text_features(text: str, cache: dict[str, bytes]) -> tuple[np.ndarray, np.nd
     pairs = (heads[:-1] * PAIR + heads[1:]) % np.uint32(BUCKETS)
     again, late = marks(text, heads)
     at, n = np.unique(np.concatenate([np.frombuffer(b"".join(each), np.uint32), pairs]), return_counts=True)
+    long = Counter(w for w in words if len(w) > LONG)
+    if long:
+        counts = np.bincount(at, n, BUCKETS).astype(np.int64)
+        for w, times in long.items():
+            del cache[w]
+            for grams in long_features(w):
+                np.add.at(counts, grams, times)
+        at = np.flatnonzero(counts).astype(np.uint32)
+        n = counts[at]
     at = np.concatenate([at, np.asarray([AGAIN, LINE_AGAIN], np.uint32)]).astype(np.int32)
     n = np.concatenate([n, [again * MARK_WEIGHT, late * MARK_WEIGHT]])
     return at, n.astype(np.uint16 if n.max() < 1 << 16 else np.uint32)
@@ -139,6 +165,10 @@ class Model:
             sizes = np.fromiter(map(len, each), np.int64, len(each))
             flat = self.weights[np.fromiter((x for f in each for x in f), np.int64, int(sizes.sum()))]
             sums = np.add.reduceat(flat.astype(float), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            for k in [k for k, w in enumerate(new) if len(w) > LONG]:
+                for grams in long_features(new[k]):
+                    sums[k] += self.weights[grams].sum(dtype=float)
+                    sizes[k] += len(grams)
             at = len(self.words.number)
             if at > len(self.sums):  # room for twice as many
                 self.sums, self.heads, self.sizes = (np.concatenate([a, np.zeros(2 * at - len(a), a.dtype)]) for a in (self.sums, self.heads, self.sizes))

@@ -113,3 +113,39 @@ def test_languages_of_texts_and_of_switched_words(spark, docs):
     assert mixed == ["en"] * 5 + ["de"] * 5
     none = language.predict(base, language.train(base.where("lang IS NULL")))
     assert {r.lang_pred for r in none.collect()} == {"und"}
+
+
+def test_quality_counts_every_character_of_long_runs():
+    from collections import Counter
+
+    def grams(word):
+        marked = f"<{word}>"
+        return [quality.zlib.crc32(g.encode()) % quality.BUCKETS for g in (f"w:{word}", *(marked[i : i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1)))]
+
+    rng = np.random.default_rng(4)
+    run = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9FFF, n)))
+    m = quality.Model(rng.normal(size=quality.BUCKETS), 0.1)
+    once = run(70)
+    for w in (["a", run(64), "b"], ["a", run(65)], [once, "a", once], [run(n) for n in (1 << 14) + np.arange(-4, 5)], [run(70_000)]):
+        want = Counter(x for word in w for x in grams(word))
+        heads = [np.uint32(grams(word)[0]) for word in w]
+        want.update(int(x) for x in (np.asarray(heads[:-1], np.uint32) * quality.PAIR + np.asarray(heads[1:], np.uint32)) % np.uint32(quality.BUCKETS))
+        at, n = quality.text_features(" ".join(w), {})
+        got = Counter()
+        for a, k in zip(at.tolist(), n.tolist(), strict=True):
+            got[a] += k
+        assert +got == want
+        mean = sum(float(m.weights[a]) * k for a, k in want.items()) / sum(want.values())
+        assert abs(m.probability(" ".join(w)) - 1 / (1 + np.exp(-mean - m.bias))) < 1e-6
+    small = quality.Vocabulary(most_chars=100)
+    assert [small.numbers([run(80)])[2] for _ in range(4)] == [False, False, True, False]
+
+
+def test_quality_sees_junk_past_the_head_of_a_run():
+    good, junk = "石水光田野河家森山海", "%#@~^*=+|&"
+    rng = np.random.default_rng(2)
+    run = lambda chars, n: "".join(rng.choice(list(chars), n))
+    texts = [run(good, 500) if i % 2 else run(good, 64) + run(junk, 436) for i in range(200)]
+    weights, bias = quality.fit(texts[:100], np.arange(100) % 2)
+    m = quality.Model(weights, bias)
+    assert all((m.probability(t) > 0.5) == i % 2 for i, t in enumerate(texts) if i >= 100)
