@@ -6,7 +6,7 @@ query has rows that hit and rows that don't.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rubrica.config import Config
@@ -184,6 +184,28 @@ SELECT item_id, floor(s * 100 * 100 + 0.5) / 100 AS percent FROM s
 """
 
 
+def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word similarity of every document's whole text and one benchmark item: of n items by item_id, the one at place doc_id modulo n (null id: 0)."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("b"))
+    n = max(1, items.count())
+    place = (F.row_number().over(Window.orderBy("item_id", "b")) - 1).cast("long")
+    told = items.select("item_id", X.word_set(F.coalesce("b", F.lit(""))).alias("b"), place.alias("place"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(n)).alias("place"))
+    j = d.join(told, "place", "left")
+    percent = X.round2(X.jaccard(X.word_set(F.coalesce("text", F.lit(""))), F.coalesce("b", F.array().cast("array<string>"))) * 100)
+    return j.select("doc_id", "item_id", percent.alias("percent"))
+
+
+TEXT_JACCARD_SQL = r"""
+WITH n AS (SELECT greatest(1, count(*)) AS n FROM benchmark),
+i AS (SELECT item_id, row_number() OVER (ORDER BY item_id, text) - 1 AS place, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: length(w) > 1)) AS b FROM benchmark),
+j AS (SELECT doc_id, item_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: length(w) > 1)) AS a, coalesce(b, []) AS b
+      FROM (SELECT doc_id, text, (coalesce(doc_id, 0) % n + n) % n AS place FROM documents, n) LEFT JOIN i USING (place)),
+s AS (SELECT doc_id, item_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END AS s FROM j)
+SELECT doc_id, item_id, floor(s * 100 * 100 + 0.5) / 100 AS percent FROM s
+"""
+
+
 def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit distance of each part's name from the nearest well-known tool name, the first on ties."""
     name = F.replace("p_name", F.lit(" "), F.lit("_"))
@@ -480,7 +502,7 @@ SELECT event_type, floor(p * 10000 + 0.5) / 10000 AS precision, floor(r * 10000
 
 QUERIES = {
     "score_cards": score_cards, "dimension_scores": dimension_scores, "top_fixes": top_fixes, "repo_rollup": repo_rollup, "ci_gate": ci_gate, "findings_order": findings_order, "effective_findings": effective_findings,
-    "line_index": line_index, "name_similarity": name_similarity, "edit_distance": edit_distance, "latency_p95": latency_p95, "text_counts": text_counts, "fenced_code": fenced_code,
+    "line_index": line_index, "name_similarity": name_similarity, "text_similarity": text_similarity, "edit_distance": edit_distance, "latency_p95": latency_p95, "text_counts": text_counts, "fenced_code": fenced_code,
     "detect_injection": injection, "detect_fetch_execute": fetch, "detect_base64": blobs, "detect_secrets": secret, "detect_hidden_unicode": hidden,
     "skill_rule_hits": skill_rule_hits, "sibling_descriptions": sibling_descriptions, "mcp_rule_hits": mcp_rule_hits, "confusable_names": confusable_names, "name_collisions": name_collisions, "context_rule_hits": context_rule_hits,
     "captured_catalogue": captured_catalogue, "trigger_metrics": trigger_metrics,
@@ -488,7 +510,7 @@ QUERIES = {
 _SPACED = lambda ps: [(k, p) for k, p in ps]
 ORACLE_SQL = {
     "score_cards": SCORE_SQL, "dimension_scores": DIMENSION_SQL, "top_fixes": FIX_SQL, "repo_rollup": ROLLUP_SQL, "ci_gate": GATE_SQL, "findings_order": ORDER_SQL, "effective_findings": EFFECTIVE_SQL,
-    "line_index": LINE_SQL, "name_similarity": JACCARD_SQL, "edit_distance": EDIT_SQL, "latency_p95": P95_SQL, "text_counts": COUNTS_SQL, "fenced_code": FENCED_SQL,
+    "line_index": LINE_SQL, "name_similarity": JACCARD_SQL, "text_similarity": TEXT_JACCARD_SQL, "edit_distance": EDIT_SQL, "latency_p95": P95_SQL, "text_counts": COUNTS_SQL, "fenced_code": FENCED_SQL,
     "detect_injection": _detector_sql(INJECTED, D.INJECTION, "(?i)"), "detect_fetch_execute": _detector_sql(FETCHED, D.FETCH, "(?i)"), "detect_base64": BLOB_SQL,
     "detect_secrets": _detector_sql(SECRET, [(k, p.replace("(?!ant-)", "")) for k, p in D.SECRETS], "", "substr(m, 1, 8) || '…' || right(m, 4)").replace("FROM h\n", "FROM h WHERE NOT (kind = 'API secret key' AND starts_with(m, 'sk-ant-'))\n"),
     "detect_hidden_unicode": HIDDEN_SQL, "skill_rule_hits": SKILL_SQL, "sibling_descriptions": SIBLING_SQL, "mcp_rule_hits": MCP_SQL, "confusable_names": CONFUSABLE_SQL, "name_collisions": COLLISION_SQL, "context_rule_hits": CONTEXT_SQL,
