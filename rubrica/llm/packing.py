@@ -1,12 +1,13 @@
 """Best-fit packing of token pieces by pattern fitting.
 
 Texts are tokenized and cut into pieces of at most `most` tokens. The histogram of piece lengths (at most `most` bins, whatever the
-corpus) goes to the driver, which enumerates patterns of a few lengths that fill a sequence, fits their repeat counts to the histogram by
-non-negative least squares, rounds them down to what the histogram holds, and packs the rest by best fit on the histogram. The plan is a
+corpus) goes to the driver, which enumerates patterns of a few lengths that leave no room for any other, fits their repeat counts to the histogram by
+non-negative least squares, rounds them within what the histogram holds, fits what is left again, and packs the residue by best fit. The plan is a
 table of runs: ranks r0.. of length L go to sequences base.. at a given offset. Pieces are numbered within their length and look their
 place up, so neither pieces nor sequences are ever gathered.
 
-Nulls: a null or empty text is a single end token. Null ids and repeated rows are packed like others. Extra columns are not carried.
+Nulls: a null or empty text is a single end token. Null ids and repeated rows are packed like others. Texts of any length are tokenized whole. Ties:
+pieces alike in length, id and place may trade places. An empty table gives no row. Extra columns are not carried, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import functools
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubrica.llm.common import pieces as cut
-from rubrica.llm.common import CACHES, keep_only, small_batches, written
+from rubrica.llm.common import small_batches, tidy, written
 from rubrica.llm.slots import block_count, numbered
 
 
@@ -40,39 +42,94 @@ def tokenizer_at(path: str):
 
 #: Texts with these aren't lowered before the tokenizer does it: characters whose lower case depends on their place or composes anew, and what could become a special token.
 PLACED = re.compile(r"[Σİ\u0300-\u036f]|<\|")
-#: A mark after a letter and before a space is a token by itself.
-MARK = re.compile(r"(?<=[a-zß-öø-ÿ])([.,]) ")
+#: A full stop or a comma after a letter or digit and before a space is a token group by itself; where one follows anything else, texts are searched mark by mark.
+MARK = re.compile(r"(?<=[a-z0-9ß-öø-ÿ])([.,]) ")
+OTHER_MARK = re.compile(r"[^a-z0-9ß-öø-ÿ][.,] ")
 
 
 def word_list(text: str) -> list[str]:
-    """Words whose ids, in turn, are those of the text: cut at spaces, and, where that can't change them, lowered and freed of a closing mark."""
-    if PLACED.search(text) or not unicodedata.is_normalized("NFC", text):
-        return text.replace("\n", " ").split(" ")
-    return MARK.sub(r" \1 ", text.replace("\n", " ").lower()).split(" ")
+    """Words whose ids, in turn, are those of the text: cut at spaces and, where that can't change them, lowered and freed of a closing mark. Others start with a newline, which the tokenizer drops."""
+    text = text.replace("\n", " ")
+    if "<|" in text if text.isascii() else PLACED.search(text) or not unicodedata.is_normalized("NFC", text):
+        return [f"\n{w}" for w in text.split(" ")]
+    text = text.lower()
+    if OTHER_MARK.search(text) or text[:2] in (". ", ", "):
+        return MARK.sub(r" \1 ", text).split(" ")
+    return text.replace(". ", " . ").replace(", ", " , ").split(" ")
 
 
-#: Ids of words already met in this worker, by tokenizer; emptied when it holds CACHE_WORDS. It only saves time.
-_CACHE: dict[str, dict[str, bytes]] = {}
-CACHE_WORDS = 600_000
-CACHES["packing"] = _CACHE.clear
+#: Marks that are a token group by themselves before and after a letter or a digit.
+OPENING, CLOSING = "([{\"“„«*", ".,;:!?)]}\"…”»*#$%&"
 
 
-def token_bytes(path: str, texts: list[str]) -> list[bytes]:
-    """The ids of each text, as little-endian unsigned 32-bit numbers.
+def edges_cut(word: str) -> list[str]:
+    """A word's opening marks, its core and its closing marks, where they are token groups of their own; else the word alone."""
+    core = word.strip(OPENING + CLOSING)
+    if not core or not (core[0].isalpha() and core[-1].isalpha()):
+        return [word]
+    lead, tail = word.split(core, 1)
+    return [x for x in (lead, core, tail) if x] if all(x in OPENING for x in lead) and all(x in CLOSING for x in tail) else [word]
 
-    The tokenizer drops white space and joins nothing across it, so a text's ids are its words' ids in turn; each distinct word is encoded once.
-    """
-    known = _CACHE.setdefault(path, {})
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    split = [word_list(t) for t in texts]
-    new = list({w for words in split for w in words if w not in known})
-    tok = tokenizer_at(path)
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.asarray(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+
+@functools.cache
+def bare_tokenizer_at(path: str):
+    """The tokenizer without its first steps, for words that those leave whole: the byte marks of lower-case letters in, ids out. None if it isn't of that kind."""
+    own = tokenizer_at(path)
+    names = [type(own.normalizer).__name__, type(own.pre_tokenizer).__name__, *(type(x).__name__ for x in (own.pre_tokenizer or ()) if own.pre_tokenizer is not None)]
+    if names != ["Sequence", "Sequence", "Split", "ByteLevel"] or own.post_processor is not None:
+        return None
+    from tokenizers import Tokenizer
+
+    bare = Tokenizer.from_file(path)
+    bare.normalizer = bare.pre_tokenizer = None
+    return bare
+
+
+#: The printable stand-ins of bytes in byte-level vocabularies: bytes that print stand for themselves, the others follow from 256 on.
+PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_MARKS = dict(zip((b for b in range(256) if b not in set(PRINTED)), range(256, 512)))
+
+
+class WordIds:
+    """Ids of words, each encoded once while it is kept. Beyond `most` words, those of the latest texts stay and the rest is forgotten."""
+
+    def __init__(self, path: str, most: int = 400_000):
+        self.tok, self.bare, self.most = tokenizer_at(path), bare_tokenizer_at(path), most
+        self.known: dict[str, bytes] = {"": b""}
+        self.latest: set[str] = set()
+
+    def learn(self, words: list[str]) -> None:
+        known = self.known
+        for i in range(0, len(words), 5_000):
+            part = words[i : i + 5_000]
+            if self.bare:
+                plain = [w for w in part if w.isalpha() and w.islower()]
+                marks = [w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_MARKS) for w in plain]
+                for w, e in zip(plain, self.bare.encode_batch_fast(marks, add_special_tokens=False), strict=True):
+                    known[w] = array("I", e.ids).tobytes()
+                part = [w for w in part if w not in known]
+            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w] = array("I", e.ids).tobytes()
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit numbers.
+
+        The tokenizer drops white space and joins nothing across it, so a text's ids are its words' ids in turn.
+        """
+        if len(self.known) > self.most:
+            self.known = {"": b""} | {w: self.known[w] for w in self.latest}
+        known, split = self.known, [word_list(t) for t in texts]
+        self.latest = set().union(*split)
+        new = self.latest.difference(known)
+        cuts = {w: x for w in new if not (w[0].isalpha() and w[-1].isalpha()) and len(x := edges_cut(w)) > 1}
+        self.learn(list(new.difference(cuts).union(*cuts.values()).difference(known)))
+        for w, x in cuts.items():
+            known[w] = b"".join([known[p] for p in x])
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+
+def token_bytes(path: str, texts: list[str]) -> list[bytes]:
+    return WordIds(path).texts(texts)
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -83,12 +140,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int
     small_batches(docs.sparkSession)
     end = np.asarray([end_id], "<u4").tobytes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_only("packing")
+        words = WordIds(tokenizer)
         for whole in batches:
-            for batch in cut(whole, "t"):
+            for batch in cut(whole, "t", 2 << 20):
                 rows: list[tuple] = []
-                for k, ids in zip(batch.column("k").to_pylist(), token_bytes(tokenizer, batch.column("t").to_pylist()), strict=True):
+                for k, ids in zip(batch.column("k").to_pylist(), words.texts(batch.column("t").to_pylist()), strict=True):
                     ids += end
                     for p, at in enumerate(range(0, len(ids), 4 * most)):
                         x = ids[at : at + 4 * most]
@@ -107,29 +165,35 @@ class Pattern:
     repeats: int
 
 
-def enumerate_patterns(present: np.ndarray, most: int, per_length: int = 24, waste: float = 0.004) -> np.ndarray:
-    """Rows of up to four lengths (0: none) that fill a sequence but for `waste`: for each length, partners spread evenly over those that fit."""
+def enumerate_patterns(present: np.ndarray, most: int, turn: int = 0, gap: int = 0, seconds: int = 12, thirds: int = 4) -> np.ndarray:
+    """Rows of up to four lengths (0: none), longest first, that fill a sequence but for `gap` at most.
+
+    For each length `seconds` partners, and for each two `thirds` more, are drawn evenly from those that fit, others in each turn, and the longest that fits is taken
+    too; the fourth is the longest that fits what is left.
+    """
     have = np.zeros(most + 1, bool)
-    have[present] = True
-    floor = np.maximum.accumulate(np.where(have, np.arange(most + 1), 0))  # the largest length there is, up to each
-    out = []
-    for a in present[present < most][::-1]:
+    have[present] = have[0] = True
+    floor = np.maximum.accumulate(np.where(have, np.arange(most + 1), 0))  # the longest length there is, up to each
+    rng, out = np.random.default_rng(turn), []
+    for a in present[::-1]:
         rest = most - a
         fits = present[present <= min(a, rest)]
         if not len(fits):
             continue
-        b = np.unique(np.concatenate([fits[np.linspace(0, len(fits) - 1, min(per_length, len(fits))).astype(int)], [floor[rest]] if floor[rest] <= a else []]).astype(int))
+        n = min(seconds, len(fits))
+        b = np.unique(np.append(fits[((np.arange(n) + rng.random()) * len(fits) / n).astype(int)], fits[-1]))
         left = rest - b
-        c = floor[np.minimum(left, b)]
+        n = np.searchsorted(present, np.minimum(left, b), side="right")[:, None]
+        c = present[np.clip(((np.arange(thirds) + rng.random((len(b), thirds))) * n / thirds).astype(int), 0, np.maximum(n - 1, 0))]
+        c = np.concatenate([np.where(n > 0, c, 0), floor[np.minimum(left, b)][:, None]], 1)
+        b, left = np.broadcast_to(b[:, None], c.shape), np.broadcast_to(left[:, None], c.shape)
         d = floor[np.minimum(left - c, c)]
-        out.append(np.stack([np.full_like(b, a), b, c, d], 1))
-    if not out:
-        return np.zeros((0, 4), int)
-    p = np.unique(np.concatenate(out), axis=0)
-    return p[p.sum(1) >= (1 - waste) * most]
+        full = left - c - d <= gap
+        out.append(np.stack([np.full(int(full.sum()), a), b[full], c[full], d[full]], 1))
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 4), int)
 
 
-def fit(patterns: np.ndarray, hist: np.ndarray, rounds: int = 300) -> np.ndarray:
+def fit(patterns: np.ndarray, hist: np.ndarray, rounds: int = 100) -> np.ndarray:
     """Repeat counts x >= 0 that bring the patterns' lengths near the histogram: non-negative least squares by accelerated projected gradient."""
     n = len(hist)
     real = patterns > 0
@@ -173,54 +237,53 @@ def best_fit(hist: np.ndarray, most: int) -> list[Pattern]:
     return [p for group in free for p in group]
 
 
-def fitted(hist: np.ndarray, most: int, share: float) -> list[Pattern]:
-    """Patterns by least squares, each rounded to `share` of its count and to what the histogram still holds, and best fit for the rest."""
-    hist, plan = hist.copy(), []
-    for _ in range(3):  # what rounding left is fitted again by other patterns
-        present = np.flatnonzero(hist)
-        if hist.sum() < 4 * len(present):
-            break
-        pats = enumerate_patterns(present, most)
+#: Of the lengths up to an eighth of a sequence this share waits for best fit, which closes its gaps with them.
+WAITING = 0.5
+#: Fits that follow one another; the next one is made while so large a share of the pieces is left.
+TURNS, LEFT = 2, 0.25
+
+
+def fitted(hist: np.ndarray, most: int) -> list[Pattern]:
+    """Patterns by least squares, in turns: the counts are rounded so that their running sum stays within a half, held to what the histogram has, and what is left is fitted again by other patterns. Takes its pieces out of hist."""
+    plan: list[Pattern] = []
+    waiting = np.zeros_like(hist)
+    waiting[: most // 8] = (hist[: most // 8] * WAITING).astype(np.int64)
+    # Pieces of more than half a sequence need one each; only so many sequences as the tokens ask for beyond those may go without
+    without = max(0, -(-int(hist @ np.arange(most + 1)) // most) - int(hist[most // 2 + 1 :].sum()))
+    hist -= waiting
+    total = hist.sum()
+    for turn in range(TURNS):
+        some = np.flatnonzero(hist + waiting)
+        pats = enumerate_patterns(np.flatnonzero(hist), most, turn, int(some[0]) - 1 if len(some) else 0)
         if not len(pats):
             break
-        x = share * fit(pats, hist.astype(float))
-        used = 0
-        # Patterns with a long piece first: what is short fits in anywhere later
-        for i in np.lexsort((-x, -pats[:, 0])):
-            k = int(x[i] + 0.5)
-            parts = [(int(v), int(m)) for v, m in zip(*np.unique(pats[i][pats[i] > 0], return_counts=True), strict=True)][::-1] if k else []
-            k = min([k, *(int(hist[v]) // m for v, m in parts)])
+        x = fit(pats, hist.astype(float))
+        order = np.lexsort((-x, -pats[:, 0]))
+        sums = np.floor(np.cumsum(x[order]) + 0.5).astype(np.int64)
+        times = np.diff(sums, prepend=0)
+        for i, k in zip(order[times > 0].tolist(), times[times > 0].tolist(), strict=True):
+            parts = [(int(v), int(m)) for v, m in zip(*np.unique(pats[i][pats[i] > 0], return_counts=True), strict=True)][::-1]
+            large = 2 * parts[0][0] > most
+            k = min(k, k if large else without, *(int(hist[v]) // m for v, m in parts))
             if k:
                 plan.append(Pattern(parts, k))
-                used += k
+                without -= 0 if large else k
                 for v, m in parts:
                     hist[v] -= m * k
-        if not used or share < 1:
+        if hist.sum() <= LEFT * total:
             break
-    return plan + best_fit(hist, most)
-
-
-#: How much of the fitted counts is fixed before best fit takes over; the plan with the fewest sequences is taken.
-SHARES = (1.0, 0.6, 0.3, 0.1)
+    hist += waiting
+    return plan
 
 
 def pack_histogram(counts: dict[int, int], most: int) -> list[Pattern]:
-    """Patterns that hold every piece of the histogram exactly once."""
+    """Patterns that hold every piece of the histogram exactly once: full pieces alone, then fitted patterns, then best fit of the residue."""
     hist = np.zeros(most + 1, np.int64)
     for length, n in counts.items():
         hist[length] = n
     full = [Pattern([(most, 1)], int(hist[most]))] if hist[most] else []
     hist[most] = 0
-    # No plan can do with fewer than the tokens, or the pieces of more than half a sequence, ask for
-    least = max(-(-int(hist @ np.arange(most + 1)) // most), int(hist[most // 2 + 1 :].sum()))
-    best: list[Pattern] | None = None
-    for share in SHARES:
-        plan = fitted(hist, most, share)
-        if best is None or sum(p.repeats for p in plan) < sum(p.repeats for p in best):
-            best = plan
-        if sum(p.repeats for p in best) <= least:
-            break
-    return full + best
+    return [*full, *fitted(hist, most), *best_fit(hist, most)]
 
 
 def runs_of(plan: list[Pattern]) -> dict[str, np.ndarray]:
