@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by labels that spread and jump; nothing is gathered on the driver."""
+"""Connected components of an edge table by contraction; nothing is gathered on the driver."""
 
 from __future__ import annotations
 
@@ -8,27 +8,43 @@ from pyspark.sql import functions as F
 from rubrica.llm.common import forget, written
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(node, label): the smallest node that each node of the edge table reaches.
+def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 64) -> DataFrame:
+    """(node, label): the smallest node that each node of the edge table reaches; a table in the shared folder.
 
-    A round gives each node the least label among its neighbours and then its label's label, so distances shrink by a factor each
-    round. Each round is a table in the shared folder. Nulls are no nodes; self-loops and repeated edges change nothing. Joins with a hub's
-    many edges have one row for each node on the other side, so the adaptive skew join may split them.
+    In a round every node takes the least of itself and its neighbours as its parent, then its parent's parent, and the edges are drawn
+    again between parents; those inside a parent vanish. A chain halves in a round and a star is gone after two, so edges dwindle and the
+    joins of all rounds together hold a small multiple of them. Parents of a round are a table in the shared folder, one row a node; at the
+    end labels are looked up through them. Nulls are no nodes; self-loops and repeated edges change nothing. A hub's many edges meet
+    one row for each node in a join, so the adaptive skew join may split them.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    both = written(e.union(e.select("b", "a")).distinct(), "cc-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels")
+    left = written(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    alone = e.where("a = b").select(F.col("a").alias("node")).distinct()
+    steps: list[DataFrame] = []
     for _ in range(most_rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        spread = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = spread.join(up, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "old")
-        new = written(jumped.select("node", "label", (F.col("label") != F.col("old")).alias("moved")), "cc-labels")
-        forget(labels)
-        labels = new
-        if not labels.where("moved").limit(1).count():
+        if left.isEmpty():
             break
+        ends = left.select(F.col("a").alias("node"), F.col("a").alias("parent")).union(left.select(F.col("b").alias("node"), F.col("a").alias("parent")))
+        least = ends.groupBy("node").agg(F.min("parent").alias("parent"))
+        far = least.select(F.col("node").alias("parent"), F.col("parent").alias("far"))
+        step = written(least.join(far, "parent").select("node", F.col("far").alias("parent")), "cc-parents")
+        steps.append(step)
+        by = lambda c: step.select(F.col("node").alias(c), F.col("parent").alias(f"{c}_up"))  # noqa: B023, E731
+        moved = left.join(by("a"), "a").join(by("b"), "b").where("a_up <> b_up")
+        new = written(moved.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct(), "cc-edges")
+        forget(left)
+        left = new
     else:
-        raise RuntimeError(f"no fixed point in {most_rounds} rounds")
-    forget(both)
-    return labels.select("node", "label")
+        raise RuntimeError(f"edges are left after {most_rounds} rounds")
+    forget(left)
+    if not steps:
+        return written(alone.select("node", F.col("node").alias("label")), "cc-labels")
+    labels = steps[-1].select("node", F.col("parent").alias("label"))
+    for step in steps[-2::-1]:
+        # What this round's parents became later; a parent that no later round has is a label itself
+        later = labels.select(F.col("node").alias("parent"), "label")
+        labels = step.join(later, "parent", "left").select("node", F.coalesce("label", "parent").alias("label"))
+    lone = alone.join(steps[0], "node", "left_anti").select("node", F.col("node").alias("label"))
+    out = written(labels.union(lone), "cc-labels")
+    forget(*steps)
+    return out

@@ -97,7 +97,9 @@ def test_trees_prune_nothing_that_links():
         sets.append(np.unique(np.concatenate([s[: max(1, len(s) - 2)], rng.choice(pool, 2)])))
     keys = np.arange(len(sets))
     for sides in (np.zeros(len(sets), int), keys % 2):
-        i, j = J.tile_links(keys, sets, sides, 85, 100, 1 << 40)
+        work = [0] * 4
+        i, j = J.tile_links(sets, sides, 85, 100, 1 << 40, work)
+        assert 0 < work[1] <= work[0] and work[2] + work[3] > 0
         got = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True)}
         assert len(got) == len(i)
         want = set()
