@@ -1,12 +1,13 @@
 """WARC archives with revisit records.
 
 `write_archives` writes one response record per row into gzip members, one archive or more per task. `resolve` shuffles record headers only:
-the first record of each payload digest stays a response, the others revisit it. `deduplicate` copies the archives record by record,
-with fresh headers and no payload for revisits. `read_archives` reads records back. Archives are written under a temporary name and moved
-into place when whole, and a repeated task writes the same bytes, so a lost executor leaves no half archive.
+the first record of each payload digest stays a response, the others revisit it. `deduplicate` copies the archives record by record, an archive a
+task, with headers made anew (a record id of its own, digests, the place of the original) and no payload for revisits. `read_archives` reads records back.
+Archives are written under a temporary name and moved into place when whole, and a repeated task writes the same bytes, so a lost executor leaves no half archive.
 
-Nulls: a null payload is empty; a null row id is kept as such and sorts after all others. Rows equal in id and payload are separate
-records, in the order of archive and place. Empty tables give no archive and no row. Extra columns are not carried.
+Nulls: a null payload is empty; a null row id is kept as such and sorts after all others. Payloads of any length are written whole; a task
+holds one of them at a time. Ties: rows equal in id and payload are separate records, in the order of archive and place. Empty tables give no
+archive and no row. Extra columns are not carried, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import fresh_path, small_batches, written
+from rubrica.llm.common import delete_path, forget, fresh_path, pieces, small_batches, tidy, written
 
 # Names of the WARC 1.1 standard.
 VERSION = b"WARC/1.1"
@@ -114,9 +115,10 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     """Writes a response record per row into archives of about roll_bytes; returns the index of the records, to be materialized at once."""
     small_batches(pages.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, roll, archive, seq = TaskContext.get().partitionId(), 0, None, 0
-        for b in batches:
+        for b in (x for whole in batches for x in pieces(whole, "p")):
             rows = []
             for k, u, p in zip(*(b.column(c).to_pylist() for c in ("k", "u", "p")), strict=True):
                 if archive is None:
@@ -151,9 +153,17 @@ def resolve(index: DataFrame, least_bytes: int = 0) -> DataFrame:
     return out.select(*index.columns, F.when(again, "revisit").otherwise("response").alias("record_type"), *[F.when(again, F.col(f"first.{c}")).alias(n) for c, n in (("row_id", "refers_to"), ("file", "to_file"), ("seq", "to_seq"), ("url", "to_url"))])
 
 
-def deduplicate(resolved: DataFrame, source: str, folder: str) -> DataFrame:
-    """Copies the archives in `source` to `folder`, revisits without payload; returns (file, records) to be materialized at once."""
+def tasks_for(files: int) -> int:
+    """Partitions for so many archives: several for each, as they are dealt by hash."""
+    return max(1, min(4 * files, 1 << 17))
+
+
+def deduplicate(resolved: DataFrame, source: str, folder: str, files: int | None = None) -> DataFrame:
+    """Copies the archives in `source`, `files` of them (counted where it isn't told), to `folder`, revisits without payload; returns (file, records) to be materialized at once."""
+    files = resolved.select("file").distinct().count() if files is None else files
+    own = lambda row, file, seq: record_id(row, f"deduplicated/{file}", seq)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, archive, records, n = None, None, iter(()), 0
         done = lambda: pa.RecordBatch.from_pylist([{"file": name, "records": n}], schema=pa.schema([("file", pa.string()), ("records", pa.int64())]))
@@ -166,27 +176,27 @@ def deduplicate(resolved: DataFrame, source: str, folder: str) -> DataFrame:
                     name, n = r["file"], 0
                     archive, records = Archive(folder, name), records_in(f"{source}/{name}")
                 headers, block = next(records)
-                if r["record_type"] == "revisit":
-                    to = record_id(r["refers_to"], r["to_file"], r["to_seq"])
-                    fresh = [("WARC-Type", "revisit"), ("WARC-Record-ID", headers["WARC-Record-ID"]), ("WARC-Date", headers["WARC-Date"]), ("WARC-Target-URI", headers.get("WARC-Target-URI")), ("WARC-Payload-Digest", headers["WARC-Payload-Digest"]), ("WARC-Refers-To", to), ("WARC-Refers-To-Target-URI", r["to_url"]), ("WARC-Refers-To-Date", EPOCH), ("WARC-Profile", REVISIT_PROFILE), ("X-Row-Id", r["row_id"]), ("X-Refers-To-Row-Id", r["refers_to"]), ("X-Payload-Length", r["payload_bytes"]), ("Content-Type", "application/http; msgtype=response")]
-                    archive.add(member(record(fresh, http_head(r["payload_bytes"]))))
-                else:
-                    fresh = [(k, v) for k, v in headers.items() if k != "Content-Length"]
-                    archive.add(member(record(fresh, block)))
+                again = r["record_type"] == "revisit"
+                fresh = [("WARC-Type", r["record_type"]), ("WARC-Record-ID", own(r["row_id"], name, n)), ("WARC-Date", headers["WARC-Date"]), ("WARC-Target-URI", headers.get("WARC-Target-URI"))]
+                if again:
+                    block = http_head(r["payload_bytes"])
+                    fresh += [("WARC-Refers-To", own(r["refers_to"], r["to_file"], r["to_seq"])), ("WARC-Refers-To-Target-URI", r["to_url"]), ("WARC-Refers-To-Date", EPOCH), ("WARC-Profile", REVISIT_PROFILE), ("X-Refers-To-Row-Id", r["refers_to"]), ("X-Payload-Length", r["payload_bytes"])]
+                fresh += [("WARC-Payload-Digest", headers["WARC-Payload-Digest"]), ("WARC-Block-Digest", f"sha1:{digest_of(block)}"), ("X-Row-Id", r["row_id"]), ("Content-Type", "application/http; msgtype=response")]
+                archive.add(member(record(fresh, block)))
                 n += 1
         if archive:
             archive.close()
             yield done()
 
     cols = ["file", "seq", "row_id", "payload_bytes", "record_type", "refers_to", "to_file", "to_seq", "to_url"]
-    return resolved.select(*cols).repartition("file").sortWithinPartitions("file", "seq").mapInArrow(run, "file string, records long")
+    return resolved.select(*cols).repartition(tasks_for(files), "file").sortWithinPartitions("file", "seq").mapInArrow(run, "file string, records long")
 
 
 READ = "row_id long, url string, payload_bytes long, payload_digest string, digest_ok boolean, record_type string, refers_to long, refers_to_record string, record_id string, file string, seq long"
 
 
-def read_archives(files: DataFrame, folder: str) -> DataFrame:
-    """A row for each record of the named archives. A response's digest and length are taken from its payload, a revisit's from its header."""
+def read_archives(files: DataFrame, folder: str, count: int) -> DataFrame:
+    """A row for each record of the named archives, `count` of them. A response's digest and length are taken from its payload, a revisit's from its header."""
 
     def number(x: str | None) -> int | None:
         return None if x is None else int(x)
@@ -212,15 +222,18 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return files.select("file").repartition("file").mapInArrow(run, READ)
+    return files.select("file").repartition(tasks_for(count), "file").mapInArrow(tidy(run), READ)
 
 
 def revisit_archives(spark: SparkSession, pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Writes, resolves, copies and reads back; the archives stay in the shared folder."""
+    """Writes, resolves, copies and reads back; the deduplicated archives stay in the shared folder, the first copies go."""
     raw, deduped = fresh_path(spark, "warc-crawl"), fresh_path(spark, "warc-revisit")
     index = written(write_archives(pages, raw), "warc-index")
-    files = written(deduplicate(resolve(index, least_bytes), raw, deduped), "warc-files")
-    return read_archives(files, deduped)
+    count = index.select("file").distinct().count()
+    files = written(deduplicate(resolve(index, least_bytes), raw, deduped, count), "warc-files")
+    delete_path(spark, raw)
+    forget(index)
+    return read_archives(files, deduped, count)
 
 
 def op5_revisit_archives(spark, sf_dir: str) -> DataFrame:
