@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as Parquet and read again as the next stage's docs.
 The first four return the columns of documents, for the rows they keep; the last returns the packed pieces. Stages decide on rows: a doc_id
 may be null or repeated, and what happens to a row doesn't depend on others that share its id.
+
+Nulls in any column, all stages: a null text counts as the empty one, which the quality stage rejects; a null id is kept as such. Texts of any length are judged
+whole. Ties: a text at a threshold exactly is toxic, good, linked or leaked. Of rows alike in text one stays, whichever ids they have. Empty tables give empty
+tables. Further columns of documents, whatever their names, are carried by the first four stages.
 """
 
 from __future__ import annotations
@@ -11,11 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rubrica.llm import decontaminate, jaccard, packing, quality, toxicity
-from rubrica.llm.common import delete_path, fresh_path, read, written
-
-#: The key of a row of a stage's input; no column of documents.
-ROW = "_row"
-
+from rubrica.llm.common import delete_path, forget, fresh_path, read, written
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "labels")
@@ -38,13 +38,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows get a key of their own, written with them, so repeated and null ids neither join groups nor escape them.
     """
-    keyed = written(docs.select(F.monotonically_increasing_id().alias(ROW), "*"), "keyed")
-    groups = jaccard.jaccard_components(keyed, k=5, num=80, den=100, key=ROW).where("n_links > 0").select(F.col("doc_id").alias(ROW), "component_id")
-    members = written(groups.join(keyed.select(ROW, "doc_id"), ROW), "members")
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW)))
-    tops = members.groupBy("component_id").agg(first.alias("top")).select(F.col(f"top.{ROW}").alias(ROW))
-    gone = written(members.select(ROW).join(tops, ROW, "left_anti"), "gone")
-    return keyed.join(jaccard.hinted(gone, gone.count()), ROW, "left_anti").drop(ROW)
+    row = next(x for n in range(len(docs.columns) + 1) if (x := f"_row{n}") not in docs.columns)
+    keyed = written(docs.select(F.monotonically_increasing_id().alias(row), "*"), "keyed")
+    groups = jaccard.jaccard_components(keyed, k=5, num=80, den=100, key=row)
+    members = groups.where("n_links > 0").select(F.col("doc_id").alias(row), F.col("component_id").alias("_group")).join(keyed.select(row, F.col("doc_id").alias("_id")), row)
+    first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col(row)))
+    tops = members.groupBy("_group").agg(first.alias("top")).select(F.col(f"top.{row}").alias(row))
+    gone = written(members.select(row).join(tops, row, "left_anti"), "gone")
+    forget(groups)
+    return keyed.join(jaccard.hinted(gone, gone.count()), row, "left_anti").drop(row)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ an item that meet are then compared word for word: five-word shingles of the ite
 The index of a block of items is broadcast: a block holds ITEMS_AT_ONCE items and BYTES_AT_ONCE bytes of text at most, and further blocks
 are further scans. Document frequencies and lengths are those of all items.
 
-Nulls: null and empty texts match nothing, on either side. Null ids are kept. Repeated rows are judged one by one, on both sides. Extra columns are not
-carried.
+Nulls: null and empty texts match nothing, on either side. Null ids are kept. Texts of any length are searched whole. Ties: a passage at the threshold exactly is
+retrieved. Repeated rows are judged one by one, on both sides. Without documents or items there is no row. Extra columns are not carried, so their names can't
+clash.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import keep_only, rows_kept, small_batches
+from rubrica.llm.common import rows_kept, small_batches, tidy
 from rubrica.llm.common import pieces as cut
 
 WORD = re.compile(r"\w+")
@@ -277,11 +278,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, over
     out = spark.createDataFrame([], shape)
     for index in indexes(benchmark, unit, item_key, item_text):
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], told=index) -> Iterator[pa.RecordBatch]:
-            keep_only("decontaminate")
             scan = Scanner(told.value, least, overlap, each)
             for all_ in batches:
-                for b in cut(all_, "t", 1 << 21):
+                for b in cut(all_, "t"):
                     ids = b.column("k").to_pylist()
                     rows = [(ids[d], scan.x.items[i][0], s, q, a) for d, i, s, q, a in scan.matches(b.column("t").to_pylist())]
                     if rows:
@@ -305,7 +306,7 @@ def leak_free_rows(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, ov
         return keep
 
     for index in indexes(benchmark, unit, item_key, item_text):
-        docs = rows_kept(docs, "decontaminate", index, judge, text, 1 << 21)
+        docs = rows_kept(docs, index, judge, text)
     return docs
 
 

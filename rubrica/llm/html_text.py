@@ -122,9 +122,9 @@ def parse(source: str) -> Page:
             if tag == "html":
                 continue
             if tag in NOT_IN_P:
-                up, hops = now, 0
-                while up > 0 and hops < 4 and tags[up] not in ("p", "td", "li", "div", "article", "section", "main", "body"):
-                    up, hops = parent[up], hops + 1
+                up = now
+                while up > 0 and tags[up] not in ("p", "td", "li", "div", "article", "section", "main", "body"):
+                    up = parent[up]
                 if tags[up] == "p":
                     now = parent[up]
             if tag in CLOSES:

@@ -7,8 +7,9 @@ messages give every word its marginals; a text's language has the largest sum of
 The messages are exact for texts of any length: blocks of words are multiplied up to transfer matrices, messages run over blocks, then
 within them, so that numpy works on many blocks at once.
 
-Nulls: a null text, or one without a letter, is `und` with score 0. Rows with null text or language train nothing. Without training rows
-everything is `und`. Repeated rows are labelled one by one. Extra columns are not carried.
+Nulls: a null text, or one without a letter, is `und` with score 0. Rows with null text, id or language train nothing. Without training rows
+everything is `und`. Texts and words of any length are read whole. Ties go to the language that sorts first. Repeated rows are labelled one by one.
+An empty table gives no row. Extra columns are not carried, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -23,13 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import fold_of, keep_only, small_batches
+from rubrica.llm.common import TRAINING_CHARS, fold_of, small_batches, tidy
 from rubrica.llm.common import pieces as cut
 
 TOKEN = re.compile(r"[^\W\d_]+")
-#: Training uses about so many rows of each language, chosen by a hash of their ids, and so many lexicon words.
+#: Training uses about so many rows of each language, chosen by a hash of their ids, and TRAINING_CHARS characters. Words that those hold twice or more are the lexicon.
 ROWS_EACH = 150
-LEXICON = 20_000
 BUCKETS = 1 << 16
 BLOCK = 32
 
@@ -38,41 +38,64 @@ def words_in(text: str) -> list[str]:
     return [w for w in TOKEN.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
+#: The n-grams of a longer word are taken in pieces of so many characters, so that memory stays bounded.
+PIECE = 1 << 14
+
+
 def features(word: str, lexicon: frozenset[str] | set[str]) -> list[int]:
-    w = word[:48]
-    m = f"^{w}$"
-    names = [f"p{w[:n]}" for n in range(1, 4) if n <= len(w)] + [f"s{w[-n:]}" for n in range(1, 4) if n <= len(w)]
-    names += [m[i : i + n] for n in (2, 3) for i in range(len(m) - n + 1)]
+    """Buckets of a word's affixes and n-grams, edges marked, and of itself if the lexicon has it."""
+    m = f"^{word}$"
+    names = [f"p{word[:n]}" for n in range(1, 4) if n <= len(word)] + [f"s{word[-n:]}" for n in range(1, 4) if n <= len(word)]
+    names += [m[i : i + n] for n in (2, 3) for i in range(min(PIECE, len(m) - n + 1))]
     if word in lexicon:
         names.append(f"w{word}")
     return [zlib.crc32(x.encode()) % BUCKETS for x in names]
 
 
+def further_features(word: str) -> Iterator[np.ndarray]:
+    """Buckets of the n-grams of a long word that features() leaves, in pieces."""
+    m = f"^{word}$" if len(word) + 2 > PIECE else ""
+    for at in range(PIECE, len(m), PIECE):
+        part = m[at : at + PIECE + 2]
+        grams = [part[i : i + n] for n in (2, 3) for i in range(min(PIECE, len(part) - n + 1))]
+        yield np.fromiter((zlib.crc32(g.encode()) % BUCKETS for g in grams), np.int64, len(grams))
+
+
 class Model:
     """langs, feature weights (bucket, language), transitions in probability form, lexicon."""
 
     def __init__(self, langs: list[str], weights: np.ndarray, transitions: np.ndarray, lexicon: set[str]):
         self.langs, self.weights, self.transitions, self.lexicon = langs, weights, transitions, lexicon
-        self.number: dict[str, int] = {}
-        self.rows = np.zeros((0, len(langs)))
 
-    def __getstate__(self):
-        return self.__dict__ | {"number": {}, "rows": np.zeros((0, len(self.langs)))}
+
+class Words:
+    """Potentials of words by a model; what it keeps lives as long as its task."""
+
+    def __init__(self, model: Model, most: int = 150_000, most_chars: int = 8 << 20):
+        self.model, self.most, self.most_chars, self.chars = model, most, most_chars, 0
+        self.number: dict[str, int] = {}
+        self.rows = np.zeros((0, len(model.langs)))
 
     def potentials(self, words: list[str]) -> np.ndarray:
-        """exp of each word's feature sums, the largest scaled to 1; each distinct word is worked out once while the worker keeps it."""
-        if len(self.number) > 200_000:
+        """exp of each word's feature sums, the largest scaled to 1; each distinct word is worked out once while it is kept."""
+        if len(self.number) > self.most or self.chars > self.most_chars:
             self.number.clear()  # it only saves time
+            self.chars = 0
         new = [w for w in dict.fromkeys(words) if w not in self.number]
         if new:
-            each = [features(w, self.lexicon) for w in new]
+            weights = self.model.weights
+            each = [features(w, self.model.lexicon) for w in new]
             sizes = np.fromiter(map(len, each), np.int64, len(each))
-            e = np.add.reduceat(self.weights[np.fromiter((x for f in each for x in f), np.int64, int(sizes.sum()))], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+            e = np.add.reduceat(weights[np.fromiter((x for f in each for x in f), np.int64, int(sizes.sum()))], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+            for k in [k for k, w in enumerate(new) if len(w) + 2 > PIECE]:
+                for grams in further_features(new[k]):
+                    e[k] += weights[grams].sum(0)
             at = len(self.number)
             if at + len(new) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros((2 * (at + len(new)) - len(self.rows), len(self.langs)))])
+                self.rows = np.concatenate([self.rows, np.zeros((2 * (at + len(new)) - len(self.rows), len(self.model.langs)))])
             self.rows[at : at + len(new)] = np.exp(np.maximum(e - e.max(1, keepdims=True), -30))
             self.number.update(zip(new, range(at, at + len(new)), strict=True))
+            self.chars += sum(map(len, new))
         return self.rows[np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))]
 
 
@@ -131,8 +154,8 @@ def fit(texts: list[str], y: list[str], epochs: int = 2, rate: float = 0.5, seed
         count.update(ws)
         ids = np.asarray([number.setdefault(w, len(number)) for w in ws], np.int64)
         runs += [(ids[i : i + 64], langs.index(lang)) for i in range(0, len(ids), 64)]
-    lexicon = {w for w, c in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:LEXICON] if c > 1}
-    feats = [np.asarray(features(w, lexicon)) for w in number]
+    lexicon = {w for w, c in count.items() if c > 1}
+    feats = [np.concatenate([features(w, lexicon), *further_features(w)]).astype(np.int64) for w in number]
     weights, trans = np.zeros((BUCKETS, n)), np.zeros((n, n))
     rng = np.random.default_rng(seed)
     size, done = 64, 0
@@ -174,14 +197,21 @@ def fit(texts: list[str], y: list[str], epochs: int = 2, rate: float = 0.5, seed
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", each: int = ROWS_EACH) -> Model:
-    """From about `each` rows of each language: the number of rows of a language is counted over all, then a hash of the id decides."""
+    """From about `each` rows of each language: the number of rows of a language is counted over all, then a hash of the id decides. An id that several rows have
+    trains by the least of their languages and texts; texts are taken in the order of that hash, whole, up to TRAINING_CHARS characters."""
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).where((fold_of(F.col(key)) != 0) & F.col("l").isNotNull() & F.col("k").isNotNull() & F.col("t").isNotNull())
     counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
     if not counts:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)), set())
     share = F.create_map(*[F.lit(x) for c in counts.items() for x in (c[0], min(1.0, each / c[1]))])
     place = F.shiftrightunsigned(F.xxhash64("k"), 11).cast("double") * F.lit(2.0**-53)
-    told = rows.where(place < share[F.col("l")]).toArrow().sort_by("k")
+    some = rows.where(place < share[F.col("l")]).groupBy("k").agg(F.min(F.struct("l", "t")).alias("x")).select("k", "x.l", "x.t", F.length("x.t").alias("n"))
+    kept, chars = [], 0
+    for k, n in some.orderBy(F.xxhash64("k"), "k").select("k", "n").collect():  # about `each` rows of each language
+        if chars + n <= TRAINING_CHARS:
+            chars += n
+            kept.append((k,))
+    told = some.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "k long")), "k").toArrow().sort_by("k")
     pairs = [(t, x) for t, x in zip(told.column("t").to_pylist(), told.column("l").to_pylist(), strict=True) if words_in(t)]
     if not pairs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)), set())
@@ -193,7 +223,7 @@ def label_words(model: Model, text: str) -> list[tuple[str, str, float]]:
     ws = words_in(text or "")
     if not ws or not model.langs:
         return []
-    m = marginals(model.potentials(ws), np.asarray([len(ws)]), model.transitions)
+    m = marginals(Words(model).potentials(ws), np.asarray([len(ws)]), model.transitions)
     return [(w, model.langs[int(r.argmax())], float(r.max())) for w, r in zip(ws, m, strict=True)]
 
 
@@ -203,9 +233,10 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     told = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_only("language")
         m = told.value
+        words = Words(m)
         for whole in batches:
             for b in cut(whole, "t", 1 << 20):
                 each = [words_in(t) for t in b.column("t").to_pylist()]
@@ -213,7 +244,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 lang, score, switches = np.full(len(each), "und", object), np.zeros(len(each)), np.zeros(len(each), np.int64)
                 some = np.flatnonzero(lengths) if m.langs else np.zeros(0, int)
                 if len(some):
-                    x = marginals(m.potentials([w for ws in each for w in ws]), lengths[some], m.transitions)
+                    x = marginals(words.potentials([w for ws in each for w in ws]), lengths[some], m.transitions)
                     at = np.cumsum(lengths[some]) - lengths[some]
                     sums = np.add.reduceat(x, at, axis=0) / lengths[some][:, None]
                     best = sums.argmax(1)

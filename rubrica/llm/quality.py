@@ -5,8 +5,9 @@ one before it, a line seen before). Each is hashed to a learned vector; the vect
 into class probabilities. Vectors and layer are trained together by stochastic gradient descent in numpy. As averaging is linear, a
 trained model is one number for each bucket, and a text is scored by sums over words that each worker keeps. Every character counts, in runs of any length.
 
-Nulls: a null or empty text, or one of white space alone, gets EMPTY. Null ids and labels train nothing. Repeated rows are scored one by one. With one
-kind of label, or none, the score is that label's share of the training rows (0.5 without any). Extra columns are not carried.
+Nulls: a null or empty text, or one of white space alone, gets EMPTY. Null ids and labels train nothing. Texts of any length are read whole. Ties: a text
+at the threshold exactly is predicted good. Repeated rows are scored one by one. An empty table gives no row. With one kind of label, or none, the score is that
+label's share of the training rows (0.5 without any). Extra columns are not carried, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import fold_of, keep_only, rows_kept, small_batches, training_rows
+from rubrica.llm.common import fold_of, rows_kept, small_batches, tidy, training_rows
 from rubrica.llm.common import pieces as cut
 
 #: Training uses at most so many labelled rows.
@@ -74,7 +75,7 @@ def marks(text: str, words: np.ndarray) -> tuple[int, int]:
 class Vocabulary:
     """Words met so far, by number; whatever is kept for a word is kept at its number. It starts anew beyond so many words, or characters of new words."""
 
-    def __init__(self, most: int = 200_000, most_chars: int = 16 << 20):
+    def __init__(self, most: int = 150_000, most_chars: int = 8 << 20):
         self.number: dict[str, int] = {}
         self.most, self.most_chars, self.chars = most, most_chars, 0
 
@@ -148,18 +149,20 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 6, rate: float = 40.0, se
 class Model:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights.astype(np.float32), bias
-        self.words: Vocabulary | None = None
 
-    def __getstate__(self):
-        return {"weights": self.weights, "bias": self.bias, "words": None}
+
+class Reader:
+    """Scores texts by a model; what it keeps of words lives as long as its task."""
+
+    def __init__(self, model: Model):
+        self.weights, self.bias = model.weights, model.bias
+        self.words, self.sums, self.heads, self.sizes = Vocabulary(), np.zeros(0), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def probability(self, text: str) -> float:
         words = text.split()
         if not words:
             return EMPTY
-        if self.words is None:
-            self.words, self.sums, self.heads, self.sizes = Vocabulary(), np.zeros(0), np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        i, new, void = self.words.numbers(words)
+        i, new, _ = self.words.numbers(words)
         if new:
             each = [word_features(w) for w in new]
             sizes = np.fromiter(map(len, each), np.int64, len(each))
@@ -183,6 +186,7 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAINING_ROWS) -> Model:
+    """The training rows go to the driver: at most `most` of them, and TRAINING_CHARS characters."""
     rows = training_rows(docs, labels, label, most).select("text", "y", "doc_id").toArrow().sort_by("doc_id")
     y = np.clip(rows.column("y").to_numpy().astype(int), 0, 1)
     share = (y.mean() + 1e-3) / 1.002 if len(y) else 0.5
@@ -196,9 +200,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     small_batches(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_only("quality")
-        m = told.value
+        m = Reader(told.value)
         for whole in batches:
             for b in cut(whole, "t"):
                 p = [m.probability(t) for t in b.column("t").to_pylist()]
@@ -212,7 +216,12 @@ def good_rows(docs: DataFrame, model: Model, text: str = "text", least: float =
     """The rows of docs, whole, that score `least` or more."""
     small_batches(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)
-    return rows_kept(docs, "quality", told, lambda m: lambda texts: [m.probability(t) >= least for t in texts], text)
+
+    def judge(model: Model):
+        m = Reader(model)
+        return lambda texts: [m.probability(t) >= least for t in texts]
+
+    return rows_kept(docs, told, judge, text)
 
 
 def op4_subword_embeddings(spark, sf_dir: str) -> DataFrame:

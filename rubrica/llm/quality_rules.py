@@ -5,7 +5,8 @@ words) and a boilerplate line (cookies, rights, scripts, sharing) fails and is r
 the characters of its lines is rejected.
 
 Nulls: a null text has no words and no lines, fails the base checks and is cleaned to the empty text. Empty texts likewise. Repeated rows
-are judged one by one. Columns of the input that clash with the operator's own are replaced; others pass through.
+are judged one by one. Texts of any length are judged whole. Ties: a text that loses `most_lost` exactly is kept. An empty table gives no row. Columns of the
+input that clash with the operator's own are replaced; others pass through.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ A record goes to the shard with the largest score -weight / ln(u), where u in (0
 a record depends on nothing else, so adding a shard moves records only into it, and removing one moves only its own records.
 
 Nulls: a null key hashes as no key, so all such rows share a shard. Null or empty texts have no bytes (size 1, crc32 0). Repeated rows
-share a shard and get slots of their own. Extra columns are not carried; join the result on the key.
+share a shard and get slots of their own. Texts of any length count whole. Ties: of shards with equal scores the smaller wins. An empty table gives no
+row. Extra columns are not carried, so their names can't clash; join the result on the key.
 """
 
 from __future__ import annotations

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rubrica.llm.common import written
+
 
 def numbered(df: DataFrame, group: list[str], keys: list[str], to: str, blocks: int) -> DataFrame:
-    """The columns group + keys, and `to`: 0, 1, 2, ... within each group, in the order of (block, keys).
+    """The columns group + keys, and `to`: 0, 1, 2, ... within each group, in the order of (block, keys, input partition).
 
-    A row's block is a hash of its keys modulo `blocks`. Ranks are taken within a block, and blocks start where the ones before them end, so
-    the largest sorted unit is a block. Rows equal in group and keys are counted before the shuffle and spread out again at the end, so they
-    are never gathered; nulls in keys sort first. Nulls in group are a group.
+    A row's block is a hash of its keys and its input partition modulo `blocks`. Ranks are taken within a block, and blocks start where the ones
+    before them end, so the largest sorted unit is a block. Rows equal in group and keys are counted by input partition before the shuffle and spread
+    out again at the end, so no task has more of them than one that read them; the counts are a table in the shared folder, since two plans read them. Nulls in keys
+    sort first. Nulls in group are a group.
     """
-    own = df.select(*group, *keys).groupBy(*group, *keys).agg(F.count(F.lit(1)).alias("_c"))
-    own = own.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
-    inner = Window.partitionBy(*group, "_block").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = df.select(*group, *keys).withColumn("_part", F.spark_partition_id()).groupBy(*group, *keys, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    own = written(own.withColumn("_block", F.pmod(F.xxhash64(*keys, "_part"), F.lit(blocks)).cast("int")), "numbered")
+    inner = Window.partitionBy(*group, "_block").orderBy(*keys, "_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = own.withColumn("_end", F.sum("_c").over(inner))
     before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = own.groupBy(*group, "_block").agg(F.sum("_c").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -5,31 +5,35 @@ the corpus through the token's prefixes to the token, so that a new inflection o
 scoring segments of a text. Segment scores are judged by extreme-value statistics (the number of segments as good by chance in a text of
 that length), and the surprise of the best ones together becomes a probability by a logistic fit on labelled texts that trained no token score.
 
-Nulls: a null or empty text has no token and gets the score of a text without surprise, at most EMPTY. Null ids and labels train nothing. Repeated
-rows are scored one by one. Without labels of both kinds every score is 0. Extra columns are not carried.
+Nulls: a null or empty text has no token and gets the score of a text without surprise, at most EMPTY. Null ids and labels train nothing. Texts of
+any length are scanned whole. Ties: a text at 0.5 exactly is predicted toxic. Repeated rows are scored one by one. An empty table gives no row; without labels of both kinds
+every score is 0. Extra columns are not carried, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import fold_of, keep_only, rows_kept, small_batches, training_rows
+from rubrica.llm.common import fold_of, rows_kept, small_batches, tidy, training_rows
 from rubrica.llm.common import pieces as cut
 
 TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 9)
-#: Training uses at most so many labelled rows, and keeps at most so many features, those in most documents.
+#: Training uses at most so many labelled rows. All their tokens and prefixes are counted, in hashed buckets.
 TRAINING_ROWS = 12_000
-FEATURES = 300_000
+BUCKETS = 1 << 22
+#: Token scores that a task keeps; it only saves time.
+SCORES_KEPT = 150_000
 EMPTY = 0.01
 
 
@@ -37,9 +41,19 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+def names_of(token: str) -> list[str]:
+    """A token's prefixes, shortest first, and itself; those of a prefix end in a mark that no token has."""
+    return [*(f"{token[:n]}*" for n in PREFIXES if n < len(token)), token]
+
+
+def bucket(name: str) -> int:
+    return zlib.crc32(name.encode()) % BUCKETS
+
+
 @dataclass
 class Model:
-    counts: dict[str, tuple[int, int]]  # feature: documents clean, toxic; prefixes end in *
+    clean: np.ndarray  # by bucket: clean documents that have it
+    toxic: np.ndarray
     base: float  # share of toxic documents, weighted by distinct tokens
     kappa: float = 6.0
     drift: float = 1.5
@@ -47,24 +61,22 @@ class Model:
     ln_k: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
-    known: dict[str, float] = field(default_factory=dict)
 
     def rate(self, token: str) -> float:
         r = self.base
-        names = [token[:n] + "*" for n in PREFIXES if n < len(token)]
-        for f in (*names, token):
-            if (c := self.counts.get(f)) is not None:
-                r = (c[1] + self.kappa * r) / (c[0] + c[1] + self.kappa)
+        for at in map(bucket, names_of(token)):
+            if n := int(self.clean[at]) + int(self.toxic[at]):
+                r = (int(self.toxic[at]) + self.kappa * r) / (n + self.kappa)
         return r
 
     def score(self, token: str) -> float:
         r = min(max(self.rate(token), 1e-6), 1 - 1e-6)
         return math.log(r / (1 - r)) - math.log(self.base / (1 - self.base)) - self.drift
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > 300_000:
-            known.clear()  # it only saves time
+    def scores(self, words: list[str], known: dict[str, float]) -> np.ndarray:
+        """known: scores to look up and add to."""
+        if len(known) > SCORES_KEPT:
+            known.clear()
         for w in set(words).difference(known):
             known[w] = self.score(w)
         return np.fromiter(map(known.__getitem__, words), float, len(words))
@@ -91,9 +103,6 @@ class Model:
         z = self.slope * self.joint_surprise(sums, n) + self.shift
         return 1 / (1 + math.exp(-min(max(z, -50), 50)))
 
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}}
-
 
 def segments(s: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, sum) in linear time; runs of positive scores are taken at once."""
@@ -120,47 +129,49 @@ def segments(s: np.ndarray) -> list[tuple[int, int, float]]:
 
 def passages(model: Model, text: str, most_expected: float = 0.01) -> list[tuple[int, int, float]]:
     """(first token, end token, surprise) of each passage of a text that chance would hardly bring."""
-    s = model.scores(tokens(text))
+    s = model.scores(tokens(text), {})
     found = ((a, b, model.surprise(x, len(s))) for a, b, x in segments(s))
     return [(a, b, z) for a, b, z in found if z >= -math.log(most_expected)]
 
 
 def count_features(rows: DataFrame) -> DataFrame:
-    """(feature, n0, n1): in how many clean and toxic documents each token and prefix is."""
+    """(at, n0, n1): in how many clean and toxic documents each bucket's tokens and prefixes are; at -1: the documents' distinct tokens."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: tuple[Counter, Counter] = (Counter(), Counter())
 
         def out():
-            names = list(set(n[0]) | set(n[1]))
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([n[0][x] for x in names], pa.int64()), pa.array([n[1][x] for x in names], pa.int64())], names=["f", "n0", "n1"])
+            at = list(set(n[0]) | set(n[1]))
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array([c[x] for x in at], pa.int64()) for c in n)], names=["at", "n0", "n1"])
 
         for whole in batches:
             for b in cut(whole, "text"):
                 for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
                     own = set(tokens(t or ""))
-                    n[y > 0].update(own | {w[:k] + "*" for w in own for k in PREFIXES if k < len(w)})
-                if len(n[0]) + len(n[1]) > 400_000:
+                    n[y > 0].update({bucket(x) for w in own for x in names_of(w)})
+                    n[y > 0][-1] += len(own)
+                if len(n[0]) + len(n[1]) > 300_000:
                     yield out()
                     n[0].clear()
                     n[1].clear()
         yield out()
 
-    return rows.select("text", "y").mapInArrow(run, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return rows.select("text", "y").mapInArrow(run, "at int, n0 long, n1 long").groupBy("at").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1"))
 
 
 def best_segments(rows: DataFrame, model: Model) -> DataFrame:
     """(y, sums, n, gain): each text's segment scores and token count, and the mean of exp(lambda * score) at each of LAMBDAS."""
     told = rows.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_only("toxicity")
-        m = told.value
+        m, known = told.value, {}
         for whole in batches:
             for b in cut(whole, "text"):
                 out = []
                 for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-                    s = m.scores(tokens(t or ""))
+                    s = m.scores(tokens(t or ""), known)
                     out.append((y, [x for *_, x in segments(s)], len(s), [float(np.exp(k * s).mean()) if len(s) else 1.0 for k in LAMBDAS]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.float64()) if i % 2 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names=["y", "sums", "n", "gain"])
 
@@ -183,27 +194,35 @@ def logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / spread), float(w[1] - w[0] * center / spread)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAINING_ROWS, most_features: int = FEATURES) -> Model:
-    """Token scores from two thirds of the training rows, calibration from the rest."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAINING_ROWS) -> Model:
+    """Token scores from two thirds of the training rows, calibration from the rest. What the driver gets is bounded by the training rows."""
+    if most >= 1 << 16:
+        raise ValueError("counts are kept in 16 bits: train on fewer than 65536 rows")
     small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, label, most)
     third = F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(3)) == 0
-    counted = count_features(rows.where(~third)).where("n0 + n1 >= 2").orderBy(F.desc(F.col("n0") + F.col("n1")), "f").limit(most_features).toArrow()
-    counts = {f: (a, b) for f, a, b in zip(*(counted.column(c).to_pylist() for c in ("f", "n0", "n1")), strict=True)}
-    n0, n1 = (sum(c[i] for f, c in counts.items() if not f.endswith("*")) for i in (0, 1))
-    model = Model(counts, (n1 + 1) / (n0 + n1 + 2))
+    counted = count_features(rows.where(~third)).toArrow()
+    at, *n = (counted.column(c).to_numpy() for c in ("at", "n0", "n1"))
+    n0, n1 = (int(x[at < 0].sum()) for x in n)
+    clean, toxic = (np.zeros(BUCKETS, np.uint16) for _ in range(2))
+    for held, x in zip((clean, toxic), n, strict=True):
+        held[at[at >= 0]] = x[at >= 0]
+    model = Model(clean, toxic, (n1 + 1) / (n0 + n1 + 2))
     held = best_segments(rows.where(third), model).toArrow()
     y, n, sums = held.column("y").to_numpy(), held.column("n").to_numpy(), held.column("sums").to_pylist()
     best = np.asarray([max(x, default=0.0) for x in sums])
     if not n1 or len(set(y.tolist())) < 2:
         model.slope, model.shift = (0.0, -50.0) if not n1 else (1.0, -4.0)
         return model
-    clean = (y == 0) & (n > 0)
-    gain = np.average(np.asarray(held.column("gain").to_pylist())[clean], axis=0, weights=n[clean])
+    calm = (y == 0) & (n > 0)
+    if not calm.any():
+        model.slope, model.shift = 1.0, -4.0
+        return model
+    gain = np.average(np.asarray(held.column("gain").to_pylist())[calm], axis=0, weights=n[calm])
     over = np.flatnonzero(gain >= 1)
     model.lam = LAMBDAS[int(over[0])] if len(over) else LAMBDAS[-1]
     # ln K: a Gumbel law with unit scale has its mean at Euler's constant above its location
-    model.ln_k = float(np.median(model.lam * best[clean] - np.log(n[clean])) + math.log(math.log(2)))
+    model.ln_k = float(np.median(model.lam * best[calm] - np.log(n[calm])) + math.log(math.log(2)))
     z = np.asarray([model.joint_surprise(b, int(k)) for b, k in zip(sums, n, strict=True)])
     model.slope, model.shift = logistic(z, y.astype(float))
     return model
@@ -215,14 +234,14 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     told = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("n_passages", pa.int32()), ("passage_tokens", pa.int64())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_only("toxicity")
-        m = told.value
+        m, known = told.value, {}
         for whole in batches:
             for b in cut(whole, "t"):
                 out = []
                 for k, h, t in zip(*(b.column(c).to_pylist() for c in ("k", "h", "t")), strict=True):
-                    s = m.scores(tokens(t))
+                    s = m.scores(tokens(t), known)
                     found = segments(s)
                     p = m.probability([x for *_, x in found], len(s))
                     sure = [(a, e) for a, e, x in found if m.surprise(x, len(s)) >= 4.6]  # chance brings one in a hundred texts
@@ -238,13 +257,15 @@ def clean_rows(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
 
     def judge(m: Model):
+        known: dict[str, float] = {}
+
         def clean(t: str) -> bool:
-            s = m.scores(tokens(t))
+            s = m.scores(tokens(t), known)
             return m.probability([x for *_, x in segments(s)], len(s)) < 0.5
 
         return lambda texts: [clean(t) for t in texts]
 
-    return rows_kept(docs, "toxicity", docs.sparkSession.sparkContext.broadcast(model), judge, text)
+    return rows_kept(docs, docs.sparkSession.sparkContext.broadcast(model), judge, text)
 
 
 def op3_segment_scan(spark, sf_dir: str) -> DataFrame:

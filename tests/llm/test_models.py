@@ -78,10 +78,11 @@ def test_quality_classifier_on_held_out_rows(spark, docs):
 
 def test_quality_sums_over_kept_words_are_the_features_means():
     weights, bias = quality.fit(["a b c a", "x%%% y%%%", "a c", "z%%%"], np.asarray([1, 0, 1, 0]), epochs=2)
-    m = quality.Model(weights, bias)
+    m = quality.Reader(quality.Model(weights, bias))
+    weights = m.weights
     for t in ("a b c", "new words %%% here\nnew words %%% here", "a a a a"):
         at, n = quality.text_features(t, {})
-        assert abs(m.probability(t) - 1 / (1 + np.exp(-(n / n.sum() @ m.weights[at] + bias)))) < 1e-5
+        assert abs(m.probability(t) - 1 / (1 + np.exp(-(n / n.sum() @ weights[at] + bias)))) < 1e-5
 
 
 def test_marginals_are_exact():
@@ -124,7 +125,7 @@ def test_quality_counts_every_character_of_long_runs():
 
     rng = np.random.default_rng(4)
     run = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9FFF, n)))
-    m = quality.Model(rng.normal(size=quality.BUCKETS), 0.1)
+    m = quality.Reader(quality.Model(rng.normal(size=quality.BUCKETS), 0.1))
     once = run(70)
     for w in (["a", run(64), "b"], ["a", run(65)], [once, "a", once], [run(n) for n in (1 << 14) + np.arange(-4, 5)], [run(70_000)]):
         want = Counter(x for word in w for x in grams(word))
@@ -147,5 +148,5 @@ def test_quality_sees_junk_past_the_head_of_a_run():
     run = lambda chars, n: "".join(rng.choice(list(chars), n))
     texts = [run(good, 500) if i % 2 else run(good, 64) + run(junk, 436) for i in range(200)]
     weights, bias = quality.fit(texts[:100], np.arange(100) % 2)
-    m = quality.Model(weights, bias)
+    m = quality.Reader(quality.Model(weights, bias))
     assert all((m.probability(t) > 0.5) == i % 2 for i, t in enumerate(texts) if i >= 100)
