@@ -55,7 +55,7 @@ def tagged(kind: str | Column, hits: Column) -> Column:
 
 
 def scan(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    """Hits of all patterns; those of exempt kinds only outside closed fences."""
+    """Hits of all patterns in order of place, then of pattern; those of exempt kinds only outside closed fences."""
     fences = F.transform(matches(text, FENCE), lambda f: F.struct(f["pos"].alias("a"), (f["pos"] + F.length(f["match"])).alias("b")))
     out = []
     for kind, p in patterns:
@@ -65,7 +65,8 @@ def scan(text: Column, patterns: list[tuple[str, str]]) -> Column:
         out.append(tagged(kind, hits))
     # A text without any of the phrases, which is nearly every text, is settled by one search
     some = text.rlike("|".join(regex(p, "i") for _, p in patterns))
-    return F.when(some, F.concat(*out)).otherwise(F.array().cast(FOUND))
+    placed = F.array_sort(F.transform(F.concat(*out), lambda h, i: F.struct(h["pos"].alias("pos"), i.alias("i"), h.alias("h"))))
+    return F.when(some, F.transform(placed, lambda x: x["h"])).otherwise(F.array().cast(FOUND))
 
 
 def injection_phrases(text: Column) -> Column:

@@ -15,8 +15,8 @@ from rubrica.functions.text import round2
 from rubrica.operators.catalog import RULES, rule_meta
 from rubrica.operators.engine import sort_key
 
-#: After so many occurrences any rule has cost its dimension all of its 100 points, as the last steps cost 0.1 at least.
-ENOUGH = 1100
+#: So many occurrences of a rule are added one by one, in order; those beyond all weigh the same and are added at once.
+ONE_BY_ONE = 1000
 
 
 def grade_for(score: Column) -> Column:
@@ -65,12 +65,22 @@ def penalty_of(severity: Column) -> Column:
 
 def dimension_score(rules: Column, dimension: Column) -> Column:
     own = F.filter(rules, lambda r: r["dimension"] == dimension)
-    total = F.aggregate(own, F.lit(0.0), lambda acc, r: F.aggregate(F.sequence(F.lit(0), F.least(r["n"], F.lit(ENOUGH)).cast("int") - 1), acc, lambda a, i: a + r["base"] * r["multiplier"] * decay(i)))
-    return F.greatest(F.lit(0.0), F.lit(100.0) - total)
 
+    def add(acc: Column, r: Column) -> Column:
+        each = r["base"] * r["multiplier"]
+        first = F.aggregate(F.sequence(F.lit(0), F.least(r["n"], F.lit(ONE_BY_ONE)).cast("int") - 1), acc, lambda a, i: a + each * decay(i))
+        return F.when(r["n"] > ONE_BY_ONE, first + each * F.lit(DECAY_TAIL) * (r["n"] - ONE_BY_ONE)).otherwise(first)
 
-def composite_of(rules: Column, weights: Column) -> Column:
-    return F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + dimension_score(rules, w["dimension"]) * w["weight"])
+    return F.greatest(F.lit(0.0), F.lit(100.0) - F.aggregate(own, F.lit(0.0), add))
+
+
+def scored(rules: Column, weights: Column) -> Column:
+    """The weights with each dimension's unrounded score."""
+    return F.transform(weights, lambda w: F.struct(w["dimension"].alias("dimension"), w["label"].alias("label"), w["weight"].alias("weight"), dimension_score(rules, w["dimension"]).alias("score")))
+
+
+def composite_of(dims: Column) -> Column:
+    return F.aggregate(dims, F.lit(0.0), lambda acc, d: acc + d["score"] * d["weight"])
 
 
 def capped(raw: Column, rules: Column) -> Column:
@@ -109,11 +119,12 @@ def scorecards(artifacts: DataFrame, findings: DataFrame, meta: DataFrame | None
     per = rule_rows(findings, meta).groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("rules"))
     out = artifacts.join(per, keys, "left")
     out = out.withColumn("rules", F.coalesce("rules", F.array().cast(out.schema["rules"].dataType)))
-    out = out.withColumn("weights", weights_of(F.col("artifact_type"), F.coalesce("probing", F.lit(False))))
-    out = out.withColumn("raw", composite_of(F.col("rules"), F.col("weights")))
+    out = out.withColumn("dims", scored(F.col("rules"), weights_of(F.col("artifact_type"), F.coalesce("probing", F.lit(False)))))
+    out = out.withColumn("raw", composite_of(F.col("dims")))
     out = out.withColumn("score", capped(F.col("raw"), F.col("rules")))
     total = lambda c: F.aggregate("rules", F.lit(0).cast("long"), lambda a, r: a + r[c])
-    dims = F.transform("weights", lambda w: F.struct(w["dimension"].alias("dimension"), w["label"].alias("label"), round2(dimension_score(F.col("rules"), w["dimension"])).alias("score"), grade_for(dimension_score(F.col("rules"), w["dimension"])).alias("grade"), w["weight"].alias("weight"), F.aggregate(F.filter("rules", lambda r: r["dimension"] == w["dimension"]), F.lit(0).cast("long"), lambda a, r: a + r["n"]).alias("findings")))
+    n_findings = lambda d: F.aggregate(F.filter("rules", lambda r: r["dimension"] == d["dimension"]), F.lit(0).cast("long"), lambda a, r: a + r["n"])
+    dims = F.transform("dims", lambda d: F.struct(d["dimension"].alias("dimension"), d["label"].alias("label"), round2(d["score"]).alias("score"), grade_for(d["score"]).alias("grade"), d["weight"].alias("weight"), n_findings(d).alias("findings")))
     out = out.withColumns(
         {
             "composite": round2(F.col("score")),
@@ -126,17 +137,18 @@ def scorecards(artifacts: DataFrame, findings: DataFrame, meta: DataFrame | None
         }
     )
     if fixes:
-        out = out.withColumn("top_fixes", top_fixes(F.col("rules"), F.col("weights"), F.col("score")))
-    return out.drop("rules", "weights", "raw", "score")
+        out = out.withColumn("top_fixes", top_fixes(F.col("rules"), F.col("dims"), F.col("score")))
+    return out.drop("rules", "dims", "raw", "score")
 
 
-def top_fixes(rules: Column, weights: Column, score: Column, most: int = 3) -> Column:
-    """The three rules whose absence would raise the score most: each rule is left out and the rest scored again, caps included."""
+def top_fixes(rules: Column, dims: Column, score: Column, most: int = 3) -> Column:
+    """The three rules whose absence would raise the score most: each rule is left out and its own dimension scored again, caps included."""
 
     def without(rule: Column) -> Column:
         rest, own = F.filter(rules, lambda r: r["rule_id"] != rule), F.filter(rules, lambda r: r["rule_id"] == rule)
-        projected = capped(composite_of(rest, weights), rest)
         first = F.get(own, F.lit(0))
+        again = F.transform(dims, lambda d: F.struct(d["weight"].alias("weight"), F.when(F.exists(own, lambda r: r["dimension"] == d["dimension"]), dimension_score(rest, d["dimension"])).otherwise(d["score"]).alias("score")))
+        projected = capped(composite_of(again), rest)
         gain = round2(projected - score)
         return F.struct((-gain).alias("order"), rule.alias("rule_id"), first["severity"].alias("severity"), first["dimension"].alias("dimension"), first["message"].alias("message"), first["fix"].alias("fix"), F.aggregate(own, F.lit(0).cast("long"), lambda a, r: a + r["n"]).alias("count"), gain.alias("gain"), round2(projected).alias("projected_composite"), grade_for(projected).alias("projected_grade"))
 

@@ -47,7 +47,9 @@ def servers(capture: DataFrame, tokens=approximate_tokens) -> tuple[DataFrame, D
     schema = F.when(is_object, F.get_json_object("e", "$.inputSchema"))
     shaped = schema.isNull() | F.startswith(schema, F.lit("{"))
     tool = entries.select("path", "ord", name.alias("name"), described.alias("description"), F.when(F.startswith(schema, F.lit("{")), schema).alias("input_schema"), (is_object & (trimmed(name) != "") & shaped).alias("entry_valid"))
-    cost = F.to_json(F.struct("name", "description", F.col("input_schema").alias("inputSchema")))
+    # The schema goes in as it is, not as a string; to_json leaves out what is null
+    told = F.to_json(F.struct("name", "description"))
+    cost = F.when(F.col("input_schema").isNull(), told).otherwise(F.concat(F.substring(told, F.lit(1), F.length(told) - 1), F.lit(',"inputSchema":'), "input_schema", F.lit("}")))
     tool = tool.withColumn("tokens", tokens(cost))
     total = tool.groupBy("path").agg(F.sum("tokens").cast("int").alias("tokens_total"))
     server = own.join(total, "path", "left").select(

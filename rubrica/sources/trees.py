@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import json
 import os
-import posixpath
 import re
 from collections.abc import Iterator
 from fnmatch import fnmatch
-from urllib.parse import unquote
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +20,7 @@ from pyspark.sql import types as T
 
 from rubrica.config import UserError
 from rubrica.functions.text import approximate_tokens, line_count, matches
+from rubrica.sources.references import MANIFESTS, commands, file_mentions, manifest_targets, masked, resolved
 
 # Names, patterns and limits of the adapters.
 CONTEXT_NAMES = {"CLAUDE.md": "claude-md", "AGENTS.md": "agents-md", "GEMINI.md": "gemini-md", ".cursorrules": "cursorrules"}
@@ -30,15 +30,6 @@ TEXT_RESOURCE = r"(?i)\.(?:md|mdx|txt|py|sh|bash|js|mjs|cjs|ts|json|yaml|yml|tom
 MAX_RESOURCE_BYTES = 262_144
 LINK = r"\[[^\]]*\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)"
 NOT_RELATIVE = r"^(?:[a-z][a-z0-9+.-]*:|#|/|\\|[A-Za-z]:[\\/])"
-SOURCE_EXTENSIONS = set("ts js tsx jsx py md json yaml yml toml sh go rs java rb css html".split())
-FRAMEWORKS = set("node.js deno.js react.js next.js vue.js nuxt.js angular.js express.js nest.js ember.js backbone.js alpine.js three.js d3.js chart.js".split())
-BUILTINS = set("add audit bin cache config create dedupe dlx env exec global help i import info init install licenses link list login logout ls node outdated pack patch prune publish rebuild remove rm run setup store uninstall unlink up update upgrade version whoami why workspace workspaces".split())
-CODE_SPAN = re.compile(r"`([^`\n]+)`")
-MD_LINK = re.compile(r'\[[^\]]*\]\(([^)\s]+)(?:\s+"[^"]*")?\)')
-BARE = re.compile(r"[^\s|()\[\]\"'`,;=]+")
-COMMAND = re.compile(r"(?<![A-Za-z0-9_])(npm|pnpm|yarn|make|just)[ \t]+([A-Za-z0-9_:.-]+)(?:[ \t]+([A-Za-z0-9_:.-]+))?")
-MANIFESTS = {"package": ["package.json"], "make": ["Makefile", "makefile", "GNUmakefile"], "just": ["justfile", "Justfile", ".justfile"]}
-
 FILES = "repo string, path string, size long, content string"
 
 
@@ -89,6 +80,32 @@ def read_tree(spark: SparkSession, root: str, repo: str | None = None, ignore: t
 YAML = T.StructType([T.StructField("json", T.StringType()), T.StructField("error", T.StringType())])
 
 
+@cache
+def yaml_loader():
+    """A loader of YAML 1.2's core schema: true and false alone are booleans, dates are strings, and a key that comes twice is an error."""
+    import yaml
+
+    class Loader(yaml.SafeLoader):
+        yaml_implicit_resolvers: dict = {}
+
+    def mapping(loader, node):
+        out = {}
+        for k, v in node.value:
+            key = loader.construct_object(k, deep=True)
+            if key in out:
+                raise yaml.constructor.ConstructorError(None, None, f"key {key!r} comes twice", k.start_mark)
+            out[key] = loader.construct_object(v, deep=True)
+        return out
+
+    number = {"0o": 8, "0x": 16}
+    for tag, pattern, first in (("null", r"^(?:~|null|Null|NULL|)$", ["~", "n", "N", ""]), ("bool", r"^(?:true|True|TRUE|false|False|FALSE)$", list("tTfF")), ("int", r"^(?:[-+]?[0-9]+|0o[0-7]+|0x[0-9a-fA-F]+)$", list("-+0123456789")), ("float", r"^(?:[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?|[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN))$", list("-+0123456789."))):
+        Loader.add_implicit_resolver(f"tag:yaml.org,2002:{tag}", re.compile(pattern), first)
+    Loader.add_constructor("tag:yaml.org,2002:int", lambda loader, node: int(node.value[2:], number[node.value[:2]]) if node.value[:2] in number else int(node.value))
+    Loader.add_constructor("tag:yaml.org,2002:bool", lambda loader, node: node.value.lower() == "true")
+    Loader.add_constructor("tag:yaml.org,2002:map", mapping)
+    return Loader
+
+
 @F.pandas_udf(YAML)
 def parse_yaml(texts: pd.Series) -> pd.DataFrame:
     """A YAML mapping as ordered JSON, or why it is none; YAML has no native reader, hence Python."""
@@ -98,11 +115,11 @@ def parse_yaml(texts: pd.Series) -> pd.DataFrame:
         if t is None:
             return None, None
         try:
-            v = yaml.safe_load(t)
+            v = yaml.load(t, Loader=yaml_loader())  # noqa: S506  a safe loader
             if not isinstance(v, dict):
                 return None, "frontmatter is not a YAML mapping"
             return json.dumps({str(k): x for k, x in v.items()}, ensure_ascii=False, default=str), None
-        except (yaml.YAMLError, ValueError) as e:
+        except (yaml.YAMLError, ValueError, TypeError) as e:
             return None, str(e).split("\n")[0] or "invalid YAML"
 
     return pd.DataFrame([one(t) for t in texts], columns=["json", "error"])
@@ -116,12 +133,6 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-@F.pandas_udf(T.StringType())
-def joined_path(folders: pd.Series, links: pd.Series) -> pd.Series:
-    """A relative link resolved against its folder; links that leave the tree keep their dots."""
-    return pd.Series([posixpath.normpath(posixpath.join(d or ".", unquote(x))) if x is not None else None for d, x in zip(folders, links, strict=True)])
-
-
 def entries(files: DataFrame) -> DataFrame:
     """(repo, entry) of every file and every folder above one."""
     parts = F.split("path", "/")
@@ -157,7 +168,7 @@ def skills(files: DataFrame, tokens=approximate_tokens) -> tuple[DataFrame, Data
     links = skill.select("repo", "path", "folder", "body_start_line", F.explode(matches(F.col("body"), LINK)).alias("m")).withColumn("link", F.regexp_extract("m.match", LINK, 1))
     links = links.where(~F.col("link").rlike(f"(?i){NOT_RELATIVE}")).withColumn("bare", F.regexp_extract("link", "^[^#?]*", 0)).where("bare <> ''")
     listed = entries(files).withColumn("exists", F.lit(True))
-    refs = links.withColumn("entry", joined_path("folder", "bare")).join(listed, ["repo", "entry"], "left").select("path", "link", F.coalesce("exists", F.lit(False)).alias("exists"), (F.col("m.line") + F.col("body_start_line") - 1).alias("line"))
+    refs = links.withColumn("entry", resolved(F.col("folder"), F.col("bare"))).join(listed, ["repo", "entry"], "left").select("path", "link", F.coalesce("exists", F.lit(False)).alias("exists"), (F.col("m.line") + F.col("body_start_line") - 1).alias("line"))
     texts = files.where(F.col("path").rlike(TEXT_RESOURCE) & (F.col("size") <= MAX_RESOURCE_BYTES) & (basename(F.col("path")) != "SKILL.md"))
     # A file belongs to every skill folder above it: its ancestors are few, so the join is on folders
     above = F.transform(F.sequence(F.lit(0), F.size(F.split("path", "/")) - 1), lambda k: F.array_join(F.slice(F.split("path", "/"), F.lit(1), k), "/"))
@@ -166,112 +177,6 @@ def skills(files: DataFrame, tokens=approximate_tokens) -> tuple[DataFrame, Data
     return skill.drop("folder"), refs, resources
 
 
-def fences(raw: str) -> list[tuple[int, int]]:
-    """Fenced regions of a context file: a closing line has the opening line's character; the last may run to the end."""
-    out, start, marker, at = [], None, "", 0
-    for line in raw.split("\n"):
-        m = re.match(r"```+|~~~+", line.lstrip())
-        if m and start is None:
-            start, marker = at, m[0][0]
-        elif m and m[0][0] == marker:
-            out.append((start, at + len(line)))
-            start = None
-        at += len(line) + 1
-    return out + ([(start, len(raw))] if start is not None else [])
-
-
-def blanked(raw: str, regions: list[tuple[int, int]]) -> str:
-    """raw with the regions as spaces, newlines kept, so that places stay."""
-    for a, b in regions:
-        raw = raw[:a] + re.sub(r"[^\n]", " ", raw[a:b]) + raw[b:]
-    return raw
-
-
-def clean_reference(token: str, source: str) -> str | None:
-    """A candidate without anchor, closing marks and line numbers; None for URLs, globs, absolute paths, options and scopes."""
-    token = token.strip()
-    if not token or re.search(r"\s", token) or "..." in token or "…" in token:
-        return None
-    token = re.split(r"[#?]" if source == "link" else "#", token)[0]
-    token = re.sub(r":\d+(?::\d+)?$", "", re.sub(r"[.,:;!]+$", "", token))
-    bad = not token or "//" in token or re.match(r"[a-z][a-z0-9+.-]*:", token, re.I) or re.search(r"[*?<>{}$%]", token) or "node_modules" in token
-    return None if bad or re.match(r"[/\\~]|[A-Za-z]:[\\/]", token) or token[0] in "@-" else token
-
-
-def file_references(raw: str) -> list[tuple[str, int, bool]]:
-    """(reference, line, whether it counts even if no such file exists): code spans, then links, then bare words, in order of place.
-
-    A reference that counts only if its file exists is given again for later mentions, which may count by themselves."""
-    text = blanked(raw, fences(raw))
-    found = []
-    spans = list(CODE_SPAN.finditer(text))
-    found += [(m.start() + 1, m[1], "code") for m in spans]
-    text = blanked(text, [m.span() for m in spans])
-    spans = list(MD_LINK.finditer(text))
-    found += [(m.start(), m[1], "link") for m in spans]
-    text = blanked(text, [m.span() for m in spans])
-    found += [(m.start(), m[0], "bare") for m in BARE.finditer(text)]
-    out, sure = [], set()
-    for at, token, source in sorted(found, key=lambda x: x[0]):
-        ref = clean_reference(token, source)
-        if ref is None or ref in sure:
-            continue
-        ext = re.search(r"[^./]\.([A-Za-z0-9]+)$", ref)
-        known, slash = bool(ext and ext[1].lower() in SOURCE_EXTENSIONS), "/" in ref
-        if not known and not slash or known and not slash and ref.lower() in FRAMEWORKS:
-            continue
-        if slash and re.fullmatch(r"[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}", ref.split("/")[0], re.I):
-            continue
-        include = source == "link" or ref.startswith(("./", "../")) or known and slash
-        if include:
-            sure.add(ref)
-        out.append((ref, raw.count("\n", 0, at) + 1, include))
-    return out
-
-
-def command_references(raw: str) -> list[tuple[str, str, str, int]]:
-    """(command, manifest kind, target, line) of package scripts, make targets and just recipes, each command once."""
-    regions = fences(raw)
-    spans = [m.span() for m in CODE_SPAN.finditer(blanked(raw, regions))]
-    out, seen = [], set()
-    for m in COMMAND.finditer(raw):
-        tool, first, second = m.groups()
-        line = raw[raw.rfind("\n", 0, m.start()) + 1 : m.start()]
-        if re.search(r"\bcd\s+\S+\s*(?:&&|;)", line):
-            continue
-        if tool in ("npm", "pnpm", "yarn") and first == "run":
-            if not second or second.startswith("-"):
-                continue
-            target, command = second, f"{tool} run {second}"
-        elif tool == "npm" or first.startswith("-") or tool in ("pnpm", "yarn") and first in BUILTINS:
-            continue
-        elif not any(a <= m.start() < b for a, b in (*regions, *spans)):
-            continue
-        else:
-            target, command = first, f"{tool} {first}"
-        if command not in seen:
-            seen.add(command)
-            out.append((command, tool if tool in ("make", "just") else "package", target, raw.count("\n", 0, m.start()) + 1))
-    return out
-
-
-def manifest_targets(kind: str, text: str) -> list[str] | None:
-    """Scripts, targets or recipes of a manifest; None if it can't be read."""
-    if kind == "package":
-        try:
-            v = json.loads(text)
-        except ValueError:
-            return None
-        if not isinstance(v, dict):
-            return None
-        return list(v["scripts"]) if isinstance(v.get("scripts"), dict) else []
-    if kind == "make":
-        found = (re.match(r"([^\s:=][^:=]*):(?!=)", x) for x in text.split("\n") if not x.startswith(("\t", "#")))
-        return [t for m in found if m for t in m[1].split()]
-    found = (re.match(r"@?([A-Za-z_][A-Za-z0-9_-]*)(?:\s+[^:=\n]*)?:(?!=)", x) for x in text.split("\n"))
-    return [m[1] for m in found if m]
-
-
 def context_files(files: DataFrame, tokens=approximate_tokens) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ctx, ctx_file_ref, ctx_command_ref) of every context file."""
     name = basename(F.col("path"))
@@ -281,33 +186,19 @@ def context_files(files: DataFrame, tokens=approximate_tokens) -> tuple[DataFram
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in CONTEXT_NAMES.items() for x in kv]), F.col("name"))
     ctx = own.select("repo", "path", "name", F.coalesce(kind, F.when(F.col("cursor"), "cursor-rules").otherwise("claude-md")).alias("kind"), "raw", tokens(F.col("raw")).alias("tokens_total"))
 
-    def refs(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = ["repo", "path", "folder", "n", "ref", "line", "include"]
-        for b in rows:
-            yield pd.DataFrame([(r.repo, r.path, r.folder, n, *x) for r in b.itertuples() for n, x in enumerate(file_references(r.raw))], columns=cols)
-
-    def commands(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = ["repo", "path", "folder", "command", "kind", "target", "line"]
-        for b in rows:
-            yield pd.DataFrame([(r.repo, r.path, r.folder, *x) for r in b.itertuples() for x in command_references(r.raw)], columns=cols)
-
-    slim = own.select("repo", "path", "folder", "raw")
+    texts = masked(own.select("repo", "path", "folder", "raw"))
     listed = entries(files).withColumn("exists", F.lit(True))
-    found = slim.mapInPandas(refs, "repo string, path string, folder string, n int, ref string, line int, include boolean").withColumn("entry", joined_path("folder", "ref"))
-    told = found.join(listed, ["repo", "entry"], "left").withColumn("exists", F.coalesce("exists", F.lit(False))).where("include OR exists")
-    file_refs = told.groupBy("path", "ref").agg(F.min_by("exists", "n").alias("exists"), F.min_by("line", "n").alias("line"))
+    found = file_mentions(texts).select("repo", "path", "ref", "pos", "line", "sure", resolved(F.col("folder"), F.col("ref")).alias("entry"))
+    told = found.join(listed, ["repo", "entry"], "left").withColumn("exists", F.coalesce("exists", F.lit(False))).where("sure OR exists")
+    file_refs = told.groupBy("path", "ref").agg(F.min_by("exists", "pos").alias("exists"), F.min_by("line", "pos").alias("line"))
     names = [(n, k, i) for k, own_names in MANIFESTS.items() for i, n in enumerate(own_names)]
     table = files.sparkSession.createDataFrame(names, "base string, kind string, rank int")
-
-    def targets(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in rows:
-            yield pd.DataFrame([(r.repo, r.folder, r.kind, t) for r in b.itertuples() if (own_targets := manifest_targets(r.kind, r.content)) is not None for t in (None, *own_targets)], columns=["repo", "folder", "kind", "target"])
-
-    manifests = files.withColumn("base", basename(F.col("path"))).join(F.broadcast(table), "base").groupBy("repo", dirname(F.col("path")).alias("folder"), "kind").agg(F.min_by("content", "rank").alias("content"))
-    known = manifests.select("repo", "folder", "kind", F.coalesce("content", F.lit("")).alias("content")).mapInPandas(targets, "repo string, folder string, kind string, target string").distinct()
-    there = known.where("target IS NULL").select("repo", "folder", "kind", F.lit(True).alias("there"))
-    hits = known.where("target IS NOT NULL").withColumn("hit", F.lit(True))
+    # The manifest kinds are a fixed table of a few rows
+    content = F.coalesce("content", F.lit(""))
+    manifests = files.withColumn("base", basename(F.col("path"))).join(F.broadcast(table), "base").groupBy("repo", dirname(F.col("path")).alias("folder"), "kind").agg(F.min_by(content, "rank").alias("content"))
     keys = ["repo", "folder", "kind"]
-    cmds = slim.mapInPandas(commands, "repo string, path string, folder string, command string, kind string, target string, line int")
-    command_refs = cmds.join(there, keys, "left").join(hits, [*keys, "target"], "left").select("path", "command", (F.col("there").isNull() | F.col("hit").isNotNull()).alias("known"), "line")
+    first = F.min(F.struct("pos", "line")).alias("m")
+    calls = commands(texts).groupBy("path", "command", *keys, "target").agg(first)
+    known = F.col("targets").isNull() | F.array_contains("targets", F.col("target"))
+    command_refs = calls.join(manifest_targets(manifests), keys, "left").select("path", "command", known.alias("known"), F.col("m.line").alias("line"))
     return ctx, file_refs, command_refs
