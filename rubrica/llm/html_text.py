@@ -2,17 +2,20 @@
 
 A page is read into a tree of its block elements. Each node is content or not; its own features (tag, words of class and id, its own text's length,
 links and punctuation) and the state of its parent give potentials, and sum-product messages, up from the leaves and down from the root,
-give each node's exact marginal. The text of nodes that are content more likely than not, in page order, is the result. The
+give each node's exact marginal. A potential on the page as a whole makes the one state in which nothing is content less likely, so that short pages
+keep their text. The text of nodes that are content more likely than not, in page order, is the result. The
 potentials are trained here on pages whose nodes are labelled, by gradient ascent of their likelihood, for which the same messages give the
 expectations. The labelled pages are made by `labelled_pages` from a grammar of layouts.
 
 Nulls: null or empty html has no text. Broken markup never fails: stray ends are ignored, open elements end with the page, `<` without a
-tag is text. Repeated rows are read one by one. Extra columns are not carried.
+tag is text. Pages of any length are read whole. Ties: a node at one half exactly isn't content. Repeated rows are read one by one. An empty table gives no row. Extra columns
+are not carried, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,7 +29,8 @@ from rubrica.llm.common import pieces as cut
 from rubrica.llm.common import small_batches
 
 # Element names of the HTML standard, by what they do to a tree of blocks.
-RAW = "script style template iframe svg math object canvas audio video noembed xmp"
+RAW = "script style template iframe svg object canvas audio video noembed xmp"
+MAY_CLOSE_ITSELF = "svg object canvas audio video"
 BLOCKS = set("html head title body article section main nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption form fieldset legend select option optgroup textarea button label blockquote pre figure figcaption address details summary dialog noscript center hgroup search menu".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head", "title"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -34,6 +38,7 @@ NOT_IN_P = BLOCKS - set("option optgroup button label select textarea legend sum
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    rf"|<(?:{'|'.join(MAY_CLOSE_ITSELF.split())})(?=[\s/])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"
     rf"|<(?P<raw>{'|'.join(RAW.split())})(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+[^>]*+>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>"
@@ -42,6 +47,8 @@ TAG = re.compile(
 )
 NAMES = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
+#: Names that tell what an element holds or lacks, as has-sidebar, not what it is.
+ABOUT_OTHERS = re.compile(r"\b(?:has|with|without|no)[-_]+[a-z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|\bhidden\b(?!-)|aria-hidden\s*=\s*[\"']?true", re.I)
 
 #: Words of class and id, by what they tell; names that training pages don't use are still known by their group.
@@ -59,7 +66,7 @@ GROUPS = {
 }
 GROUP_OF = {w: [g for g, own in GROUPS.items() if w in own.split()] for own in GROUPS.values() for w in own.split()}
 FEATURES: dict[str, int] = {}
-for _f in ["bias", *(f"tag:{t}" for t in sorted(BLOCKS)), *(f"group:{g}" for g in GROUPS), *(f"any:{w}" for w in ("good", "bad", "hidden", "neither")), *(f"text:{k}" for k in range(7)), *(f"links:{k}" for k in range(4)), "text:closed", "text:open", "words:1", "words:few", "in:list", "in:head"]:
+for _f in ["bias", *(f"tag:{t}" for t in sorted(BLOCKS)), *(f"group:{g}" for g in GROUPS), *(f"any:{w}" for w in ("good", "bad", "hidden", "neither")), *(f"text:{k}" for k in range(7)), *(f"links:{k}" for k in range(4)), "text:closed", "text:open", "words:1", "words:few", "in:list", "under:bad", "under:article", "text:top", "of:root"]:
     FEATURES[_f] = len(FEATURES)
 KINDS = 3  # edges into text blocks, list and table parts, and other containers
 TEXT_TAGS, PART_TAGS = set("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split()), set("ul ol li dl dt dd table tbody thead tfoot tr td th caption figure".split())
@@ -151,7 +158,7 @@ _NAMES: dict[str, tuple[int, ...]] = {}
 
 def name_features(attrs: str) -> tuple[int, ...]:
     if (known := _NAMES.get(attrs)) is None:
-        words = {w for x in NAMES.findall(attrs) for w in NAME_WORD.findall(x.lower())}
+        words = {w for x in NAMES.findall(attrs) for w in NAME_WORD.findall(ABOUT_OTHERS.sub(" ", x.lower()))}
         groups = {g for w in words for g in GROUP_OF.get(w, GROUP_OF.get(w.rstrip("s"), ()))}
         out = [f"group:{g}" for g in groups]
         if groups:
@@ -169,7 +176,23 @@ def name_features(attrs: str) -> tuple[int, ...]:
 _TAGS = {t: FEATURES[f"tag:{t}"] for t in BLOCKS}
 _TEXT = [FEATURES[f"text:{k}"] for k in range(7)]
 _LINKS = [FEATURES[f"links:{k}"] for k in range(4)]
-_CLOSED, _OPEN, _ONE, _FEW, _LIST, _BIAS = (FEATURES[x] for x in ("text:closed", "text:open", "words:1", "words:few", "in:list", "bias"))
+_CLOSED, _OPEN, _ONE, _FEW, _LIST, _BIAS, _UNDER_BAD, _UNDER_ARTICLE, _TOP, _OF_ROOT, _BAD, _GOOD = (FEATURES[x] for x in ("text:closed", "text:open", "words:1", "words:few", "in:list", "bias", "under:bad", "under:article", "text:top", "of:root", "any:bad", "any:good"))
+
+
+def all_features(page: Page) -> list[list[int]]:
+    """The features of each node: its own, and whether one above it is an article or is named as something else."""
+    out: list[list[int]] = []
+    bad, article = [], []  # at the node or above it
+    for i, tag in enumerate(page.tags):
+        own, up = node_features(page, i), page.parent[i]
+        if up >= 0:
+            own += [_UNDER_BAD] * bad[up] + [_UNDER_ARTICLE] * article[up]
+            if up == 0 and tag not in ("head", "body"):
+                own.append(_OF_ROOT)
+        bad.append(_BAD in own and _GOOD not in own and tag != "body" or up >= 0 and bad[up])
+        article.append(tag == "article" or up >= 0 and article[up])
+        out.append(own)
+    return out
 
 
 def node_features(page: Page, i: int) -> list[int]:
@@ -177,6 +200,8 @@ def node_features(page: Page, i: int) -> list[int]:
     out = [_BIAS, _TAGS[tag]]
     if page.names[i]:
         out += name_features(page.names[i])
+    if n and tag in ("html", "body"):
+        out.append(_TOP)
     if n:
         out.append(_TEXT[1 + min(5, (n.bit_length() - 1) // 2)])
         out.append(_LINKS[3 * page.linked[i] // n])
@@ -196,9 +221,10 @@ class Forest:
     """The trees of some pages as arrays: feature lists, parents, edge kinds, and nodes by depth."""
 
     def __init__(self, pages: list[Page]):
-        feats = [node_features(p, i) for p in pages for i in range(len(p.tags))]
+        feats = [x for p in pages for x in all_features(p)]
         sizes = [len(p.tags) for p in pages]
         self.first = np.cumsum(sizes) - sizes
+        self.page = np.repeat(np.arange(len(pages)), sizes)
         self.n = sum(sizes)
         self.flat = np.fromiter((x for f in feats for x in f), np.int64, sum(map(len, feats)))
         self.owner = np.repeat(np.arange(self.n), [len(f) for f in feats])
@@ -218,13 +244,14 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """weights: log-odds of content by feature; edges: log potentials by edge kind, parent state, own state."""
+    """weights: log-odds of content by feature; edges: log potentials by edge kind, parent state, own state; nothing: log potential of a page on which no node is content."""
 
     weights: np.ndarray
     edges: np.ndarray
+    nothing: float = 0.0
 
-    def messages(self, f: Forest) -> tuple[np.ndarray, np.ndarray]:
-        """(node, state) marginals and (node, parent state, state) marginals, exact on trees: messages up by levels, then down."""
+    def messages(self, f: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(node, state) marginals, (node, parent state, state) marginals, and by page the probability that no node is content, without `nothing`; exact on trees: messages up by levels, then down."""
         unary = np.zeros((f.n, 2))
         unary[:, 1] = np.bincount(f.owner, self.weights[f.flat], f.n)
         below = unary.copy()  # own potential and all messages from children
@@ -233,6 +260,7 @@ class Model:
             up[level] = log_sum(self.edges[f.kind[level]] + below[level][:, None, :], 2)
             for s in (0, 1):
                 below[:, s] += np.bincount(f.parent[level], up[level, s], f.n)
+        none = np.bincount(f.page[~f.root], self.edges[f.kind[~f.root], 0, 0], len(f.first)) - log_sum(below[f.root], 1) if f.n else np.zeros(0)
         full = below.copy()
         pair = np.zeros((f.n, 2, 2))
         for level in f.levels[1:]:
@@ -243,7 +271,12 @@ class Model:
             pair[level] = p / p.sum((1, 2), keepdims=True)
             full[level] = below[level] + log_sum(from_parent[:, :, None] + self.edges[f.kind[level]], 1)
         m = np.exp(full - full.max(1, keepdims=True))
-        return m / m.sum(1, keepdims=True), pair
+        return m / m.sum(1, keepdims=True), pair, np.exp(np.minimum(none, 0))
+
+    def contents(self, f: Forest) -> np.ndarray:
+        """Each node's probability of being content: `nothing` weighs one state of the page anew, which has no content, so all others share what it loses."""
+        node, _, none = self.messages(f)
+        return node[:, 1] / (1 - none + math.exp(self.nothing) * none)[f.page] if f.n else np.zeros(0)
 
 
 def fit(pages: list[Page], labels: list[list[int]], rounds: int = 250, rate: float = 4.0, ridge: float = 2e-4) -> Model:
@@ -257,21 +290,27 @@ def fit(pages: list[Page], labels: list[list[int]], rounds: int = 250, rate: flo
     freq = np.maximum(np.bincount(f.flat, minlength=len(FEATURES)), 5)
     of_kind = np.maximum(seen.sum((1, 2), keepdims=True), 5)
     for r in range(rounds):
-        node, pair = model.messages(f)
+        node, pair, none = model.messages(f)
         lr = rate / (1 + r / 50)
         up = np.bincount(f.flat, (y - node[:, 1])[f.owner], len(FEATURES))
         expected = np.zeros((KINDS, 2, 2))
         np.add.at(expected, f.kind[inner], pair[inner])
         model.weights += lr * (up / freq / 6 - ridge * model.weights)
         model.edges += lr * ((seen - expected) / of_kind - ridge * model.edges)
+    # The page's potential, by the likelihood of what the pages show: content or none
+    some = np.bincount(f.page, y, len(pages)) > 0
+    tried = np.linspace(-6, 0, 61)
+    total = [np.where(some, 0, w).sum() - np.log(1 - none + np.exp(w) * none).sum() for w in tried]
+    model.nothing = float(tried[int(np.argmax(total))])
     return model
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> tuple[list[Page], list[list[int]]]:
+def labelled_pages(n: int = 500, seed: int = 11) -> tuple[list[Page], list[list[int]]]:
     """Pages made from a grammar of layouts, and 1 for each node that is content.
 
     An article, in any of the usual wrappers or none, holds headings, paragraphs, lists, quotations, tables and figures; around it, and
     at times within its wrapper, stand menus, headers, footers, sidebars, notices, adverts, forms and readers' comments, by tag or by class.
+    Some articles are a few words long, some pages have nothing but the article, some are a fragment or text without any element, and some have no content.
     """
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
@@ -297,7 +336,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> tuple[list[Page], list[list[
         elif kind == "form":
             body = f"<label>{words(1, 3)}</label><input name=q><textarea>{words(0, 3)}</textarea><button>{words(1, 2)}</button>{pick(['', '<p>' + words(3, 12) + '.</p>'])}"
         elif kind == "talk":
-            each = "".join(f"<{t}{pick(['', name('talk')])}><p>{pick([prose(), words(2, 12)])}</p></{t}>" for t in [("li" if tag == "ol" else "div")] * int(rng.integers(1, 5)))
+            each = "".join(f"<{t}{pick(['', name('talk')])}><p>{pick([prose(), words(2, 12)])}</p></{t}>" for t in [("li" if tag == "ol" else pick(["div", "div", "article"]))] * int(rng.integers(1, 5)))
             body = pick(["", f"<h3>{words(1, 3)}</h3>"] if tag != "ol" else [""]) + each
         else:
             body = pick([prose(), f"<p>{prose()}</p>", words(2, 12), f'<a href="/{word()}">{words(1, 6)}</a>'])
@@ -321,9 +360,9 @@ def labelled_pages(n: int = 400, seed: int = 11) -> tuple[list[Page], list[list[
             return f"<figure><img src=x><figcaption>{words(2, 12)}.</figcaption></figure>"
         return f"<div>{prose()}</div>"
 
-    def article() -> str:
-        parts = [f"<h1>{words(2, 12)}</h1>"] if rng.random() < 0.85 else []
-        parts += [block() for _ in range(int(rng.integers(1, 12)))]
+    def article(short: bool) -> str:
+        parts = [f"<h1>{words(1, 12)}</h1>"] if rng.random() < (0.5 if short else 0.85) else []
+        parts += [f"<p>{words(1, 9).capitalize()}{pick(['.', '.', ''])}</p>" if short else block() for _ in range(int(rng.integers(1, 3 if short else 12)))]
         for _ in range(int(rng.integers(0, 3)) if rng.random() < 0.4 else 0):
             parts.insert(int(rng.integers(len(parts) + 1)), junk("within"))
         body = "".join(parts)
@@ -347,8 +386,18 @@ def labelled_pages(n: int = 400, seed: int = 11) -> tuple[list[Page], list[list[
         around = [junk("around") for _ in range(int(rng.integers(0, 4)))]
         k = int(rng.integers(len(around) + 1))
         title = words(2, 12)
-        source = f'<!DOCTYPE html><html><head data-y="0"><title>{title}</title></head><body data-y="r">{top}{"".join(around[:k])}<div data-y="1" data-only>{article()}</div>{"".join(around[k:])}{foot}</body></html>'
-        source = re.sub(r'<div data-y="1" data-only>(.*)</div>', lambda m: re.sub(r"^<(\w+)", r'<\1 data-y="1"', m[1]), source, count=1, flags=re.S) if rng.random() < 0.8 else source
+        kind = rng.choice(["usual", "short", "alone", "bare", "text", "nothing"], p=[0.64, 0.08, 0.1, 0.06, 0.06, 0.06])
+        body = f'<div data-y="1" data-only>{article(kind in ("short", "alone", "bare"))}</div>'
+        body = re.sub(r'<div data-y="1" data-only>(.*)</div>', lambda m: re.sub(r"^<(\w+)", r'<\1 data-y="1"', m[1]), body, count=1, flags=re.S) if rng.random() < 0.8 else body
+        if kind in ("alone", "bare"):
+            top, around, foot = "", [], ""
+        if kind == "text":
+            top, around, foot, body = pick(["", top]), [], pick(["", foot]), pick([prose(), words(1, 9), f"{prose()}<br>{prose()}"])
+        if kind == "nothing":
+            body = ""
+        head = f'<head data-y="0"><title>{title}</title></head>' if kind != "bare" else ""
+        inner = f'{top}{"".join(around[:k])}{body}{"".join(around[k:])}{foot}'
+        source = body if kind == "bare" else f'<!DOCTYPE html><html>{head}<body data-y="{"1" if kind == "text" else "r"}">{inner}</body></html>'
         page = parse(source)
         y = []
         for i, attrs in enumerate(page.names):
@@ -361,7 +410,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> tuple[list[Page], list[list[
     return pages, labels
 
 
-def train(n: int = 400, seed: int = 11) -> Model:
+def train(n: int = 500, seed: int = 11) -> Model:
     return fit(*labelled_pages(n, seed))
 
 
@@ -369,7 +418,7 @@ def main_texts(model: Model, sources: list[str], least: float = 0.5) -> list[str
     """The main text of each page."""
     pages = [parse(s) for s in sources]
     f = Forest(pages)
-    keep = (model.messages(f)[0][:, 1] > least).tolist() if f.n else []
+    keep = (model.contents(f) > least).tolist()
     out = []
     for p, at in zip(pages, f.first.tolist(), strict=True):
         out.append(" ".join("".join(" " if i < 0 else t if keep[at + i] else "" for i, t in p.segments).split()))

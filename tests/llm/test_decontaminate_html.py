@@ -103,3 +103,43 @@ def test_held_out_layouts():
     y = np.asarray([v for own in labels for v in own])
     text = np.asarray([c > 0 for g in pages for c in g.chars])
     assert ((p > 0.5) == y)[text].mean() > 0.97
+
+
+def test_short_and_bare_pages_keep_their_text_and_comments_go():
+    from rubrica.llm import html_text as H
+
+    cases = {
+        "<html><body><article><p>Short one.</p></article></body></html>": "Short one.",
+        "<body><article><h1>T</h1><p>Body text goes here and is long enough.</p><section class='comments'><article><p>Nice, thanks!</p></article><article><p>I agree.</p></article></section></article></body>": "T Body text goes here and is long enough.",
+        "<body><article><h1>T</h1><p>Body text goes here and is long enough.</p></article><ol id=comment-list><li><p>Nice, thanks!</p></li></ol></body>": "T Body text goes here and is long enough.",
+        "<body><article><p>one</p><svg class='i'/><p>two</p></article></body>": "one two",
+        "<body><article><p>one</p><svg><text>no</text></svg><p>two <math><mi>x</mi></math></p></article></body>": "one two x",
+        "<body class='has-sidebar'><nav><a href=x>Home</a></nav><div><p>Plain page text.</p></div><footer>(c) x</footer></body>": "Plain page text.",
+        "<body><div class='zork'><h1>Plain title</h1><p>Text without names. And more of it.</p></div></body>": "Plain title Text without names. And more of it.",
+        "<p>Only a paragraph</p>": "Only a paragraph",
+        "<body>just text</body>": "just text",
+        "<body><main><p>A</p></main></body>": "A",
+        "<body><nav><ul><li><a href=x>Home</a></li></ul></nav><footer>(c) x</footer></body>": "",
+        "<body><article><p><b><i><em><span><u>deep</u></span></em></i></b><div>next</div></article></body>": "deep next",
+    }
+    assert dict(zip(cases, H.main_texts(H.train(), list(cases)), strict=True)) == cases
+
+
+def test_a_page_of_nothing_weighs_one_state_only():
+    import itertools
+
+    import numpy as np
+
+    from rubrica.llm import html_text as H
+
+    rng = np.random.default_rng(1)
+    model = H.Model(rng.normal(size=len(H.FEATURES)), rng.normal(size=(H.KINDS, 2, 2)), -1.3)
+    page = H.parse("<body><div><p>a b.</p><p>c</p></div></body>")
+    f = H.Forest([page])
+    unary = np.bincount(f.owner, model.weights[f.flat], f.n)
+    total, content = 0.0, np.zeros(f.n)
+    for y in itertools.product((0, 1), repeat=f.n):
+        w = np.exp(sum(unary[i] * y[i] for i in range(f.n)) + sum(model.edges[f.kind[i], y[f.parent[i]], y[i]] for i in range(1, f.n)) + (model.nothing if not any(y) else 0))
+        total += w
+        content += w * np.asarray(y)
+    assert np.allclose(model.contents(f), content / total)
