@@ -55,7 +55,7 @@ class Model:
     clean: np.ndarray  # by bucket: clean documents that have it
     toxic: np.ndarray
     base: float  # share of toxic documents, weighted by distinct tokens
-    kappa: float = 6.0
+    kappa: float = 20.0
     drift: float = 1.5
     lam: float = 1.0
     ln_k: float = 0.0
