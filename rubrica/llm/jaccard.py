@@ -366,7 +366,7 @@ def roots_of(n: int, i: np.ndarray, j: np.ndarray, keys: np.ndarray) -> np.ndarr
 FOUND = "key long, root long, links long, classes long, work array<long>"
 FOUND_SCHEMA = pa.schema([("key", pa.int64()), ("root", pa.int64()), ("links", pa.int64()), ("classes", pa.int64()), ("work", pa.list_(pa.int64()))])
 #: Sets in a tile's side, and shingles in them, on average at most.
-BLOCK, BLOCK_SHINGLES = 1500, 500_000
+BLOCK, BLOCK_SHINGLES = 6000, 3_000_000
 #: Rows of a table that is sent to all executors at most; 16 to 60 bytes each.
 BROADCAST_ROWS = 200_000
 
