@@ -91,3 +91,26 @@ def test_numbering_is_gapless_for_a_hot_key(spark):
     assert len(out) == 5000
     for _, g in out.groupby("g"):
         assert sorted(g.n) == list(range(len(g)))
+
+
+def test_patterns_carry_the_bulk_and_best_fit_the_residue():
+    rng = np.random.default_rng(8)
+    lengths = np.clip(np.exp(rng.normal(6, 1, 20_000)).astype(int), 1, 2048)
+    hist = np.bincount(lengths, minlength=2049)
+    counts = {int(k): int(hist[k]) for k in np.flatnonzero(hist)}
+    total = sum(p.repeats for p in packing.pack_histogram(counts, 2048))
+    full = int(hist[2048])
+    hist[2048] = 0
+    by_patterns = sum(p.repeats for p in packing.fitted(hist.copy(), 2048))
+    assert by_patterns > 0.6 * (total - full)
+    assert total <= 1.001 * -(-int(lengths.sum()) // 2048) + 1
+
+
+def test_ids_of_random_words_are_the_tokenizers_own():
+    tok, words = packing.tokenizer_at(TOKENIZER), packing.WordIds(TOKENIZER, most=50)
+    rng = np.random.default_rng(6)
+    letters = list("abcéßñœÅΣσςIıİ中日ไทย'.,;:!?()[]{}\"$%&*#012 <|>\n\t\u00a0\u0301\u1f71")
+    for _ in range(40):
+        texts = ["".join(rng.choice(letters, int(rng.integers(0, 60)))) for _ in range(20)]
+        for t, got in zip(texts, words.texts(texts), strict=True):
+            assert got == np.asarray(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
