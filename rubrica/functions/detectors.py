@@ -6,6 +6,8 @@ and must not match are fixed by tests.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,19 @@ SECRETS = [
     ("Slack token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
     ("private key block", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
 ]
+#: Words that each pattern needs, by pattern: one at least of every tuple, in lower case but for secrets.
+INJECTION_WORDS = [
+    [("ignore", "disregard", "forget"), ("instructions",)],
+    [("not",), ("tell", "inform", "mention", "reveal", "alert", "notify", "warn", "surface"), ("user", "person", "human")],
+    [("don't", "not", "never"), ("mention", "reveal", "show", "display", "surface"), ("this",)],
+    [("hide",), ("from", "message", "instruction", "tool")],
+    [("reveal", "leak", "exfiltrate", "repeat", "dump", "disclose"), ("system",), ("prompt",)],
+    [("before",), ("using", "calling", "invoking"), ("other",), ("tool",)],
+    [("use", "call", "invoke"), ("this",), ("tool",), ("first", "instead")],
+    [("<",), ("important>", "system>", "admin>", "hidden>", "secret>", "instruction>", "instructions>")],
+]
+FETCH_WORDS = [[("curl", "wget"), ("|",)], [("download",), ("run", "execute")], [("eval",), ("fetch", "request", "urlopen")]]
+SECRET_WORDS = [("AKIA",), ("ghp_", "github_pat_"), ("sk-ant-",), ("sk-",), ("xox",), ("PRIVATE KEY-----",)]
 # Unicode 15 ranges of pictographs, emoji modifiers, the variation selector and the joiner.
 PICTOGRAPHS = "A9 AE 203C 2049 2122 2139 2194-2199 21A9-21AA 231A-231B 2328 2388 23CF 23E9-23F3 23F8-23FA 24C2 25AA-25AB 25B6 25C0 25FB-25FE 2600-2605 2607-2612 2614-2685 2690-2705 2708-2712 2714 2716 271D 2721 2728 2733-2734 2744 2747 274C 274E 2753-2755 2757 2763-2767 2795-2797 27A1 27B0 27BF 2934-2935 2B05-2B07 2B1B-2B1C 2B50 2B55 3030 303D 3297 3299 1F000-1F0FF 1F10D-1F10F 1F12F 1F16C-1F171 1F17E-1F17F 1F18E 1F191-1F19A 1F1AD-1F1E5 1F201-1F20F 1F21A 1F22F 1F232-1F23A 1F23C-1F23F 1F249-1F3FA 1F400-1F53D 1F546-1F64F 1F680-1F6FF 1F774-1F77F 1F7D5-1F7FF 1F80C-1F80F 1F848-1F84F 1F85A-1F85F 1F888-1F88F 1F8AE-1F8FF 1F90C-1F93A 1F93C-1F945 1F947-1FAFF 1FC00-1FFFD 1F3FB-1F3FF FE0F 200D"
 EMOJI = "[" + "".join("-".join(rf"\x{{{x}}}" for x in r.split("-")) for r in PICTOGRAPHS.split()) + "]"
@@ -54,27 +69,34 @@ def tagged(kind: str | Column, hits: Column) -> Column:
     return F.transform(hits, lambda h: F.struct(k.alias("kind"), h["pos"].alias("pos"), h["line"].alias("line"), h["match"].alias("match")))
 
 
-def scan(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    """Hits of all patterns in order of place, then of pattern; those of exempt kinds only outside closed fences."""
+def holds(text: Column, words: list[tuple[str, ...]]) -> Column:
+    """Whether a text has one word, at least, of each tuple: a cheap search for literals that every match of a pattern needs."""
+    return reduce(lambda a, b: a & b, [any_word(text, w) for w in words])
+
+
+def any_word(text: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+
+
+def scan(text: Column, patterns: list[tuple[str, str]], needed: list[list[tuple[str, ...]]]) -> Column:
+    """Hits of all patterns in order of place, then of pattern; those of exempt kinds only outside closed fences. A pattern searches only texts with the words it needs."""
     fences = F.transform(matches(text, FENCE), lambda f: F.struct(f["pos"].alias("a"), (f["pos"] + F.length(f["match"])).alias("b")))
-    out = []
-    for kind, p in patterns:
+    low, out = F.lower(text), []
+    for (kind, p), words in zip(patterns, needed, strict=True):
         hits = matches(text, regex(p, "i"))
         if kind in FENCE_EXEMPT:
             hits = F.filter(hits, lambda h: ~F.exists(fences, lambda f: (h["pos"] >= f["a"]) & (h["pos"] < f["b"])))
-        out.append(tagged(kind, hits))
-    # A text without any of the phrases, which is nearly every text, is settled by one search
-    some = text.rlike("|".join(regex(p, "i") for _, p in patterns))
+        out.append(F.when(holds(low, words), tagged(kind, hits)).otherwise(F.array().cast(FOUND)))
     placed = F.array_sort(F.transform(F.concat(*out), lambda h, i: F.struct(h["pos"].alias("pos"), i.alias("i"), h.alias("h"))))
-    return F.when(some, F.transform(placed, lambda x: x["h"])).otherwise(F.array().cast(FOUND))
+    return F.transform(placed, lambda x: x["h"])
 
 
 def injection_phrases(text: Column) -> Column:
-    return scan(text, INJECTION)
+    return scan(text, INJECTION, INJECTION_WORDS)
 
 
 def fetch_execute(text: Column) -> Column:
-    return scan(text, FETCH)
+    return scan(text, FETCH, FETCH_WORDS)
 
 
 def base64_blobs(text: Column, least: int) -> Column:
@@ -85,10 +107,9 @@ def base64_blobs(text: Column, least: int) -> Column:
 
 def secrets(text: Column) -> Column:
     """Credential shapes, shown by their ends only."""
-    found = F.concat(*[tagged(kind, matches(text, regex(p))) for kind, p in SECRETS])
+    found = F.concat(*[F.when(any_word(text, w), tagged(kind, matches(text, regex(p)))).otherwise(F.array().cast(FOUND)) for (kind, p), w in zip(SECRETS, SECRET_WORDS, strict=True)])
     show = lambda m: F.concat(F.substring(m, 1, 8), F.lit("…"), F.substring(m, -4, 4))
-    told = F.transform(found, lambda h: F.struct(h["kind"].alias("kind"), h["pos"].alias("pos"), h["line"].alias("line"), show(h["match"]).alias("match")))
-    return F.when(text.rlike("|".join(regex(p) for _, p in SECRETS)), told).otherwise(F.array().cast(FOUND))
+    return F.transform(found, lambda h: F.struct(h["kind"].alias("kind"), h["pos"].alias("pos"), h["line"].alias("line"), show(h["match"]).alias("match")))
 
 
 def hidden_unicode(text: Column) -> Column:

@@ -45,7 +45,7 @@ def trimmed(text: Column) -> Column:
 
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units: characters beyond the basic plane count twice."""
-    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10ffff}]", ""))
+    return F.shiftright(F.octet_length(F.encode(text, "UTF-16BE")), 1)
 
 
 def utf16_prefix(text: Column, units: int) -> Column:
@@ -61,7 +61,7 @@ def line_count(text: Column) -> Column:
 def matches(text: Column, pattern: str) -> Column:
     """All matches of a Java pattern that can't match nothing: array of (pos from 0, line from 1, match), in order."""
     parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(found, F.slice(parts, F.lit(1), F.size(found)), lambda m, p: F.struct(p.alias("p"), m.alias("m")))
+    pairs = F.filter(F.zip_with(parts, found, lambda p, m: F.struct(p.alias("p"), m.alias("m"))), lambda x: x["m"].isNotNull())  # the last part ends without a match
     start = F.struct(F.lit(0).alias("pos"), F.lit(1).alias("line"), F.array().cast(HIT).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -112,8 +112,9 @@ FOREIGN = regex(r"(?<![\w])(?:der|die|das|und|nicht|wenn|für|eine?[nmr]?|möcht
 
 def mostly_english(text: Column) -> Column:
     """Few letters beyond ASCII and fewer than two function words of other languages."""
-    letters, ascii_letters = F.regexp_count(text, F.lit(r"\p{L}")), F.regexp_count(text, F.lit("[a-zA-Z]"))
-    return (letters == 0) | ((ascii_letters / letters >= 0.66) & (F.regexp_count(text, F.lit(FOREIGN)) < 2))
+    ascii_letters, others = F.length(F.regexp_replace(text, "[^a-zA-Z]+", "")), F.length(F.regexp_replace(text, r"[\x00-\x7F\P{L}]+", ""))
+    share = F.try_divide(ascii_letters, ascii_letters + others)  # null without letters, when there are no words either
+    return F.coalesce(share >= 0.66, F.lit(True)) & (F.regexp_count(text, F.lit(FOREIGN)) < 2)
 
 
 def fenced_blocks(body: Column) -> Column:
