@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rubrica.llm import decontaminate, html_text, jaccard, language, packing, quality, quality_rules, sharding, toxicity, warc
+from rubrica.llm import decontaminate, html_text, jaccard, language, merkle, packing, pigeonring, quality, quality_rules, sharding, sort_means, toxicity, warc
 
 QUERIES = {
     "op1_block_max_wand": decontaminate.op1_block_max_wand,
@@ -15,7 +15,12 @@ QUERIES = {
     "op8_signature_trees": jaccard.op8_signature_trees,
     "op9_tree_model": html_text.op9_tree_model,
     "op10_pattern_packing": packing.op10_pattern_packing,
+    "op11_sort_means": sort_means.op11_sort_means,
+    "op12_postorder_manifest": merkle.op12_postorder_manifest,
+    "op13_pigeonring": pigeonring.op13_pigeonring,
 }
 ORACLE_SQL = {
     "op6_line_first": quality_rules.ORACLE_SQL,
+    "op11_sort_means": sort_means.ORACLE_SQL,
+    "op12_postorder_manifest": merkle.ORACLE_SQL,
 }
