@@ -66,7 +66,7 @@ GROUPS = {
 }
 GROUP_OF = {w: [g for g, own in GROUPS.items() if w in own.split()] for own in GROUPS.values() for w in own.split()}
 FEATURES: dict[str, int] = {}
-for _f in ["bias", *(f"tag:{t}" for t in sorted(BLOCKS)), *(f"group:{g}" for g in GROUPS), *(f"any:{w}" for w in ("good", "bad", "hidden", "neither")), *(f"text:{k}" for k in range(7)), *(f"links:{k}" for k in range(4)), "text:closed", "text:open", "words:1", "words:few", "in:list", "under:bad", "under:article", "text:top", "of:root"]:
+for _f in ["bias", *(f"tag:{t}" for t in sorted(BLOCKS)), *(f"group:{g}" for g in GROUPS), *(f"any:{w}" for w in ("good", "bad", "hidden", "neither")), *(f"text:{k}" for k in range(7)), *(f"links:{k}" for k in range(4)), "text:closed", "text:open", "words:1", "words:few", "in:list", "under:bad", "under:article", "text:top", "of:root", "top:text", "top:part", "top:box"]:
     FEATURES[_f] = len(FEATURES)
 KINDS = 3  # edges into text blocks, list and table parts, and other containers
 TEXT_TAGS, PART_TAGS = set("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split()), set("ul ol li dl dt dd table tbody thead tfoot tr td th caption figure".split())
@@ -179,6 +179,9 @@ _LINKS = [FEATURES[f"links:{k}"] for k in range(4)]
 _CLOSED, _OPEN, _ONE, _FEW, _LIST, _BIAS, _UNDER_BAD, _UNDER_ARTICLE, _TOP, _OF_ROOT, _BAD, _GOOD = (FEATURES[x] for x in ("text:closed", "text:open", "words:1", "words:few", "in:list", "bias", "under:bad", "under:article", "text:top", "of:root", "any:bad", "any:good"))
 
 
+_TOP_KINDS = [FEATURES[f"top:{k}"] for k in ("text", "part", "box")]
+
+
 def all_features(page: Page) -> list[list[int]]:
     """The features of each node: its own, and whether one above it is an article or is named as something else."""
     out: list[list[int]] = []
@@ -189,6 +192,8 @@ def all_features(page: Page) -> list[list[int]]:
             own += [_UNDER_BAD] * bad[up] + [_UNDER_ARTICLE] * article[up]
             if up == 0 and tag not in ("head", "body"):
                 own.append(_OF_ROOT)
+            if page.tags[up] == "body" or up == 0 and tag not in ("head", "body"):
+                own.append(_TOP_KINDS[0 if tag in TEXT_TAGS else 1 if tag in PART_TAGS else 2])
         bad.append(_BAD in own and _GOOD not in own and tag != "body" or up >= 0 and bad[up])
         article.append(tag == "article" or up >= 0 and article[up])
         out.append(own)
@@ -305,12 +310,14 @@ def fit(pages: list[Page], labels: list[list[int]], rounds: int = 250, rate: flo
     return model
 
 
-def labelled_pages(n: int = 500, seed: int = 11) -> tuple[list[Page], list[list[int]]]:
+def labelled_pages(n: int = 800, seed: int = 11) -> tuple[list[Page], list[list[int]]]:
     """Pages made from a grammar of layouts, and 1 for each node that is content.
 
     An article, in any of the usual wrappers or none, holds headings, paragraphs, lists, quotations, tables and figures; around it, and
     at times within its wrapper, stand menus, headers, footers, sidebars, notices, adverts, forms and readers' comments, by tag or by class.
     Some articles are a few words long, some pages have nothing but the article, some are a fragment or text without any element, and some have no content.
+    In some the article's blocks stand in the body itself, beside the rest; some have no body element. A share of the names of both kinds is of words that tell nothing, and some
+    articles have words of the other kind beside their own.
     """
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
@@ -319,9 +326,15 @@ def labelled_pages(n: int = 500, seed: int = 11) -> tuple[list[Page], list[list[
     words = lambda a, b: " ".join(word() for _ in range(int(rng.integers(a, b))))
     prose = lambda: " ".join(words(1, 25).capitalize() + "." for _ in range(int(rng.integers(1, 7))))
 
-    def name(group: str) -> str:
+    def name(group: str, silent: float = 0.0) -> str:
+        """silent: the share of names that tell nothing."""
         w = pick(GROUPS[group].split())
         w = pick([w, f"{w}-{word()}", f"{word()}_{w}", f"{w} {word()}"])
+        if group == "good" and rng.random() < 0.25:
+            more = [f"{pick(GROUPS[pick(['side', 'ad', 'notice', 'share', 'head', 'foot', 'form'])].split())}{pick(['', '-' + word()])}" for _ in range(int(rng.integers(1, 3)))]
+            w = " ".join([w, *more] if rng.random() < 0.7 else [*more, w])
+        if rng.random() < silent:
+            w = pick([word(), f"{word()}-{word()}", f"{word()} {word()}_{word()}"])
         return f' {pick(["class", "class", "id"])}="{w}"'
 
     def links(k: int, tag: str = "li") -> str:
@@ -330,9 +343,10 @@ def labelled_pages(n: int = 500, seed: int = 11) -> tuple[list[Page], list[list[
     def junk(where: str) -> str:
         kind = pick(["menu", "side", "ad", "notice", "talk", "share", "form"] if where == "around" else ["ad", "share", "side", "notice", "talk", "form"])
         tag = pick({"menu": ["nav", "div", "ul"], "side": ["aside", "div", "section"], "talk": ["section", "div", "ol"], "form": ["form"]}.get(kind, ["div", "section"]))
-        own = "" if tag in ("nav", "aside", "form") and rng.random() < 0.5 else name(kind)
+        told = tag in ("nav", "aside", "form")
+        own = "" if told and rng.random() < 0.5 else name(kind, 0.3 if told or kind == "menu" else 0.0)
         if kind in ("menu",) or kind in ("side", "share") and rng.random() < 0.7:
-            body = links(int(rng.integers(3, 9))) if tag in ("ul", "ol") else f"{pick(['', '<h3>' + words(1, 3) + '</h3>'])}<ul>{links(int(rng.integers(3, 9)))}</ul>"
+            body = links(int(rng.integers(1, 9))) if tag in ("ul", "ol") else f"{pick(['', '<h3>' + words(1, 3) + '</h3>'])}<ul>{links(int(rng.integers(2, 9)))}</ul>"
         elif kind == "form":
             body = f"<label>{words(1, 3)}</label><input name=q><textarea>{words(0, 3)}</textarea><button>{words(1, 2)}</button>{pick(['', '<p>' + words(3, 12) + '.</p>'])}"
         elif kind == "talk":
@@ -360,35 +374,38 @@ def labelled_pages(n: int = 500, seed: int = 11) -> tuple[list[Page], list[list[
             return f"<figure><img src=x><figcaption>{words(2, 12)}.</figcaption></figure>"
         return f"<div>{prose()}</div>"
 
-    def article(short: bool) -> str:
+    def article(short: bool, flat: bool = False) -> str:
         parts = [f"<h1>{words(1, 12)}</h1>"] if rng.random() < (0.5 if short else 0.85) else []
         parts += [f"<p>{words(1, 9).capitalize()}{pick(['.', '.', ''])}</p>" if short else block() for _ in range(int(rng.integers(1, 3 if short else 12)))]
         for _ in range(int(rng.integers(0, 3)) if rng.random() < 0.4 else 0):
             parts.insert(int(rng.integers(len(parts) + 1)), junk("within"))
+        if flat:
+            return "".join(x if 'data-y="0"' in x[: x.find(">") + 1] else re.sub(r"^<(\w+)", r'<\1 data-y="1"', x) for x in parts)
         body = "".join(parts)
         form = rng.random()
         if form < 0.45:
-            body = f"<article{pick(['', name('good')])}>{body}</article>"
+            body = f"<article{pick(['', name('good', 0.2)])}>{body}</article>"
         elif form < 0.6:
-            body = f"<main>{pick(['', '<section>'])}{body}</main>"
+            body = f"<main{pick(['', '', name('good', 0.2)])}>{pick(['', '<section>'])}{body}</main>"
         elif form < 0.9:
             body = f"<div{name('good')}>{body}</div>"
         else:
-            body = f"<div>{body}</div>"
+            body = f"<div{pick(['', f' class={word()}'])}>{body}</div>"
         return f"<{(t := pick(['div', 'main', 'section']))}{pick(['', name('good')])}>{body}</{t}>" if rng.random() < 0.4 else body
 
     pages, labels = [], []
     for _ in range(n):
         top = f'<header{pick(["", name("head")])} data-y="0">{pick(["<h1>" + words(1, 3) + "</h1>", "<p>" + words(2, 8) + "</p>", ""])}{pick(["", "<nav><ul>" + links(5) + "</ul></nav>"])}</header>' if rng.random() < 0.5 else ""
         if rng.random() < 0.7:
-            top += f'<nav{pick(["", name("menu")])} data-y="0"><ul>{links(int(rng.integers(3, 9)))}</ul></nav>'
+            items = int(rng.integers(1, 9))
+            top += f'<nav{pick(["", name("menu", 0.2)])} data-y="0">{pick(["<ul>" + links(items) + "</ul>", "<ul>" + links(items) + "</ul>", links(items, "span")])}</nav>'
         foot = f'<footer{pick(["", name("foot")])} data-y="0">{pick(["&copy; " + words(1, 6), "<p>&copy; " + prose() + "</p>", "<ul>" + links(4) + "</ul>", word() + ".example &middot; " + prose()])}</footer>' if rng.random() < 0.8 else f'<div{name("foot")} data-y="0">{words(2, 12)}</div>'
         around = [junk("around") for _ in range(int(rng.integers(0, 4)))]
         k = int(rng.integers(len(around) + 1))
         title = words(2, 12)
-        kind = rng.choice(["usual", "short", "alone", "bare", "text", "nothing"], p=[0.64, 0.08, 0.1, 0.06, 0.06, 0.06])
-        body = f'<div data-y="1" data-only>{article(kind in ("short", "alone", "bare"))}</div>'
-        body = re.sub(r'<div data-y="1" data-only>(.*)</div>', lambda m: re.sub(r"^<(\w+)", r'<\1 data-y="1"', m[1]), body, count=1, flags=re.S) if rng.random() < 0.8 else body
+        kind = rng.choice(["usual", "flat", "short", "alone", "bare", "text", "nothing"], p=[0.48, 0.14, 0.12, 0.08, 0.06, 0.06, 0.06])
+        body = article(rng.random() < 0.3, True) if kind == "flat" else f'<div data-y="1" data-only>{article(kind in ("short", "alone", "bare"))}</div>'
+        body = re.sub(r'<div data-y="1" data-only>(.*)</div>', lambda m: re.sub(r"^<(\w+)", r'<\1 data-y="1"', m[1]), body, count=1, flags=re.S) if kind != "flat" and rng.random() < 0.8 else body
         if kind in ("alone", "bare"):
             top, around, foot = "", [], ""
         if kind == "text":
@@ -397,7 +414,8 @@ def labelled_pages(n: int = 500, seed: int = 11) -> tuple[list[Page], list[list[
             body = ""
         head = f'<head data-y="0"><title>{title}</title></head>' if kind != "bare" else ""
         inner = f'{top}{"".join(around[:k])}{body}{"".join(around[k:])}{foot}'
-        source = body if kind == "bare" else f'<!DOCTYPE html><html>{head}<body data-y="{"1" if kind == "text" else "r"}">{inner}</body></html>'
+        whole = kind == "text" or rng.random() < 0.88
+        source = body if kind == "bare" else inner if not whole else f'<!DOCTYPE html><html>{head}<body data-y="{"1" if kind in ("text", "flat") else "r"}">{inner}</body></html>'
         page = parse(source)
         y = []
         for i, attrs in enumerate(page.names):
@@ -410,7 +428,7 @@ def labelled_pages(n: int = 500, seed: int = 11) -> tuple[list[Page], list[list[
     return pages, labels
 
 
-def train(n: int = 500, seed: int = 11) -> Model:
+def train(n: int = 800, seed: int = 11) -> Model:
     return fit(*labelled_pages(n, seed))
 
 

@@ -58,7 +58,7 @@ def test_questions_and_answers():
     assert D.question_and_answer("one two three") == ("one two ", "three")
 
 
-MODEL = H.train(200)
+MODEL = H.train()
 
 
 def test_main_text_of_pages(spark):
@@ -70,8 +70,9 @@ def test_main_text_of_pages(spark):
     }
     rows = [(i, f"u{i}", h) for i, h in enumerate(cases)] + [(90, None, None), (None, "u", list(cases)[0]), (91, "u", "<div>" * 3000 + "x"), (92, "u", "</p></div>&amp")]
     out = {r.page_id: r for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), MODEL).collect()}
-    for i, want in enumerate(list(cases.values())[:3]):
+    for i, want in enumerate(cases.values()):
         assert out[i].text == want and out[i].n_chars == len(want)
+    assert out[91].text == "x" and out[92].text == "&"
     assert out[90].text == "" and out[None].text == list(cases.values())[0] and len(out) == len(rows)
 
 
@@ -143,3 +144,34 @@ def test_a_page_of_nothing_weighs_one_state_only():
         total += w
         content += w * np.asarray(y)
     assert np.allclose(model.contents(f), content / total)
+
+
+#: Layouts that training pages don't have as such, or whose names tell nothing.
+LAYOUTS = {
+    "<body><nav><ul><li><a href=/>Home</a></li><li><a href=/b>About</a></li></ul></nav><p>One paragraph of the article.</p><p>Another one follows it here.</p><footer>(c) x</footer></body>": "One paragraph of the article. Another one follows it here.",
+    '<body><article class="post tags-news toast"><h1>Title</h1><p>Some text of the article is here.</p><p>More.</p></article></body>': "Title Some text of the article is here. More.",
+    '<nav><ul><li><a href="/">Home</a></li></ul></nav><article><h1>A  title</h1><p>Text.</article><footer>&copy; x</footer>': "A title Text.",
+    '<body><div class="zq1"><ul><li><a href=/a>Start</a></li><li><a href=/b>News</a></li><li><a href=/c>Shop</a></li></ul></div><div class="lorp-9"><h1>Rivers rise</h1><p>The river rose by two metres on Monday.</p><p>Nobody was hurt, said the mayor.</p></div><footer class="qq"><p>&copy; 2024 Paper.</p></footer></body>': "Rivers rise The river rose by two metres on Monday. Nobody was hurt, said the mayor.",
+    "<html><body><header><h1>Site</h1></header><h2>A heading</h2><p>First the cat sat down.</p><ul><li>one thing</li><li>another thing</li></ul><aside><p>Read also this story.</p></aside><p>Then it left.</p><footer>&copy; x</footer></body></html>": "A heading First the cat sat down. one thing another thing Then it left.",
+    '<body><main class="kolp vand"><h1>Bread</h1><p>Mix flour and water.</p><blockquote>Bread is life.</blockquote></main><aside class="ulk"><ul><li><a href=1>x y</a></li><li><a href=2>z</a></li></ul></aside></body>': "Bread Mix flour and water. Bread is life.",
+    '<body><table class="ux"><tr><td><p>An old page with a table layout has its text in a cell.</p><p>It goes on here, for a while.</p></td></tr></table></body>': "An old page with a table layout has its text in a cell. It goes on here, for a while.",
+    '<body><section class="brim"><section><h2>Part one</h2><p>It began in May.</p></section><section><h2>Part two</h2><p>It ended in June.</p></section></section><form><label>Name</label><input><button>Go</button></form></body>': "Part one It began in May. Part two It ended in June.",
+}
+
+
+def test_layouts_whichever_pages_are_drawn():
+    for model in (MODEL, H.train(seed=12), H.train(seed=13)):
+        assert dict(zip(LAYOUTS, H.main_texts(model, list(LAYOUTS)), strict=True)) == LAYOUTS
+
+
+def test_pages_of_any_kind(spark):
+    from pyspark.sql import functions as F
+
+    page = list(LAYOUTS)[0]
+    long = "<article>" + "<p>A sentence of the article, which goes on.</p>" * 20_000 + "</article>"
+    rows = [(1, "u", page)] * 3 + [(None, None, page), (2, "u", long)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "n_chars": F.lit(1), "h": F.lit("x"), "k": F.lit(0)})
+    out = H.extract(df, MODEL).collect()
+    assert [r.text for r in out if r.page_id != 2] == [LAYOUTS[page]] * 4
+    assert next(r.text for r in out if r.page_id == 2) == " ".join(["A sentence of the article, which goes on."] * 20_000)
+    assert H.extract(df.where("false"), MODEL).collect() == []
