@@ -13,6 +13,7 @@ from rubrica.functions import detectors as D
 from rubrica.functions.text import matches, regex, trimmed
 from rubrica.operators.catalog import active
 from rubrica.operators.hits import by_row, hit, none, rows, text
+from rubrica.operators.joins import opposed
 
 TYPE = "context-file"
 
@@ -26,29 +27,18 @@ def normal_heading(t: Column) -> Column:
     return F.lower(F.regexp_replace(trimmed(F.regexp_replace(t, "[*_`]", "")), "[?!.:]+$", ""))
 
 
-def absolutes(word: str) -> Column:
-    """(phrase, tokens, line) of each "always ..." or "never ..." phrase; every token counts."""
+def absolutes(ctx: DataFrame) -> DataFrame:
+    """(path, positive, words, own: place, phrase and line) of each "always ..." or "never ..." phrase; every token counts. Of phrases with the same tokens the first stands for all."""
+    found = ctx.where(F.col("raw").rlike(ABSOLUTE)).select("path", F.explode(matches(F.col("raw"), ABSOLUTE)).alias("h"))
+    first, rest = F.regexp_extract("h.match", ABSOLUTE, 1), F.regexp_extract("h.match", ABSOLUTE, 2)
+    told = found.select("path", (F.lower(first) == "always").alias("positive"), F.split(F.lower(rest), "[ \t]+").alias("words"), F.struct("h.pos", F.concat(first, F.lit(" "), rest).alias("phrase"), "h.line").alias("own"))
+    return told.groupBy("path", "positive", "words").agg(F.min("own").alias("own"))
 
-    def entry(h: Column) -> Column:
-        first, rest = F.regexp_extract(h["match"], ABSOLUTE, 1), F.regexp_extract(h["match"], ABSOLUTE, 2)
-        return F.struct(F.concat(first, F.lit(" "), rest).alias("phrase"), F.split(F.lower(rest), "[ \t]+").alias("tokens"), h["line"].alias("line"))
 
-    return F.transform(F.filter(matches(F.col("raw"), ABSOLUTE), lambda h: F.lower(F.regexp_extract(h["match"], ABSOLUTE, 1)) == word), entry)
-
-
-def contradictions() -> Column:
-    """Pairs where the shorter phrase starts the longer; a single token must be the whole; one hit for each pair of token lists."""
-
-    def pair(a: Column, n: Column) -> Column:
-        la, ln = F.size(a["tokens"]), F.size(n["tokens"])
-        k = F.least(la, ln)
-        same = (F.slice(a["tokens"], F.lit(1), k) == F.slice(n["tokens"], F.lit(1), k)) & ((k > 1) | (la == ln))
-        key = F.concat(F.array_join(a["tokens"], " "), F.lit("::"), F.array_join(n["tokens"], " "))
-        return F.when(same, F.struct(key.alias("key"), a.alias("a"), n.alias("n")))
-
-    pairs = F.filter(F.flatten(F.transform(F.col("always"), lambda a: F.transform(F.col("never"), lambda n: pair(a, n)))), lambda p: p.isNotNull())
-    first = F.transform(F.array_distinct(pairs["key"]), lambda k: F.get(F.filter(pairs, lambda p: p["key"] == k), F.lit(0)))
-    return F.transform(first, lambda p: hit(text('"', p["a"]["phrase"], '" (line ', p["a"]["line"], ') contradicts "', p["n"]["phrase"], '" (line ', p["n"]["line"], ")"), line=F.least(p["a"]["line"], p["n"]["line"])))
+def contradictions(ctx: DataFrame) -> DataFrame:
+    """CTX004: pairs where the shorter phrase starts the longer; a single token must be the whole; one hit for each pair of token lists."""
+    told = opposed(absolutes(ctx))
+    return rows(told, TYPE, "CTX004", hit(text('"', F.col("a.phrase"), '" (line ', F.col("a.line"), ') contradicts "', F.col("n.phrase"), '" (line ', F.col("n.line"), ")"), line=F.least("a.line", "n.line")))
 
 
 def grouped(n: Column) -> Column:
@@ -67,7 +57,6 @@ def row_rules(config: Config) -> dict[str, Column]:
     )
     return {
         "CTX001": F.when(total > b.ctxTokensInfo, F.array(over)).otherwise(none()),
-        "CTX004": contradictions(),
         "CTX005": F.transform(headings, lambda x: hit(text('section "', x["t"], '" is generic background the model already knows'), line=x["line"])),
         "CTX006": unsafe,
     }
@@ -76,8 +65,10 @@ def row_rules(config: Config) -> dict[str, Column]:
 def context_hits(ctx: DataFrame, file_refs: DataFrame, command_refs: DataFrame, config: Config) -> DataFrame:
     """Hits of all active context-file rules."""
     on = set(active(TYPE, config.rules))
-    full = ctx.fillna({"raw": ""}).withColumns({"always": absolutes("always"), "never": absolutes("never")})
+    full = ctx.fillna({"raw": ""})
     out = by_row(full, TYPE, {k: v for k, v in row_rules(config).items() if k in on})
+    if "CTX004" in on:
+        out = out.unionByName(contradictions(full))
     if "CTX002" in on:
         out = out.unionByName(rows(file_refs.where(~F.col("exists")), TYPE, "CTX002", hit(text("references ", F.col("ref"), ", which does not exist"), line=F.col("line"))))
     if "CTX003" in on:

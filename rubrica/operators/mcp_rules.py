@@ -16,9 +16,10 @@ from pyspark.sql import types as T
 
 from rubrica.config import Config
 from rubrica.functions import detectors as D
-from rubrica.functions.text import WORD_EDGE, normal_name, regex, trimmed, utf16_length
+from rubrica.functions.text import normal_name, regex, trimmed, utf16_length
 from rubrica.operators.catalog import active
 from rubrica.operators.hits import by_row, hit, none, rows, text, when
+from rubrica.operators.joins import named_in, near_names
 
 TYPE = "mcp-server"
 
@@ -215,25 +216,25 @@ def collisions(tools: DataFrame) -> DataFrame:
     return rows(named.where("nth > 1"), TYPE, "MCP107", hit(text('tool name "', F.col("name"), '" collides with "', F.col("first"), '" after case/separator normalization'), tool_name=F.col("name")))
 
 
-def pairs(tools: DataFrame) -> DataFrame:
-    """Ordered pairs of different tools of a server; a catalogue is small, and the join is on the server."""
-    other = tools.select("path", *[F.col(c).alias(f"o_{c}") for c in ("ord", "name", "entry_valid")])
-    return tools.join(other, "path").where("ord <> o_ord")
-
-
 def sibling_steering(tools: DataFrame) -> DataFrame:
-    """MCP303: a description with precedence wording that names another tool of the server."""
-    speaking = pairs(tools.where(F.col("description").rlike(PRECEDENCE))).where(F.col("o_entry_valid") & (utf16_length(F.col("o_name")) >= 4))
-    pattern = F.concat(F.lit("(?i)" + WORD_EDGE), F.regexp_replace("o_name", r"[.*+?^${}()|\[\]\\]", r"\\$0"), F.lit(WORD_EDGE))
-    named = speaking.where(F.contains(F.lower("description"), F.lower("o_name"))).where(F.regexp_like("description", pattern))
-    return rows(named, TYPE, "MCP303", hit(text('tool "', F.col("name"), '" description names sibling tool "', F.col("o_name"), '" with precedence language'), tool_name=F.col("name")))
+    """MCP303: a description with precedence wording that names another tool of the server, valid and of four characters or more."""
+    own = tools.select("path", "ord", "name", F.col("description").alias("said"), "entry_valid")
+    speakers = own.where(F.col("said").rlike(PRECEDENCE))
+    named = named_in(speakers.select("path", "ord", "said"), own.where(F.col("entry_valid") & (utf16_length(F.col("name")) >= 4)).select("path", "ord", "name"))
+    told = named.join(speakers.select("path", "ord", "name"), ["path", "ord"])
+    return rows(told, TYPE, "MCP303", hit(text('tool "', F.col("name"), '" description names sibling tool "', F.col("o_name"), '" with precedence language'), tool_name=F.col("name")))
 
 
 def confusable(tools: DataFrame) -> DataFrame:
-    """MCP305: pairs of valid tools, each once, whose names are one or two edits apart; lengths further apart can't be."""
-    some = tools.where(F.col("entry_valid") & (utf16_length(F.col("name")) >= MIN_TYPO_NAME))
-    near = pairs(some).where((F.col("ord") < F.col("o_ord")) & (F.abs(F.length("name") - F.length("o_name")) <= MAX_TYPO_DISTANCE)).withColumn("d", F.levenshtein(F.lower("name"), F.lower("o_name")))
-    return rows(near.where(F.col("d").between(1, MAX_TYPO_DISTANCE)), TYPE, "MCP305", hit(text('tool names "', F.col("name"), '" and "', F.col("o_name"), '" are edit distance ', F.col("d"), " apart — easily confused with each other"), tool_name=F.col("o_name")))
+    """MCP305: pairs of valid tools, each once, whose names are one or two edits apart."""
+    some = tools.where(F.col("entry_valid") & (utf16_length(F.col("name")) >= MIN_TYPO_NAME)).select("path", "ord", "name", F.lower("name").alias("low"))
+    near = near_names(some.select("path", F.col("low").alias("name")).distinct(), MAX_TYPO_DISTANCE)
+    left = some.select("path", F.col("low").alias("a"), F.col("ord").alias("a_ord"), F.col("name").alias("a_name"))
+    right = some.select("path", F.col("low").alias("b"), F.col("ord").alias("b_ord"), F.col("name").alias("b_name"))
+    both = near.join(left, ["path", "a"]).join(right, ["path", "b"])
+    ahead = F.col("a_ord") < F.col("b_ord")
+    told = both.select("path", "distance", F.when(ahead, F.col("a_name")).otherwise(F.col("b_name")).alias("name"), F.when(ahead, F.col("b_name")).otherwise(F.col("a_name")).alias("o_name"))
+    return rows(told, TYPE, "MCP305", hit(text('tool names "', F.col("name"), '" and "', F.col("o_name"), '" are edit distance ', F.col("distance"), " apart — easily confused with each other"), tool_name=F.col("o_name")))
 
 
 def too_many(tools: DataFrame, budget: float) -> DataFrame:

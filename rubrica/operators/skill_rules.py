@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from rubrica.config import Config
 from rubrica.functions import detectors as D
-from rubrica.functions.text import SPACE_IN_CLASS, fenced_blocks, filled_lines, jaccard, matches, mostly_english, regex, trimmed, utf16_length, word_count, word_set
+from rubrica.functions.text import SPACE_IN_CLASS, fenced_blocks, filled_lines, matches, mostly_english, regex, trimmed, utf16_length, word_count, word_set
 from rubrica.operators.catalog import active
 from rubrica.operators.hits import by_row, hit, none, rows, text, when
+from rubrica.operators.joins import alike_sets, opposed
 
 TYPE = "skill"
 FILE = "SKILL.md"
@@ -68,31 +69,20 @@ def body_line(line: Column) -> Column:
     return line + F.col("body_start_line") - 1
 
 
-def claims(polarity: str) -> Column:
-    """(words, line) of "always ..." or "never ..." phrases: function words and a general leading verb are left out."""
+def claims(skill: DataFrame) -> DataFrame:
+    """(path, positive, words, own: the words as text and their line) of each "always ..." or "never ..." phrase of a body: function words and a general leading verb are left out."""
+    found = skill.where((F.col("body") != "") & F.col("body").rlike(MODIFIER)).select("path", "body_start_line", F.explode(matches(F.col("body"), MODIFIER)).alias("h"))
+    words = F.filter(F.split(F.replace(F.lower(F.regexp_extract("h.match", MODIFIER, 2)), F.lit("`"), F.lit("")), "[ \t]+"), lambda w: (w != "") & ~w.isin(STOPWORDS))
+    words = F.when(F.get(words, F.lit(0)).isin(LEAD_VERBS), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
+    told = found.select("path", (F.lower(F.regexp_extract("h.match", MODIFIER, 1)) == "always").alias("positive"), words.alias("words"), body_line(F.col("h.line")).alias("line")).where(F.size("words") > 0).distinct()
+    return told.select("path", "positive", "words", F.struct(F.size("words").alias("size"), F.array_join("words", " ").alias("object"), "line").alias("own"))
 
-    def claim(h: Column) -> Column:
-        words = F.filter(F.split(F.replace(F.lower(F.regexp_extract(h["match"], MODIFIER, 2)), F.lit("`"), F.lit("")), "[ \t]+"), lambda w: (w != "") & ~w.isin(STOPWORDS))
-        words = F.when(F.get(words, F.lit(0)).isin(LEAD_VERBS), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
-        return F.struct(words.alias("words"), body_line(h["line"]).alias("line"))
 
-    own = F.filter(matches(F.col("body"), MODIFIER), lambda h: F.lower(F.regexp_extract(h["match"], MODIFIER, 1)) == polarity)
-    return F.filter(F.transform(own, claim), lambda c: F.size(c["words"]) > 0)
-
-
-def contradictions() -> Column:
-    """Hits for pairs of claims where the shorter object starts the longer one; a single word must be the whole."""
-
-    def pair(a: Column, n: Column) -> Column:
-        la, ln = F.size(a["words"]), F.size(n["words"])
-        short = F.when(la <= ln, a["words"]).otherwise(n["words"])
-        k = F.least(la, ln)
-        same = (F.slice(a["words"], F.lit(1), k) == F.slice(n["words"], F.lit(1), k)) & ((k > 1) | (la == ln))
-        return F.when(same, F.struct(F.array_join(short, " ").alias("object"), a["line"].alias("a"), n["line"].alias("n")))
-
-    pairs = F.flatten(F.transform(F.col("always"), lambda a: F.transform(F.col("never"), lambda n: pair(a, n))))
-    told = F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
-    return F.transform(told, lambda p: hit(text('"always ', p["object"], '" (line ', p["a"], ') contradicts "never ', p["object"], '" (line ', p["n"], ")"), file=FILE, line=F.least(p["a"], p["n"])))
+def contradictions(skill: DataFrame) -> DataFrame:
+    """SK304: pairs of claims where the shorter object starts the longer one; a single word must be the whole."""
+    short = F.when(F.col("a.size") <= F.col("n.size"), F.col("a.object")).otherwise(F.col("n.object"))
+    told = opposed(claims(skill)).select("path", short.alias("object"), F.col("a.line").alias("a"), F.col("n.line").alias("n")).distinct()
+    return rows(told, TYPE, "SK304", hit(text('"always ', F.col("object"), '" (line ', F.col("a"), ') contradicts "never ', F.col("object"), '" (line ', F.col("n"), ")"), file=FILE, line=F.least("a", "n")))
 
 
 def detector_hits(found: Column, file: Column | str, line, message) -> Column:
@@ -108,7 +98,7 @@ def domains() -> Column:
 
 
 def row_rules(config: Config) -> dict[str, Column]:
-    """Rules over the skill row, as arrays of hits. The row has `name_`, `desc`, `always` and `never` besides its own columns."""
+    """Rules over the skill row, as arrays of hits. The row has `name_`, `desc` and `name_line` besides its own columns."""
     b = config.budgets
     has_body, has_raw = F.col("body") != "", F.col("raw") != ""
     body, name, desc = F.col("body"), F.col("name_"), F.col("desc")
@@ -154,7 +144,6 @@ def row_rules(config: Config) -> dict[str, Column]:
         "SK301": when(long & ~body.rlike(ORDERED) & ~F.exists(lines, lambda x: x.rlike(IMPERATIVE)), hit("body has no ordered list and no imperative step lines — the workflow is buried in prose")),
         "SK302": when(long & ~body.rlike(VERIFICATION), hit("body never tells the model to verify, check, or validate its output")),
         "SK303": when(long & ~body.rlike(FAILURE), hit('body has no failure-path guidance (no "if … fails", "otherwise", or fallback)')),
-        "SK304": F.when(has_body, contradictions()).otherwise(none()),
         "SK401": F.when(has_raw, detector_hits(D.injection_phrases(F.col("raw")), FILE, lambda h: h["line"], lambda h: text("injection phrase (", h["kind"], '): "', truncate(h["match"]), '"'))).otherwise(none()),
         "SK402": F.when(has_raw, detector_hits(D.hidden_unicode(F.col("raw")), FILE, lambda h: h["line"], lambda h: text("hidden ", h["kind"], " character ", h["match"]))).otherwise(none()),
         "SK403": F.when(has_raw, detector_hits(D.secrets(F.col("raw")), FILE, lambda h: h["line"], lambda h: text(h["kind"], " detected: ", h["match"]))).otherwise(none()),
@@ -177,18 +166,11 @@ def resource_rules() -> dict[str, Column]:
 
 
 def similar_siblings(skill: DataFrame, threshold: float) -> DataFrame:
-    """SK106: skills of one repository whose descriptions share more than `threshold` of their words, in both directions.
-
-    The join is on repository and word, so only descriptions with a word in common meet, and a pair's common words are counted; no pair
-    below the threshold is looked at twice.
-    """
-    own = skill.select("repo", "path", "name", word_set(F.col("desc")).alias("w")).where(F.size("w") > 0)
-    words = own.select("repo", "path", "name", F.size("w").alias("n"), F.explode("w").alias("word"))
-    other = words.select("repo", "word", F.col("path").alias("o_path"), F.col("name").alias("o_name"), F.col("n").alias("o_n"))
-    near = (F.least("n", "o_n") / F.greatest("n", "o_n")) > threshold
-    both = words.join(other, ["repo", "word"]).where((F.col("path") != F.col("o_path")) & near).groupBy("path", "o_path", "o_name", "n", "o_n").agg(F.count(F.lit(1)).alias("both"))
-    alike = both.withColumn("s", F.col("both") / (F.col("n") + F.col("o_n") - F.col("both"))).where(F.col("s") > threshold)
-    return rows(alike, TYPE, "SK106", hit(text("description is ", F.floor(F.col("s") * 100 + 0.5).cast("long"), '% similar to sibling skill "', F.col("o_name"), f'" (threshold {int(threshold * 100 + 0.5)}%)')))
+    """SK106: skills of one repository whose descriptions share more than `threshold` of their words, in both directions."""
+    own = skill.select("repo", "path", "name", word_set(F.col("desc")).alias("w"))
+    other = own.select("repo", F.col("path").alias("o_path"), F.col("name").alias("o_name"))
+    alike = alike_sets(own.select("repo", "path", "w"), threshold).join(other, ["repo", "o_path"])
+    return rows(alike, TYPE, "SK106", hit(text("description is ", F.floor(F.col("similarity") * 100 + 0.5).cast("long"), '% similar to sibling skill "', F.col("o_name"), f'" (threshold {int(threshold * 100 + 0.5)}%)')))
 
 
 def skill_hits(skill: DataFrame, refs: DataFrame, resources: DataFrame, config: Config) -> DataFrame:
@@ -196,11 +178,13 @@ def skill_hits(skill: DataFrame, refs: DataFrame, resources: DataFrame, config:
     on = set(active(TYPE, config.rules))
     n_refs = refs.groupBy("path").agg(F.count(F.lit(1)).alias("n_refs"))
     full = skill.join(n_refs, "path", "left").fillna({"n_refs": 0, "raw": "", "body": ""})
-    full = full.withColumns({"name_": front_string("name"), "desc": description(), "always": claims("always"), "never": claims("never"), "name_line": front_line(F.lit("name"))})
+    full = full.withColumns({"name_": front_string("name"), "desc": description(), "name_line": front_line(F.lit("name"))})
     out = by_row(full, TYPE, {k: v for k, v in row_rules(config).items() if k in on})
     if "SK005" in on:
         out = out.unionByName(rows(refs.where(~F.col("exists")), TYPE, "SK005", hit(text('linked file "', F.col("link"), '" does not exist in the skill directory'), file=FILE, line=F.col("line"))))
     if "SK106" in on:
         out = out.unionByName(similar_siblings(full, config.budgets.similarityJaccard))
+    if "SK304" in on:
+        out = out.unionByName(contradictions(full))
     flags = full.select("path", (F.col("raw") != "").alias("has_raw"), (F.col("body") != "").alias("has_body"))
     return out.unionByName(by_row(resources.join(flags, "path"), TYPE, {k: v for k, v in resource_rules().items() if k in on}))

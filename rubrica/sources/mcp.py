@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,11 +20,32 @@ MAX_PAGES = 100
 MUTATION = "delete remove destroy drop write create update set send post email message pay purchase buy order deploy publish push upload insert patch put execute kill restart reset revoke grant".split()
 
 
-def list_error(pages: Column) -> Column:
-    """Why a paginated listing is unusable: a cursor that comes again, or no end within the page cap; null if it is fine."""
-    cursors = F.filter(F.transform(pages, lambda p: F.get_json_object(p, "$.nextCursor")), lambda c: c.isNotNull() & (c != ""))
-    repeated = F.size(cursors) > F.size(F.array_distinct(cursors))
-    return F.when(repeated, F.lit("server returned a repeated pagination cursor")).when(F.size(cursors) >= MAX_PAGES, F.lit(f"pagination exceeded {MAX_PAGES} pages"))
+def page_problem(reply: Column) -> Column:
+    """Why a tools/list result, as JSON, can't be used; null if it can."""
+    tools, cursor = F.get_json_object(reply, "$.tools"), F.array_contains(F.json_object_keys(reply), "nextCursor")
+    return (
+        F.when(F.try_parse_json(reply).isNull(), "tools/list result is not JSON")
+        .when(tools.isNull(), "tools/list result has no tools array")
+        .when(~F.startswith(tools, F.lit("[")), "tools/list result: tools is not an array")
+        .when(F.coalesce(cursor, F.lit(False)) & json_string(reply, "$.nextCursor").isNull(), "tools/list result: nextCursor is not a string")
+    )
+
+
+def listings(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, error; the pages of listings that are complete). pages: path, page from 0, reply, error (what kept the reply from coming, else null).
+
+    Pages are followed as a client does: up to the first without a cursor, which ends the listing, or the first that fails, which empties it. An empty cursor is a cursor.
+    """
+    cursor = json_string(F.col("reply"), "$.nextCursor")
+    told = pages.withColumns({"cursor": cursor, "problem": F.coalesce("error", page_problem(F.coalesce("reply", F.lit(""))))})
+    told = told.withColumn("nth", F.row_number().over(Window.partitionBy("path", "cursor").orderBy("page")))
+    again = F.col("cursor").isNotNull() & (F.col("nth") > 1)
+    told = told.withColumn("problem", F.coalesce("problem", F.when(again, F.concat(F.lit('pagination loop: cursor "'), "cursor", F.lit('" repeated'))), F.when(F.col("cursor").isNotNull() & (F.col("page") >= MAX_PAGES - 1), F.lit(f"pagination did not terminate after {MAX_PAGES} pages"))))
+    ends = F.col("problem").isNotNull() | F.col("cursor").isNull()
+    found = told.groupBy("path").agg(F.min_by(F.struct("problem"), F.when(ends, F.col("page"))).alias("end"), F.min(F.when(ends, F.col("page"))).alias("last"))
+    judged = found.select("path", "last", F.when(F.col("last").isNull(), "the capture ends while a cursor is open").otherwise(F.col("end.problem")).alias("error"))
+    good = told.select("path", "page", "reply").join(judged.where("error IS NULL").select("path", "last"), "path").where("page <= last").drop("last")
+    return judged.select("path", "error"), good
 
 
 def mutation_word(name: Column, description: Column) -> Column:
@@ -34,25 +55,29 @@ def mutation_word(name: Column, description: Column) -> Column:
     return F.get(F.filter(F.array(*map(F.lit, MUTATION)), lambda w: F.arrays_overlap(words, F.array(w, F.concat(w, F.lit("s")), F.concat(w, F.lit("es")), F.concat(w, F.lit("d")), F.concat(w, F.lit("ed"))))), F.lit(0))
 
 
-def servers(capture: DataFrame, tokens=approximate_tokens) -> tuple[DataFrame, DataFrame]:
-    """(mcp_server, mcp_tool). A listing that failed has no tools."""
-    own = capture.withColumn("tools_list_error", F.coalesce("list_error", list_error(F.coalesce("pages", F.array().cast("array<string>")))))
-    usable = own.where("tools_list_error IS NULL AND initialize IS NOT NULL")
-    pages = usable.select("path", F.posexplode("pages").alias("page", "p"))
-    entries = pages.select("path", "page", F.posexplode(F.from_json(F.get_json_object("p", "$.tools"), "array<string>")).alias("at", "e"))
-    entries = entries.withColumn("ord", F.expr("row_number() OVER (PARTITION BY path ORDER BY page, at)") - 1)
+def tools_of(pages: DataFrame, tokens=approximate_tokens) -> DataFrame:
+    """mcp_tool of the pages of complete listings; entries of any shape become rows. Places count on from page to page, so no server's entries are brought together."""
+    listed = pages.select("path", "page", F.from_json(F.get_json_object("reply", "$.tools"), "array<string>").alias("entries"))
+    before = Window.partitionBy("path").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)  # of pages, which are capped
+    listed = listed.withColumn("start", F.coalesce(F.sum(F.size("entries")).over(before), F.lit(0)))
+    entries = listed.select("path", "start", F.posexplode("entries").alias("at", "e")).select("path", (F.col("start") + F.col("at")).cast("int").alias("ord"), F.coalesce("e", F.lit("null")).alias("e"))
     is_object = F.startswith("e", F.lit("{"))
     name = F.coalesce(F.when(is_object, json_string(F.col("e"), "$.name")), F.lit(""))
     described = F.when(is_object, json_string(F.col("e"), "$.description"))
     schema = F.when(is_object, F.get_json_object("e", "$.inputSchema"))
-    shaped = schema.isNull() | F.startswith(schema, F.lit("{"))
+    stated = F.coalesce(F.array_contains(F.json_object_keys("e"), "inputSchema"), F.lit(False))
+    shaped = ~stated | F.coalesce(F.startswith(schema, F.lit("{")), F.lit(False))
     tool = entries.select("path", "ord", name.alias("name"), described.alias("description"), F.when(F.startswith(schema, F.lit("{")), schema).alias("input_schema"), (is_object & (trimmed(name) != "") & shaped).alias("entry_valid"))
     # The schema goes in as it is, not as a string; to_json leaves out what is null
     told = F.to_json(F.struct("name", "description"))
     cost = F.when(F.col("input_schema").isNull(), told).otherwise(F.concat(F.substring(told, F.lit(1), F.length(told) - 1), F.lit(',"inputSchema":'), "input_schema", F.lit("}")))
-    tool = tool.withColumn("tokens", tokens(cost))
+    return tool.withColumn("tokens", tokens(cost))
+
+
+def server_rows(own: DataFrame, tool: DataFrame) -> DataFrame:
+    """mcp_server of rows that have path, name, transport, target, initialize, initialize_error, tools_list_error and probed."""
     total = tool.groupBy("path").agg(F.sum("tokens").cast("int").alias("tokens_total"))
-    server = own.join(total, "path", "left").select(
+    return own.join(total, "path", "left").select(
         "path", "name", "transport", "target",
         F.col("initialize").isNotNull().alias("initialized"),
         "initialize_error",
@@ -62,7 +87,15 @@ def servers(capture: DataFrame, tokens=approximate_tokens) -> tuple[DataFrame, D
         F.coalesce("tokens_total", F.lit(0)).alias("tokens_total"),
         "probed",
     )
-    return server, tool
+
+
+def servers(capture: DataFrame, tokens=approximate_tokens) -> tuple[DataFrame, DataFrame]:
+    """(mcp_server, mcp_tool). A listing that failed has no tools; one without pages has none either, and no error."""
+    pages = capture.where("initialize IS NOT NULL AND list_error IS NULL").select("path", F.posexplode("pages").alias("page", "reply"), F.lit(None).cast("string").alias("error"))
+    judged, good = listings(pages)
+    tool = tools_of(good, tokens)
+    own = capture.join(judged, "path", "left").withColumn("tools_list_error", F.coalesce("list_error", "error"))
+    return server_rows(own, tool), tool
 
 
 def synthesize(schema: object) -> dict:
