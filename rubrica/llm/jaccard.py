@@ -161,7 +161,7 @@ def meet(docs: DataFrame, k: int, num: int, den: int, buckets: int, key: str, te
         parts, words = Parts(num, den), {}
         hashes: list[np.ndarray] = []
         keys: list[np.ndarray] = []
-        held, seen = 0, set()
+        held, seen, dealt = 0, set(), 0
 
         def flush():
             h, c, pairs = forest(np.concatenate(hashes), np.concatenate(keys))
@@ -189,7 +189,8 @@ def meet(docs: DataFrame, k: int, num: int, den: int, buckets: int, key: str, te
                         hashes.append(x)
                         keys.append(np.full(len(x), c ^ band_mark(f), np.int64))
                         held += len(x)
-                deal = [0 if c is None else c % buckets for c in classes]
+                deal = ((dealt + np.arange(len(classes))) % buckets).astype(np.int32)  # in turn: nothing meets rows, so copies needn't be together
+                dealt += len(classes)
                 yield met_rows(ROW, len(classes), bucket=deal, a=b.column("k"), b=pa.array(classes, pa.int64()), n=sizes, t=b.column("h"))
                 if held > HASHES_HELD:
                     yield from flush()
@@ -366,7 +367,7 @@ def roots_of(n: int, i: np.ndarray, j: np.ndarray, keys: np.ndarray) -> np.ndarr
 FOUND = "key long, root long, links long, classes long, work array<long>"
 FOUND_SCHEMA = pa.schema([("key", pa.int64()), ("root", pa.int64()), ("links", pa.int64()), ("classes", pa.int64()), ("work", pa.list_(pa.int64()))])
 #: Sets in a tile's side, and shingles in them, on average at most.
-BLOCK, BLOCK_SHINGLES = 6000, 3_000_000
+BLOCK, BLOCK_SHINGLES = 12_000, 5_000_000
 #: Rows of a table that is sent to all executors at most; 16 to 60 bytes each.
 BROADCAST_ROWS = 200_000
 

@@ -117,3 +117,14 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 40)] + [(7, 7), (None, 3)]
     out = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(out[i] == 100 for i in range(100, 161)) and all(out[500 + i] == 500 for i in range(40)) and out[7] == 7 and 3 not in out
+
+
+def test_copies_are_dealt_over_all_tasks(spark, docs):
+    from pyspark.sql import functions as F
+
+    from rubrica.llm import jaccard as J
+
+    rows = [(i, "one text that most rows have in common" if i % 10 < 8 else "" if i % 10 == 8 else f"text number {i} is its own") for i in range(4000)]
+    met = J.meet(docs(rows).repartition(4), 4, 85, 100, 16, "doc_id", "text").where(F.col("kind") == J.ROW)
+    sizes = [r["count"] for r in met.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
