@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,9 +50,9 @@ def utf16_length(text: Column) -> Column:
     return F.shiftright(F.octet_length(F.encode(text, "UTF-16BE")), 1)
 
 
-def utf16_prefix(text: Column, units: int) -> Column:
-    """The first `units` UTF-16 units, for texts whose prefix has no character beyond the basic plane; those count once here."""
-    return F.substring(text, 1, units)
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often `then` has it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def line_count(text: Column) -> Column:
@@ -58,19 +60,32 @@ def line_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
+#: Matches that are folded at once: appending to an array copies it, so long lists are folded in runs.
+RUN = 64
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All matches of a Java pattern that can't match nothing: array of (pos from 0, line from 1, match), in order."""
     parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.filter(F.zip_with(parts, found, lambda p, m: F.struct(p.alias("p"), m.alias("m"))), lambda x: x["m"].isNotNull())  # the last part ends without a match
-    start = F.struct(F.lit(0).alias("pos"), F.lit(1).alias("line"), F.array().cast(HIT).alias("out"))
+    empty = F.struct(F.lit(0).alias("pos"), F.lit(1).alias("line"), F.array().cast(HIT).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         pos, line = acc["pos"] + F.length(x["p"]), acc["line"] + line_count(x["p"])
         hit = F.struct(pos.cast("int").alias("pos"), line.cast("int").alias("line"), x["m"].alias("match"))
         return F.struct((pos + F.length(x["m"])).cast("int").alias("pos"), (line + line_count(x["m"])).cast("int").alias("line"), F.array_append(acc["out"], hit).alias("out"))
 
-    folded = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(F.array().cast(HIT))
+    def join(acc: Column, run: Column) -> Column:
+        moved = F.transform(run["out"], lambda h: F.struct((h["pos"] + acc["pos"]).alias("pos"), (h["line"] + acc["line"] - 1).alias("line"), h["match"].alias("match")))
+        return F.struct((acc["pos"] + run["pos"]).alias("pos"), (acc["line"] + run["line"] - 1).alias("line"), F.array_append(acc["out"], moved).alias("out"))
+
+    def in_runs(all_: Column) -> Column:
+        last = F.floor((F.size(all_) - 1) / F.lit(RUN)).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda c: F.aggregate(F.slice(all_, c * RUN + 1, F.lit(RUN)), empty, step))
+        start = F.struct(F.lit(0).alias("pos"), F.lit(1).alias("line"), F.array().cast(f"array<{HIT}>").alias("out"))
+        return F.flatten(F.aggregate(runs, start, join, lambda acc: acc["out"]))
+
+    return F.when(text.rlike(pattern), let(pairs, in_runs)).otherwise(F.array().cast(HIT))
 
 
 def line_of(text: Column, pos: Column) -> Column:

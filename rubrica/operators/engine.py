@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rubrica.config import Config
-from rubrica.operators.catalog import rule_meta
+from rubrica.operators.catalog import active, rule_meta
+from rubrica.tables import table_of
 
 FINDING_COLUMNS = ["artifact_type", "path", "rule_id", "severity", "dimension", "message", "fix", "foundational", "file", "line", "tool_name", "meta"]
 
@@ -29,6 +33,33 @@ def to_findings(hits: DataFrame, config: Config | None = None) -> DataFrame:
     return joined.withColumn("severity", F.coalesce(told, F.col("severity"), F.col("_default"))).withColumn("foundational", F.coalesce("foundational", F.lit(False))).select(*FINDING_COLUMNS)
 
 
+class RuleCrash(RuntimeError):
+    """A rule that failed: a mistake in the rule, never a finding."""
+
+    def __init__(self, rule_id: str, cause: Exception):
+        super().__init__(f"rule {rule_id} crashed: {cause}")
+        self.rule_id = rule_id
+
+
+def computed_findings(hits_of: Callable[[Config], DataFrame], artifact_type: str, config: Config | None = None) -> DataFrame:
+    """The findings of hits_of(config) as a table in the shared folder, or RuleCrash with the rule that failed.
+
+    All rules of a type run in one plan, which tells no rule from another. Only when it fails, while it's built or while it runs, is each rule run alone to find the one.
+    """
+    config = config or Config()
+    try:
+        return table_of(to_findings(hits_of(config), config), "findings")
+    except Exception as e:
+        own = active(artifact_type, config.rules)
+        for rule in own:
+            others = {r: "off" for r in own if r != rule}
+            try:
+                hits_of(replace(config, rules={**config.rules, **others})).write.format("noop").mode("overwrite").save()
+            except Exception as cause:
+                raise RuleCrash(rule, cause) from e
+        raise
+
+
 def in_order(findings: DataFrame) -> DataFrame:
     """Findings sorted for display."""
     return findings.orderBy("artifact_type", "path", sort_key())

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rubrica.config import BANDS, DECAY, DECAY_TAIL, FOUNDATIONAL_CAP, GRADES, LABELS, PENALTY, PROBE_WEIGHTS, SECURITY_CAP, WEIGHTS
-from rubrica.functions.text import round2
+from rubrica.functions.text import let, round2
 from rubrica.operators.catalog import RULES, rule_meta
 from rubrica.operators.engine import sort_key
 
@@ -145,12 +145,16 @@ def top_fixes(rules: Column, dims: Column, score: Column, most: int = 3) -> Colu
     """The three rules whose absence would raise the score most: each rule is left out and its own dimension scored again, caps included."""
 
     def without(rule: Column) -> Column:
-        rest, own = F.filter(rules, lambda r: r["rule_id"] != rule), F.filter(rules, lambda r: r["rule_id"] == rule)
-        first = F.get(own, F.lit(0))
-        again = F.transform(dims, lambda d: F.struct(d["weight"].alias("weight"), F.when(F.exists(own, lambda r: r["dimension"] == d["dimension"]), dimension_score(rest, d["dimension"])).otherwise(d["score"]).alias("score")))
-        projected = capped(composite_of(again), rest)
-        gain = round2(projected - score)
-        return F.struct((-gain).alias("order"), rule.alias("rule_id"), first["severity"].alias("severity"), first["dimension"].alias("dimension"), first["message"].alias("message"), first["fix"].alias("fix"), F.aggregate(own, F.lit(0).cast("long"), lambda a, r: a + r["n"]).alias("count"), gain.alias("gain"), round2(projected).alias("projected_composite"), grade_for(projected).alias("projected_grade"))
+        parts = F.struct(F.filter(rules, lambda r: r["rule_id"] != rule).alias("rest"), F.filter(rules, lambda r: r["rule_id"] == rule).alias("own"))
+        return let(parts, lambda p: let(projected(p), lambda x: told(rule, p["own"], x)))
+
+    def projected(p: Column) -> Column:
+        again = F.transform(dims, lambda d: F.struct(d["weight"].alias("weight"), F.when(F.exists(p["own"], lambda r: r["dimension"] == d["dimension"]), dimension_score(p["rest"], d["dimension"])).otherwise(d["score"]).alias("score")))
+        return let(composite_of(again), lambda raw: capped(raw, p["rest"]))
+
+    def told(rule: Column, own: Column, x: Column) -> Column:
+        first, gain = F.get(own, F.lit(0)), round2(x - score)
+        return F.struct((-gain).alias("order"), rule.alias("rule_id"), first["severity"].alias("severity"), first["dimension"].alias("dimension"), first["message"].alias("message"), first["fix"].alias("fix"), F.aggregate(own, F.lit(0).cast("long"), lambda a, r: a + r["n"]).alias("count"), gain.alias("gain"), round2(x).alias("projected_composite"), grade_for(x).alias("projected_grade"))
 
     found = F.filter(F.transform(F.array_distinct(rules["rule_id"]), without), lambda x: x["gain"] > 0)
     return F.transform(F.slice(F.sort_array(found), 1, most), lambda x: F.struct(*[x[c].alias(c) for c in ("rule_id", "severity", "dimension", "message", "fix", "count", "gain", "projected_composite", "projected_grade")]))

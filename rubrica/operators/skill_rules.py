@@ -187,4 +187,4 @@ def skill_hits(skill: DataFrame, refs: DataFrame, resources: DataFrame, config:
     if "SK304" in on:
         out = out.unionByName(contradictions(full))
     flags = full.select("path", (F.col("raw") != "").alias("has_raw"), (F.col("body") != "").alias("has_body"))
-    return out.unionByName(by_row(resources.join(flags, "path"), TYPE, {k: v for k, v in resource_rules().items() if k in on}))
+    return out.unionByName(by_row(resources.where("content IS NOT NULL").join(flags, "path"), TYPE, {k: v for k, v in resource_rules().items() if k in on}))

@@ -9,7 +9,6 @@ The corpus of distractors and the bank of their requests are lists of some dozen
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rubrica.config import UserError
-from rubrica.functions.text import approximate_tokens, trimmed
+from rubrica.functions.text import approximate_tokens, let, trimmed
 from rubrica.operators.evaluation import DISTRACTORS, MASK, NEGATIVES, OUTPUT_TOKENS_PER_CALL, POSITIVE_PROMPT_ALLOWANCE, POSITIVES, PROMPTS_VERSION, chosen_skill, metrics
 from rubrica.tables import table_of
 
@@ -65,11 +64,6 @@ def checked_corpus(items: object) -> list[dict[str, str]]:
     return [{"name": x["name"], "description": x["description"]} for x in items]
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def times(a: Column, b: Column) -> Column:
     """The low 32 bits of the product of two numbers of 32 bits."""
     high = (F.shiftright(a, 16) * b).bitwiseAND(F.lit(0xFFFF))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from rubrica.operators.mcp_rules import mcp_hits
 from rubrica.operators.scoring import rules_run, scorecards
 from rubrica.operators.skill_rules import skill_hits
 from rubrica.sources.trees import context_files, skills
+from rubrica.tables import drop_table, table_of
 
 
 def artifact_rows(table: DataFrame, artifact_type: str, config: Config, probing: str | None = None) -> DataFrame:
@@ -33,6 +36,21 @@ def grade_context(ctx: DataFrame, file_refs: DataFrame, command_refs: DataFrame,
     return scorecards(artifact_rows(ctx, "context-file", config), to_findings(context_hits(ctx, file_refs, command_refs, config), config))
 
 
+def findings_of_files(files: DataFrame, config: Config | None = None) -> DataFrame:
+    """Findings in all skills and context files of a file table, as a table in the shared folder."""
+    return _of_files(files, config or Config(), lambda skill, ctx, c: to_findings(skill_hits(*skill, c).unionByName(context_hits(*ctx, c)), c))
+
+
 def grade_files(files: DataFrame, config: Config | None = None) -> DataFrame:
-    """Scorecards of all skills and context files of a file table of any number of repositories."""
-    return grade_skills(*skills(files), config).unionByName(grade_context(*context_files(files), config))
+    """Scorecards of all skills and context files of a file table of any number of repositories, as a table in the shared folder."""
+    return _of_files(files, config or Config(), lambda skill, ctx, c: grade_skills(*skill, c).unionByName(grade_context(*ctx, c)))
+
+
+def _of_files(files: DataFrame, config: Config, then: Callable[[list[DataFrame], list[DataFrame], Config], DataFrame]) -> DataFrame:
+    """then(skill tables, context tables, config). Rules read artifacts many times, so these are tables: parsed once, and no plan holds the parsing and all rules at once."""
+    skill = [table_of(t, "skills") for t in skills(files)]
+    ctx = [table_of(t, "contexts") for t in context_files(files)]
+    out = table_of(then(skill, ctx, config), "graded")
+    for t in (*skill, *ctx):
+        drop_table(t)
+    return out

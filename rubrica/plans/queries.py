@@ -169,16 +169,15 @@ SELECT doc_id, (i - 1)::INT AS line, chr(10) || regexp_extract(x, '^A[a-z]*') AS
 
 
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word similarity of benchmark items and their documents' first lines, by id."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.split("text", "\n")[0].alias("a"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("b"))
-    j = d.join(b, "item_id")
-    return j.select("item_id", X.round2(X.jaccard(X.word_set(F.col("a")), X.word_set(F.col("b"))) * 100).alias("percent"))
+    """Word similarity of every document's whole text and the benchmark item of the same id; 0 where there is none."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.coalesce("text", F.lit("")).alias("a"))
+    j = d.join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("b")), "item_id", "left")
+    return j.select("item_id", X.round2(X.jaccard(X.word_set(F.col("a")), X.word_set(F.coalesce("b", F.lit("")))) * 100).alias("percent"))
 
 
 JACCARD_SQL = r"""
-WITH j AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(string_split(d.text, chr(10))[1]), '[^a-z0-9]+'), lambda w: length(w) > 1)) AS a,
-                  list_distinct(list_filter(regexp_split_to_array(lower(b.text), '[^a-z0-9]+'), lambda w: length(w) > 1)) AS b FROM documents d JOIN benchmark b ON d.doc_id = b.item_id),
+WITH j AS (SELECT doc_id AS item_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(d.text, '')), '[^a-z0-9]+'), lambda w: length(w) > 1)) AS a,
+                  list_distinct(list_filter(regexp_split_to_array(lower(coalesce(b.text, '')), '[^a-z0-9]+'), lambda w: length(w) > 1)) AS b FROM documents d LEFT JOIN benchmark b ON d.doc_id = b.item_id),
 s AS (SELECT item_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END AS s FROM j)
 SELECT item_id, floor(s * 100 * 100 + 0.5) / 100 AS percent FROM s
 """
@@ -507,7 +506,6 @@ QUERIES = {
     "skill_rule_hits": skill_rule_hits, "sibling_descriptions": sibling_descriptions, "mcp_rule_hits": mcp_rule_hits, "confusable_names": confusable_names, "name_collisions": name_collisions, "context_rule_hits": context_rule_hits,
     "captured_catalogue": captured_catalogue, "trigger_metrics": trigger_metrics,
 }
-_SPACED = lambda ps: [(k, p) for k, p in ps]
 ORACLE_SQL = {
     "score_cards": SCORE_SQL, "dimension_scores": DIMENSION_SQL, "top_fixes": FIX_SQL, "repo_rollup": ROLLUP_SQL, "ci_gate": GATE_SQL, "findings_order": ORDER_SQL, "effective_findings": EFFECTIVE_SQL,
     "line_index": LINE_SQL, "name_similarity": JACCARD_SQL, "text_similarity": TEXT_JACCARD_SQL, "edit_distance": EDIT_SQL, "latency_p95": P95_SQL, "text_counts": COUNTS_SQL, "fenced_code": FENCED_SQL,

@@ -1,6 +1,6 @@
 """Artifacts from file tables.
 
-Every adapter works on a table of files (repo, path, size, content) with slash-separated paths; `read_tree` makes one from a folder. A lake of
+Every adapter works on a table of files (repo, path, size, content) with slash-separated paths; `read_tree` makes one from a folder at any shared location. A lake of
 repositories can be handed over as such a table directly, so parsing is distributed by file.
 """
 
@@ -9,8 +9,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
-from fnmatch import fnmatch
 from functools import cache
 
 import pandas as pd
@@ -20,17 +18,16 @@ from pyspark.sql import types as T
 
 from rubrica.config import UserError
 from rubrica.functions.text import approximate_tokens, line_count, matches
+from rubrica.sources.files import FILES, FileTree
 from rubrica.sources.references import MANIFESTS, commands, file_mentions, manifest_targets, masked, resolved
 
 # Names, patterns and limits of the adapters.
 CONTEXT_NAMES = {"CLAUDE.md": "claude-md", "AGENTS.md": "agents-md", "GEMINI.md": "gemini-md", ".cursorrules": "cursorrules"}
-IGNORED_DIRS = ("node_modules", ".git", "dist", "coverage")
 FRONTMATTER = r"^\x{feff}?---\r?\n([\s\S]*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 TEXT_RESOURCE = r"(?i)\.(?:md|mdx|txt|py|sh|bash|js|mjs|cjs|ts|json|yaml|yml|toml|csv|xml|html)$"
 MAX_RESOURCE_BYTES = 262_144
 LINK = r"\[[^\]]*\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)"
 NOT_RELATIVE = r"^(?:[a-z][a-z0-9+.-]*:|#|/|\\|[A-Za-z]:[\\/])"
-FILES = "repo string, path string, size long, content string"
 
 
 def is_context_file(path: str) -> bool:
@@ -53,28 +50,27 @@ def detect_target(path: str) -> tuple[str, str]:
 
 
 def read_tree(spark: SparkSession, root: str, repo: str | None = None, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """A folder as a file table, dotfiles included, links not followed. The names are listed here, since file readers hide dotfiles; contents are read by the executors."""
-    names = []
-    for d, dirs, files in os.walk(root):
-        dirs[:] = sorted(x for x in dirs if x not in IGNORED_DIRS and not os.path.islink(os.path.join(d, x)))
-        for f in sorted(files):
-            rel = os.path.relpath(os.path.join(d, f), root).replace(os.sep, "/")
-            if not any(fnmatch(rel, g) for g in ignore):
-                names.append(rel)
-    if not names:
-        return spark.createDataFrame([], FILES)
-    base = os.path.abspath(root)
-
-    def load(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in rows:
-            out = []
-            for rel in b["path"]:
-                with open(os.path.join(base, rel), "rb") as f:
-                    data = f.read()
-                out.append((b["repo"].iloc[0], rel, len(data), data.decode("utf-8", "replace")))
-            yield pd.DataFrame(out, columns=["repo", "path", "size", "content"])
-
-    return spark.createDataFrame([(repo or base, n) for n in names], "repo string, path string").mapInPandas(load, FILES)
+    """A folder, by path or URI of a file system that the executors reach, as a file table; see sources.files."""
+    spark.dataSource.register(FileTree)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # Python sources take filters only where this is on
+    reader = spark.read.format("file_tree").option("root", root).option("ignore", ",".join(ignore))
+    return (reader.option("repo", repo) if repo else reader.option("repo", root if "://" in root else os.path.abspath(root))).load()
+
+
+#: Values that a frontmatter may come to once its aliases are spelled out, and levels that it may nest.
+MOST_VALUES = 100_000
+
+
+def spelled_out(value: object, known: dict[int, int] | None = None) -> int:
+    """How many values there are once every alias is written out; MOST_VALUES + 1 stands for more."""
+    known = {} if known is None else known
+    if not isinstance(value, (dict, list)):
+        return 1
+    if id(value) not in known:
+        known[id(value)] = MOST_VALUES + 1  # what holds itself has no end
+        own = [*value.values(), *value] if isinstance(value, dict) else value
+        known[id(value)] = min(MOST_VALUES + 1, 1 + sum(spelled_out(x, known) for x in own))
+    return known[id(value)]
 
 
 YAML = T.StructType([T.StructField("json", T.StringType()), T.StructField("error", T.StringType())])
@@ -118,8 +114,12 @@ def parse_yaml(texts: pd.Series) -> pd.DataFrame:
             v = yaml.load(t, Loader=yaml_loader())  # noqa: S506  a safe loader
             if not isinstance(v, dict):
                 return None, "frontmatter is not a YAML mapping"
+            if spelled_out(v) > MOST_VALUES:
+                return None, f"aliases stand for more than {MOST_VALUES} values"
             return json.dumps({str(k): x for k, x in v.items()}, ensure_ascii=False, default=str), None
-        except (yaml.YAMLError, ValueError, TypeError) as e:
+        except RecursionError:
+            return None, "values are nested too deeply"
+        except (yaml.YAMLError, ValueError, TypeError, ArithmeticError) as e:
             return None, str(e).split("\n")[0] or "invalid YAML"
 
     return pd.DataFrame([one(t) for t in texts], columns=["json", "error"])
@@ -169,7 +169,9 @@ def skills(files: DataFrame, tokens=approximate_tokens) -> tuple[DataFrame, Data
     links = links.where(~F.col("link").rlike(f"(?i){NOT_RELATIVE}")).withColumn("bare", F.regexp_extract("link", "^[^#?]*", 0)).where("bare <> ''")
     listed = entries(files).withColumn("exists", F.lit(True))
     refs = links.withColumn("entry", resolved(F.col("folder"), F.col("bare"))).join(listed, ["repo", "entry"], "left").select("path", "link", F.coalesce("exists", F.lit(False)).alias("exists"), (F.col("m.line") + F.col("body_start_line") - 1).alias("line"))
-    texts = files.where(F.col("path").rlike(TEXT_RESOURCE) & (F.col("size") <= MAX_RESOURCE_BYTES) & (basename(F.col("path")) != "SKILL.md"))
+    # Files that aren't text, and large ones, are resources without content
+    readable = F.col("path").rlike(TEXT_RESOURCE) & (F.col("size") <= MAX_RESOURCE_BYTES)
+    texts = files.where(basename(F.col("path")) != "SKILL.md").withColumn("content", F.when(readable, F.col("content")))
     # A file belongs to every skill folder above it: its ancestors are few, so the join is on folders
     above = F.transform(F.sequence(F.lit(0), F.size(F.split("path", "/")) - 1), lambda k: F.array_join(F.slice(F.split("path", "/"), F.lit(1), k), "/"))
     held = texts.withColumn("folder", F.explode(above)).withColumnRenamed("path", "file")

@@ -131,3 +131,14 @@ def test_rules_use_the_joins(spark):
     servers = spark.createDataFrame([("m", "m", "http", "http://h", True, None, "1", '{"a":1}', None, 2, False)], "path string, name string, transport string, target string, initialized boolean, initialize_error string, protocol_version string, capabilities string, tools_list_error string, tokens_total int, probed boolean")
     probes = spark.createDataFrame([], "path string, tool_name string, skipped boolean, latency_ms int, protocol_error boolean, error_structured boolean")
     assert ("MCP303", "alpha_tool") in {(h.rule_id, h.tool_name) for h in mcp_rules.mcp_hits(servers, tools, probes, Config(rules={r: "off" for r in RULES if r != "MCP303"})).collect()}
+
+
+def test_places_of_many_matches(spark):
+    from rubrica.functions import text as X
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("ab\n é😀", k=n)) for n in (0, 1, 130, 131, 5000, 40_000)] + ["a" * 64, "a" * 65, "xa\n" * 64, "no", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.matches(F.col("t"), "a\n?").alias("h"))
+    for r in df.collect():
+        t = texts[r.i] or ""
+        assert [tuple(x) for x in r.h or []] == [(m.start(), t.count("\n", 0, m.start()) + 1, m[0]) for m in re.finditer("a\n?", t)]
