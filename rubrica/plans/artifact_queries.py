@@ -79,11 +79,12 @@ SKILLS: list[tuple[str, dict[str, str], list[Hit]]] = [
 ]
 PAIR = 23  # the first of two that share a repository
 COST = "— this cost is paid on every conversation, before the agent does any work"
+LONG_WORDS = "word" * 24 + "wor "  # 100 bytes
 #: (AGENTS.md, other files of the repository, hits)
 CONTEXTS: list[tuple[str, dict[str, str], list[Hit]]] = [
     ("Use tabs in code.\n", {}, []),
-    ("word " * 1400, {}, [("CTX001", "info", None, None, f"AGENTS.md is ~1,750 tokens (budget 1,500) {COST}")]),
-    ("word " * 4000, {}, [("CTX001", "warn", None, None, f"AGENTS.md is ~5,000 tokens (budget 4,000) {COST}")]),
+    (LONG_WORDS * 70, {}, [("CTX001", "info", None, None, f"AGENTS.md is ~1,750 tokens (budget 1,500) {COST}")]),
+    (LONG_WORDS * 200, {}, [("CTX001", "warn", None, None, f"AGENTS.md is ~5,000 tokens (budget 4,000) {COST}")]),
     ("One.\nSee src/gone.py for it.\n", {}, [("CTX002", "warn", None, 2, "references src/gone.py, which does not exist")]),
     ("See `src/here.py:3` and [this](src/here.py).\n", {"src/here.py": "x"}, []),
     ("Run `npm run deploy` now.\n", {"package.json": '{"scripts": {"test": "x"}}'}, [("CTX003", "warn", None, 1, 'command "npm run deploy" does not match any target in package.json')]),
@@ -181,7 +182,8 @@ def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     both = F.concat(entries(SKILLS, "SKILL.md", "skill-@/"), F.when(shares, F.array().cast("array<struct<path:string,content:string>>")).otherwise(entries(CONTEXTS, "AGENTS.md", "")))
     out = p.select("repo", "p_partkey", F.explode(both).alias("f")).select("repo", keyed(F.col("f.path")).alias("path"), keyed(F.col("f.content")).alias("content"))
-    return table_of(out.select("repo", "path", F.octet_length("content").cast("long").alias("size"), "content"), "files")  # as a lake of files would be
+    whole = out.select("repo", "path", F.octet_length("content").cast("long").alias("size"), "content")
+    return table_of(whole.repartition("repo"), "files")  # in several splits, as a lake of files would be
 
 
 def file_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
