@@ -63,15 +63,15 @@ def penalty_of(severity: Column) -> Column:
     return out.when(severity == "warn", PENALTY["warn"]).when(severity == "info", PENALTY["info"])
 
 
-def dimension_score(rules: Column, dimension: Column) -> Column:
-    own = F.filter(rules, lambda r: r["dimension"] == dimension)
+def terms(each: Column, n: Column) -> Column:
+    """What a rule's occurrences take off its dimension, in order; those beyond ONE_BY_ONE are one term."""
+    first = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(ONE_BY_ONE)).cast("int") - 1), lambda i: each * decay(i))
+    return F.when(n > ONE_BY_ONE, F.array_append(first, each * F.lit(DECAY_TAIL) * (n - ONE_BY_ONE))).otherwise(first)
 
-    def add(acc: Column, r: Column) -> Column:
-        each = r["base"] * r["multiplier"]
-        first = F.aggregate(F.sequence(F.lit(0), F.least(r["n"], F.lit(ONE_BY_ONE)).cast("int") - 1), acc, lambda a, i: a + each * decay(i))
-        return F.when(r["n"] > ONE_BY_ONE, first + each * F.lit(DECAY_TAIL) * (r["n"] - ONE_BY_ONE)).otherwise(first)
 
-    return F.greatest(F.lit(0.0), F.lit(100.0) - F.aggregate(own, F.lit(0.0), add))
+def dimension_score(rules: Column, dimension: Column) -> Column:
+    own = F.filter(rules, lambda r: r["dimension"] == dimension)
+    return F.greatest(F.lit(0.0), F.lit(100.0) - F.aggregate(F.flatten(own["terms"]), F.lit(0.0), lambda acc, t: acc + t))
 
 
 def scored(rules: Column, weights: Column) -> Column:
@@ -106,7 +106,7 @@ def rule_rows(findings: DataFrame, meta: DataFrame | None = None) -> DataFrame:
         F.first(F.coalesce("multiplier", F.lit(1.0))).alias("multiplier"),
         *[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in PENALTY],
     )
-    return grouped.withColumn("base", penalty_of(F.col("first.severity")))
+    return grouped.withColumn("terms", terms(penalty_of(F.col("first.severity")) * F.col("multiplier"), F.col("n")))
 
 
 def scorecards(artifacts: DataFrame, findings: DataFrame, meta: DataFrame | None = None, fixes: bool = True) -> DataFrame:
@@ -115,7 +115,7 @@ def scorecards(artifacts: DataFrame, findings: DataFrame, meta: DataFrame | None
     Artifacts without findings score 100. Findings in dimensions without weight count for severity counts, caps and fixes.
     """
     keys = ["artifact_type", "path"]
-    entry = F.struct("rule_id", "dimension", "n", F.col("first.severity").alias("severity"), F.col("first.message").alias("message"), F.col("first.fix").alias("fix"), "base", "multiplier", "foundational", "capping", "n_error", "n_warn", "n_info")
+    entry = F.struct("rule_id", "dimension", "n", F.col("first.severity").alias("severity"), F.col("first.message").alias("message"), F.col("first.fix").alias("fix"), "terms", "foundational", "capping", "n_error", "n_warn", "n_info")
     per = rule_rows(findings, meta).groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("rules"))
     out = artifacts.join(per, keys, "left")
     out = out.withColumn("rules", F.coalesce("rules", F.array().cast(out.schema["rules"].dataType)))
@@ -149,8 +149,9 @@ def top_fixes(rules: Column, dims: Column, score: Column, most: int = 3) -> Colu
         return let(parts, lambda p: let(projected(p), lambda x: told(rule, p["own"], x)))
 
     def projected(p: Column) -> Column:
-        again = F.transform(dims, lambda d: F.struct(d["weight"].alias("weight"), F.when(F.exists(p["own"], lambda r: r["dimension"] == d["dimension"]), dimension_score(p["rest"], d["dimension"])).otherwise(d["score"]).alias("score")))
-        return let(composite_of(again), lambda raw: capped(raw, p["rest"]))
+        score_of = lambda d: F.when(F.array_contains(p["own"]["dimension"], d["dimension"]), dimension_score(p["rest"], d["dimension"])).otherwise(d["score"])
+        again = F.aggregate(dims, F.lit(0.0), lambda acc, d: acc + score_of(d) * d["weight"])
+        return let(again, lambda raw: capped(raw, p["rest"]))
 
     def told(rule: Column, own: Column, x: Column) -> Column:
         first, gain = F.get(own, F.lit(0)), round2(x - score)

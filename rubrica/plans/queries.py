@@ -61,11 +61,12 @@ def score_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dimension_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cards(spark, sf_dir).select("path", F.explode("dimensions").alias("d")).select("path", "d.dimension", "d.label", "d.score", "d.grade", "d.weight", "d.findings")
+    return cards(spark, sf_dir).select("path", F.explode_outer("dimensions").alias("d")).where("d IS NOT NULL").select("path", "d.dimension", "d.label", "d.score", "d.grade", "d.weight", "d.findings")
 
 
 def top_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = cards(spark, sf_dir, True).select("path", F.posexplode("top_fixes").alias("rank", "x"))
+    # A plain explode of a computed column adds a filter on its size, which would compute all fixes twice
+    x = cards(spark, sf_dir, True).select("path", F.posexplode_outer("top_fixes").alias("rank", "x")).where("x IS NOT NULL")
     return x.select("path", "rank", "x.rule_id", "x.severity", "x.dimension", "x.message", "x.fix", "x.count", "x.gain", "x.projected_composite", "x.projected_grade")
 
 

@@ -40,6 +40,18 @@ def test_decay_weights_and_zero_floor(spark):
     assert next(d for d in many.dimensions if d.dimension == "trigger").score == 0
 
 
+@pytest.mark.parametrize("n", [1000, 1001, 5000])
+def test_occurrences_beyond_those_added_one_by_one(spark, n):
+    """SK102 takes 5 off, decayed by occurrence; beyond 1,000 the tail is one term, equal up to rounding."""
+    spark.range(n).createOrReplaceTempView("many")
+    f = spark.table("many").join(F.broadcast(spark.createDataFrame([finding("SK102")], FINDING).drop("line").withColumnRenamed("message", "m"))).select(
+        "artifact_type", "path", "rule_id", "severity", "dimension", F.concat("m", F.col("id").cast("string")).alias("message"), "fix", "foundational", "file", F.col("id").cast("int").alias("line"), "tool_name", "meta"
+    )
+    rules = scoring.rule_rows(f).select("terms", "n").first()
+    want = [5.0, 2.5, 1.25] + [0.5] * (n - 3)
+    assert rules.n == n and sum(rules.terms) == pytest.approx(sum(want), rel=1e-12) and len(rules.terms) == min(n, 1001)
+
+
 def test_the_first_finding_decides_the_penalty(spark):
     two = [finding("SK201", "warn", message="b"), finding("SK201", "info", message="a")]
     assert next(d for d in card(spark, two).dimensions if d.dimension == "token").score == 100 - 1 * 1.5
