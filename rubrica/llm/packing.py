@@ -2,8 +2,8 @@
 
 Texts are tokenized and cut into pieces of at most `most` tokens. The histogram of piece lengths (at most `most` bins, whatever the
 corpus) goes to the driver, which enumerates patterns of a few lengths that leave no room for any other, fits their repeat counts to the histogram by
-non-negative least squares, rounds them within what the histogram holds, fits what is left again, and packs the residue by best fit. The plan is a
-table of runs: ranks r0.. of length L go to sequences base.. at a given offset. Pieces are numbered within their length and look their
+non-negative least squares, rounds them within what the histogram holds, fits what is left again, and packs the residue by best fit. Where best fit
+needs fewer sequences with a share of the repeats given back to it, it gets that share. The plan is a table of runs: ranks r0.. of length L go to sequences base.. at a given offset. Pieces are numbered within their length and look their
 place up, so neither pieces nor sequences are ever gathered.
 
 Nulls: a null or empty text is a single end token. Null ids and repeated rows are packed like others. Texts of any length are tokenized whole. Ties:
@@ -276,6 +276,38 @@ def fitted(hist: np.ndarray, most: int) -> list[Pattern]:
     return plan
 
 
+#: Shares of the patterns' repeats that are tried, the largest first; at 0 best fit packs all.
+KEPT = (1.0, 0.98, 0.9, 0.75, 0.5, 0.25, 0.0)
+
+
+def fewest(hist: np.ndarray) -> int:
+    """No plan has fewer sequences: the tokens ask for as many, and pieces of over half a sequence need one each."""
+    most = len(hist) - 1
+    return max(-(-int(hist @ np.arange(most + 1)) // most), int(hist[most // 2 + 1 :].sum()))
+
+
+def repaired(hist: np.ndarray, plan: list[Pattern], most: int) -> list[Pattern]:
+    """The plan and best fit of what it leaves, with as many of its repeats given back to best fit as make for the fewest sequences.
+
+    Rounding and a residue of few lengths can cost sequences. The shares in KEPT are tried until none can be better; of equal ones the largest stays, so
+    the result is never worse than best fit alone.
+    """
+    best, least = None, fewest(hist)
+    for share in KEPT:
+        some = [Pattern(p.parts, int(p.repeats * share)) for p in plan if int(p.repeats * share)]
+        left = hist.copy()
+        for p in some:
+            for length, m in p.parts:
+                left[length] -= m * p.repeats
+        whole = [*some, *best_fit(left, most)]
+        n = sum(p.repeats for p in whole)
+        if best is None or n < best[0]:
+            best = n, whole
+        if n <= least:
+            break
+    return best[1]
+
+
 def pack_histogram(counts: dict[int, int], most: int) -> list[Pattern]:
     """Patterns that hold every piece of the histogram exactly once: full pieces alone, then fitted patterns, then best fit of the residue."""
     hist = np.zeros(most + 1, np.int64)
@@ -283,7 +315,7 @@ def pack_histogram(counts: dict[int, int], most: int) -> list[Pattern]:
         hist[length] = n
     full = [Pattern([(most, 1)], int(hist[most]))] if hist[most] else []
     hist[most] = 0
-    return [*full, *fitted(hist, most), *best_fit(hist, most)]
+    return [*full, *repaired(hist, fitted(hist.copy(), most), most)]
 
 
 def runs_of(plan: list[Pattern]) -> dict[str, np.ndarray]:

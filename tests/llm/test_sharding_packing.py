@@ -83,6 +83,65 @@ def test_histogram_plan_holds_each_piece_once():
     assert sum(p.repeats for p in plan) <= 1.01 * sum(p.repeats for p in packing.best_fit(hist, 2048))
 
 
+def planned(counts, most):
+    plan, used = packing.pack_histogram(counts, most), {}
+    for p in plan:
+        assert sum(n * m for n, m in p.parts) <= most and p.repeats > 0
+        for n, m in p.parts:
+            used[n] = used.get(n, 0) + m * p.repeats
+    assert used == {k: v for k, v in counts.items() if v}
+    return sum(p.repeats for p in plan)
+
+
+def alone(counts, most):
+    hist = np.zeros(most + 1, np.int64)
+    hist[list(counts)] = list(counts.values())
+    return sum(p.repeats for p in packing.best_fit(hist, most))
+
+
+def test_plans_are_never_worse_than_best_fit():
+    few = {1030: 500, 500: 900, 300: 700, 200: 100}
+    assert planned(few, 2048) <= alone(few, 2048)
+    rng = np.random.default_rng(11)
+    for n in [1, 2, 3, 5, 10, 10, 10, 40]:
+        counts = {int(k): int(v) for k, v in zip(rng.choice(np.arange(1, 2049), n, replace=False), rng.integers(1, 900, n), strict=True)}
+        assert planned(counts, 2048) <= alone(counts, 2048)
+    assert planned({}, 2048) == 0 and planned({2048: 3, 1: 1}, 2048) == 4
+
+
+def optimum(pieces, most):
+    """The fewest sequences, by trying each piece in every open sequence of another fill."""
+    best = len(pieces)
+
+    def go(i, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if i == len(pieces):
+            best = len(fills)
+            return
+        for f in sorted(set(fills)):
+            if f + pieces[i] <= most:
+                rest = list(fills)
+                rest.remove(f)
+                go(i + 1, [*rest, f + pieces[i]])
+        go(i + 1, [*fills, pieces[i]])
+
+    go(0, [])
+    return best
+
+
+def test_small_histograms_are_within_one_of_the_optimum():
+    rng, exact = np.random.default_rng(5), 0
+    for _ in range(40):
+        pieces = sorted(rng.integers(1, 21, rng.integers(1, 10)).tolist(), reverse=True)
+        counts = {int(k): pieces.count(k) for k in set(pieces)}
+        got, want = planned(counts, 20), optimum(pieces, 20)
+        assert want <= got <= want + 1
+        exact += got == want
+    assert exact >= 36
+
+
 def test_numbering_is_gapless_for_a_hot_key(spark):
     from rubrica.llm.slots import numbered
 
