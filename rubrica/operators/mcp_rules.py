@@ -20,6 +20,7 @@ from rubrica.functions.text import normal_name, regex, trimmed, utf16_length
 from rubrica.operators.catalog import active
 from rubrica.operators.hits import by_row, hit, none, rows, text, when
 from rubrica.operators.joins import named_in, near_names
+from rubrica.operators.quantiles import nearest_rank
 
 TYPE = "mcp-server"
 
@@ -253,7 +254,7 @@ def total_cost(servers: DataFrame, budget: float) -> DataFrame:
 def latency(probes: DataFrame, budget: float) -> DataFrame:
     """MCP402: the 95th percentile, by nearest rank, of a server's probed calls."""
     live = probes.where(~F.coalesce("skipped", F.lit(False)) & F.col("latency_ms").isNotNull())
-    p = live.groupBy("path").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").cast("long").alias("p"), F.count(F.lit(1)).alias("n")).where(F.col("p") > budget)
+    p = nearest_rank(live.where("path IS NOT NULL"), ["path"], "latency_ms", 0.95).withColumn("p", F.col("p").cast("long")).where(F.col("p") > budget)
     return rows(p, TYPE, "MCP402", hit(text("p95 latency across ", F.col("n"), " probed tool", F.when(F.col("n") == 1, "").otherwise("s"), " is ", F.col("p"), f"ms (budget: {budget:g}ms)"), meta=F.create_map(F.lit("p95Ms"), F.col("p").cast("string"), F.lit("budgetMs"), F.lit(f"{budget:g}"))))
 
 

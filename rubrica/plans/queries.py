@@ -16,6 +16,7 @@ from rubrica.operators import evaluation, mcp_rules, rollup, scoring, skill_rule
 from rubrica.operators.catalog import RULES
 from rubrica.operators.context_rules import context_hits
 from rubrica.operators.engine import sort_key, to_findings
+from rubrica.operators.quantiles import nearest_rank
 from rubrica.sources.mcp import mutation_word, servers
 
 
@@ -221,8 +222,7 @@ SELECT p_partkey, distance, known FROM d QUALIFY row_number() OVER (PARTITION BY
 
 
 def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.count("value").alias("n"))
+    return nearest_rank(table(spark, sf_dir, "events"), ["event_type"], "value", 0.95, "p95")
 
 
 P95_SQL = "SELECT event_type, quantile_disc(value, 0.95) AS p95, count(value) AS n FROM events GROUP BY event_type"
