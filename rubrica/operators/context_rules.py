@@ -12,7 +12,7 @@ from rubrica.config import Config
 from rubrica.functions import detectors as D
 from rubrica.functions.text import matches, regex, trimmed
 from rubrica.operators.catalog import active
-from rubrica.operators.hits import by_row, hit, none, rows, text
+from rubrica.operators.hits import built_once, by_row, hit, none, rows, text
 from rubrica.operators.joins import opposed
 
 TYPE = "context-file"
@@ -45,6 +45,7 @@ def grouped(n: Column) -> Column:
     return F.format_number(n, 0)
 
 
+@built_once
 def row_rules(config: Config) -> dict[str, Column]:
     b, raw, total = config.budgets, F.col("raw"), F.col("tokens_total")
     budget = F.when(total > b.ctxTokensWarn, F.lit(int(b.ctxTokensWarn))).otherwise(F.lit(int(b.ctxTokensInfo)))

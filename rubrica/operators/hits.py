@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,23 @@ HITS_TYPE = f"array<{HIT_TYPE}>"
 HITS_SCHEMA = ["artifact_type", "path", "rule_id", *HIT_FIELDS]
 
 
+def built_once(build: Callable[..., dict[str, Column]]) -> Callable[..., dict[str, Column]]:
+    """Keeps rule expressions for a session, by settings. They name columns only, so any table can take them; making them is tens of thousands of calls to the JVM, however small the tables."""
+    known: dict[tuple, dict[str, Column]] = {}
+
+    @wraps(build)
+    def again(*args: object) -> dict[str, Column]:
+        context = SparkContext._active_spark_context
+        key = (context and context.applicationId, repr(args))
+        if key not in known:
+            for old in [k for k in known if k[0] != key[0]] or list(known)[:-7]:  # another session's are of no use
+                del known[old]
+            known[key] = build(*args)
+        return dict(known[key])
+
+    return again
+
+
 def hit(message: Column | str, **more) -> Column:
     """A hit; unnamed fields are null."""
     own = {"message": message} | more

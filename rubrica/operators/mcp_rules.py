@@ -18,7 +18,7 @@ from rubrica.config import Config
 from rubrica.functions import detectors as D
 from rubrica.functions.text import normal_name, regex, trimmed, utf16_length
 from rubrica.operators.catalog import active
-from rubrica.operators.hits import by_row, hit, none, rows, text, when
+from rubrica.operators.hits import built_once, by_row, hit, none, rows, text, when
 from rubrica.operators.joins import named_in, near_names
 from rubrica.operators.quantiles import nearest_rank
 
@@ -119,6 +119,7 @@ def shown(names: Column, sep: str) -> Column:
     return F.concat(F.array_join(F.slice(names, 1, 3), ", "), F.when(n > 3, F.concat(F.lit(f"{sep}+"), (n - 3).cast("string"), F.lit(" more"))).otherwise(""))
 
 
+@built_once
 def server_rules() -> dict[str, Column]:
     ready = F.col("initialized")
     path = F.parse_url(F.col("target"), F.lit("PATH")) if not hasattr(F, "try_parse_url") else F.try_parse_url(F.col("target"), F.lit("PATH"))
@@ -134,6 +135,7 @@ def server_rules() -> dict[str, Column]:
     }
 
 
+@built_once
 def tool_rules(config: Config) -> dict[str, Column]:
     """Rules over the tool row, which has `props`, `patterns`, `initialized` besides its own columns. Definition rules see valid entries only."""
     b = config.budgets
@@ -201,6 +203,7 @@ def tool_rules(config: Config) -> dict[str, Column]:
     }
 
 
+@built_once
 def probe_rules() -> dict[str, Column]:
     """Rules over the probe row; a null verdict isn't a failure."""
     live, name = ~F.coalesce("skipped", F.lit(False)), F.col("tool_name")

@@ -13,7 +13,7 @@ from rubrica.config import Config
 from rubrica.functions import detectors as D
 from rubrica.functions.text import SPACE_IN_CLASS, fenced_blocks, filled_lines, matches, mostly_english, regex, trimmed, utf16_length, word_count, word_set
 from rubrica.operators.catalog import active
-from rubrica.operators.hits import by_row, hit, none, rows, text, when
+from rubrica.operators.hits import built_once, by_row, hit, none, rows, text, when
 from rubrica.operators.joins import alike_sets, opposed
 
 TYPE = "skill"
@@ -97,6 +97,7 @@ def domains() -> Column:
     return F.transform(first, lambda x: hit(text('links to external domain "', x["d"], '" — surfaced for review, not judged'), file=FILE, line=body_line(x["line"])))
 
 
+@built_once
 def row_rules(config: Config) -> dict[str, Column]:
     """Rules over the skill row, as arrays of hits. The row has `name_`, `desc` and `name_line` besides its own columns."""
     b = config.budgets
@@ -153,6 +154,7 @@ def row_rules(config: Config) -> dict[str, Column]:
     }
 
 
+@built_once
 def resource_rules() -> dict[str, Column]:
     """Rules over a resource file's row; file is the resource."""
     c, f = F.col("content"), F.col("resource")

@@ -46,6 +46,26 @@ def grade_files(files: DataFrame, config: Config | None = None) -> DataFrame:
     return _of_files(files, config or Config(), lambda skill, ctx, c: grade_skills(*skill, c).unionByName(grade_context(*ctx, c)))
 
 
+def judge_files(files: DataFrame, config: Config | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scorecards, findings) of all skills and context files, as tables in the shared folder; the rules run once for both."""
+    config = config or Config()
+    skill = [table_of(t, "skills") for t in skills(files)]
+    ctx = [table_of(t, "contexts") for t in context_files(files)]
+    found = table_of(to_findings(skill_hits(*skill, config).unionByName(context_hits(*ctx, config)), config), "findings")
+    artifacts = artifact_rows(skill[0], "skill", config).unionByName(artifact_rows(ctx[0], "context-file", config))
+    cards = table_of(scorecards(artifacts, found), "cards")
+    for t in (*skill, *ctx):
+        drop_table(t)
+    return cards, found
+
+
+def judge_servers(servers: DataFrame, tools: DataFrame, probes: DataFrame, config: Config | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scorecards, findings) of all servers, as tables in the shared folder."""
+    config = config or Config()
+    found = table_of(to_findings(mcp_hits(servers, tools, probes, config), config), "findings")
+    return table_of(scorecards(artifact_rows(servers, "mcp-server", config, "probed"), found), "cards"), found
+
+
 def _of_files(files: DataFrame, config: Config, then: Callable[[list[DataFrame], list[DataFrame], Config], DataFrame]) -> DataFrame:
     """then(skill tables, context tables, config). Rules read artifacts many times, so these are tables: parsed once, and no plan holds the parsing and all rules at once."""
     skill = [table_of(t, "skills") for t in skills(files)]

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from rubrica.config import GRADES
+from rubrica.config import GRADES, LABELS, WEIGHTS
 from rubrica.operators.catalog import RULES
 
 TOOL = "rubrica"
@@ -17,11 +17,116 @@ GRADE_WIDTHS = {"A+": 16, "A": 8, "A-": 12, "B+": 17, "B": 8, "B-": 12, "C+": 17
 GRADE_COLOURS = {"A": "#4c1", "B+": "#97ca00", "B": "#97ca00", "B-": "#a4a61d", "C": "#dfb317", "D": "#fe7d37", "F": "#e05d44"}
 WIDTH, SLOTS = 78, 20
 GLYPHS = {"error": "✖", "warn": "▲", "info": "ℹ"}
+PATH_WIDTH, REPO_WIDTH = 48, 110
+SCHEMA_VERSION = 1
+# What a card's JSON holds. A name with ? may be missing; a list is an array of its entry; a tuple lists the values there are.
+NUMBER = int | float
+SEVERITY = tuple(GLYPHS)
+FINDING_SHAPE = {"ruleId": str, "severity": SEVERITY, "dimension": tuple(LABELS), "message": str, "fix": str, "foundational?": bool, "location?": {"file?": str, "line?": int, "toolName?": str}, "meta?": dict}
+CARD_SHAPE = {
+    "schemaVersion": (SCHEMA_VERSION,),
+    "toolVersion": str,
+    "deterministic": bool,
+    "artifact": {"type": tuple(WEIGHTS), "name": str, "path": str},
+    "dimensions": [{"dimension": tuple(LABELS), "label": str, "score": NUMBER, "grade": tuple(GRADES), "weight": NUMBER, "findings": [FINDING_SHAPE]}],
+    "composite": NUMBER,
+    "compositeRaw": NUMBER,
+    "grade": tuple(GRADES),
+    "securityCapped": bool,
+    "foundationalCapped": bool,
+    "topFixes": [{"ruleId": str, "severity": SEVERITY, "dimension": tuple(LABELS), "message": str, "fix": str, "count": int, "gain": NUMBER, "projectedComposite": NUMBER, "projectedGrade": tuple(GRADES)}],
+    "stats": {"tokens": int, "rulesRun": int, "findings": {"error": int, "warn": int, "info": int}},
+}
+NAMES = {str: "string", bool: "boolean", dict: "object", int: "whole number", NUMBER: "number"}
 
 
-def to_json(cards: DataFrame) -> DataFrame:
-    """(path, card): each scorecard as a JSON document."""
-    return cards.select("path", F.to_json(F.struct(F.lit(1).alias("schemaVersion"), *cards.columns)).alias("card"))
+VERSION = "0.3.0"
+
+
+def card_documents(cards: DataFrame) -> DataFrame:
+    """(path, card): each scorecard as a JSON document. How many findings a dimension has is in it; they themselves are documents of their own, so an artifact with very many makes no row of that size."""
+    c = F.col
+    dims = F.transform("dimensions", lambda d: F.struct(d["dimension"].alias("dimension"), d["label"].alias("label"), d["score"].alias("score"), d["grade"].alias("grade"), d["weight"].alias("weight"), d["findings"].alias("findingCount")))
+    fixes = F.transform("top_fixes", lambda x: F.struct(x["rule_id"].alias("ruleId"), x["severity"].alias("severity"), x["dimension"].alias("dimension"), x["message"].alias("message"), x["fix"].alias("fix"), x["count"].alias("count"), x["gain"].alias("gain"), x["projected_composite"].alias("projectedComposite"), x["projected_grade"].alias("projectedGrade")))
+    stats = F.struct("tokens", c("rules_run").alias("rulesRun"), F.struct(c("n_error").alias("error"), c("n_warn").alias("warn"), c("n_info").alias("info")).alias("findings"))
+    card = F.struct(
+        F.lit(SCHEMA_VERSION).alias("schemaVersion"),
+        F.lit(VERSION).alias("toolVersion"),
+        F.lit(True).alias("deterministic"),
+        F.struct(c("artifact_type").alias("type"), "name", "path").alias("artifact"),
+        dims.alias("dimensions"),
+        "composite",
+        c("composite_raw").alias("compositeRaw"),
+        "grade",
+        c("security_capped").alias("securityCapped"),
+        c("foundational_capped").alias("foundationalCapped"),
+        fixes.alias("topFixes"),
+        stats.alias("stats"),
+    )
+    return cards.select("path", F.to_json(card).alias("card"))
+
+
+def finding_documents(findings: DataFrame) -> DataFrame:
+    """(path, finding): each finding as a JSON document; what is null is left out."""
+    at = F.when(F.coalesce("file", F.col("line").cast("string"), "tool_name").isNotNull(), F.struct("file", "line", F.col("tool_name").alias("toolName")))
+    doc = F.struct(F.col("rule_id").alias("ruleId"), "severity", "dimension", "message", "fix", F.when(F.col("foundational"), F.lit(True)).alias("foundational"), at.alias("location"), "meta")
+    return findings.select("path", F.to_json(doc).alias("finding"))
+
+
+def without_nulls(**fields: object) -> dict:
+    return {k: v for k, v in fields.items() if v is not None}
+
+
+def finding_shape(f: Row) -> dict:
+    location = without_nulls(file=f.file, line=f.line, toolName=f.tool_name)
+    return without_nulls(ruleId=f.rule_id, severity=f.severity, dimension=f.dimension, message=f.message, fix=f.fix, foundational=f.foundational or None, location=location or None, meta=f.meta)
+
+
+def card_shape(card: Row, findings: Iterable[Row] = ()) -> dict:
+    """A card with its findings as the document that readers are promised, checked."""
+    own = list(findings)
+    doc = {
+        "schemaVersion": SCHEMA_VERSION,
+        "toolVersion": VERSION,
+        "deterministic": True,
+        "artifact": {"type": card.artifact_type, "name": card.name, "path": card.path},
+        "dimensions": [{"dimension": d.dimension, "label": d.label, "score": d.score, "grade": d.grade, "weight": d.weight, "findings": [finding_shape(f) for f in own if f.dimension == d.dimension]} for d in card.dimensions],
+        "composite": card.composite,
+        "compositeRaw": card.composite_raw,
+        "grade": card.grade,
+        "securityCapped": card.security_capped,
+        "foundationalCapped": card.foundational_capped,
+        "topFixes": [{"ruleId": x.rule_id, "severity": x.severity, "dimension": x.dimension, "message": x.message, "fix": x.fix, "count": x["count"], "gain": x.gain, "projectedComposite": x.projected_composite, "projectedGrade": x.projected_grade} for x in card.top_fixes or ()],
+        "stats": {"tokens": card.tokens, "rulesRun": card.rules_run, "findings": {"error": card.n_error, "warn": card.n_warn, "info": card.n_info}},
+    }
+    return checked(doc)
+
+
+def checked(value: object, shape: object = None, at: str = "card") -> object:
+    """The value without fields that its shape doesn't have; ValueError, with the place, where it departs from the shape."""
+    shape = CARD_SHAPE if shape is None else shape
+    if isinstance(shape, dict):
+        if not isinstance(value, dict):
+            raise ValueError(f"{at} is not an object")
+        gone = [k for k in shape if not k.endswith("?") and k not in value]
+        if gone:
+            raise ValueError(f"{at}.{gone[0]} is missing")
+        return {k.rstrip("?"): checked(value[k.rstrip("?")], s, f"{at}.{k.rstrip('?')}") for k, s in shape.items() if k.rstrip("?") in value}
+    if isinstance(shape, list):
+        if not isinstance(value, list):
+            raise ValueError(f"{at} is not an array")
+        return [checked(x, shape[0], f"{at}[{i}]") for i, x in enumerate(value)]
+    if isinstance(shape, tuple):
+        if value not in shape or isinstance(value, bool) != isinstance(shape[0], bool):
+            raise ValueError(f"{at} is not one of {', '.join(map(str, shape))}")
+        return value
+    if not isinstance(value, shape) if shape is bool or shape is str or shape is dict else isinstance(value, bool) or not isinstance(value, shape):
+        raise ValueError(f"{at} is not a {NAMES[shape]}")
+    return value
+
+
+def card_json(card: Row, findings: Iterable[Row] = ()) -> str:
+    return json.dumps(card_shape(card, findings), indent=2, ensure_ascii=False)
 
 
 def number(x: float) -> str:
@@ -118,16 +223,46 @@ def badge(grade: str) -> str:
     )
 
 
+def overall_grade(cards: list[Row]) -> str:
+    """The weakest artifact's grade."""
+    return max((c.grade for c in cards), key=GRADES.index)
+
+
+def in_order(cards: list[Row]) -> list[Row]:
+    """Skills first, then context files, by path."""
+    return sorted(cards, key=lambda c: (list(WEIGHTS).index(c.artifact_type), c.path))
+
+
+def offender(card: Row, mark: str = "") -> str:
+    return f"{mark}{card.top_fixes[0].rule_id}{mark} {card.top_fixes[0].fix}" if card.top_fixes else "—"
+
+
 def repo_markdown(cards: list[Row]) -> str:
     """A repository's cards; the weakest decides."""
-    overall = max((c.grade for c in cards), key=GRADES.index)
-    out = [f"## {TOOL} repo scorecard — overall **{overall}**", "", "| Artifact | Type | Grade | Score | Worst offender |", "| --- | --- | --- | ---: | --- |"]
-    for c in cards:
-        worst = f"`{c.top_fixes[0].rule_id}` {c.top_fixes[0].fix}" if c.top_fixes else "—"
-        out.append(f"| {c.path} | {c.artifact_type} | **{c.grade}** | {half_up(c.composite)} | {worst} |")
+    out = [f"## {TOOL} repo scorecard — overall **{overall_grade(cards)}**", "", "| Artifact | Type | Grade | Score | Worst offender |", "| --- | --- | --- | ---: | --- |"]
+    out += [f"| {c.path} | {c.artifact_type} | **{c.grade}** | {half_up(c.composite)} | {offender(c, '`')} |" for c in in_order(cards)]
     return "\n".join([*out, "", "_The weakest artifact gates the repo._"])
 
 
+def repo_terminal(cards: list[Row]) -> str:
+    """A repository's cards as a table without colour; the lowest scores are marked, long rows cut."""
+    lowest, wide = min(c.composite for c in cards), min(PATH_WIDTH, max(8, *(len(c.path) for c in cards)))
+    out = ["", f"  {'ARTIFACT':<{wide}}  {'TYPE':<12} GRADE  SCORE  WORST OFFENDER"]
+    for c in in_order(cards):
+        mark = "▸ " if c.composite == lowest and len(cards) > 1 else "  "
+        line = f"{mark}{c.path:<{wide}}  {c.artifact_type:<12} {c.grade:<5}  {half_up(c.composite):>3}   {offender(c)}"
+        out.append(line if len(line) <= REPO_WIDTH else f"{line[: REPO_WIDTH - 3]}…")
+    return "\n".join([*out, "", f"  Overall: {overall_grade(cards)} · {len(cards)} artifact{'' if len(cards) == 1 else 's'} · the weakest artifact gates the repo", ""])
+
+
+def repo_json(cards: list[Row], findings: Iterable[Row] = ()) -> str:
+    own: dict[tuple[str, str], list[Row]] = {}
+    for f in findings:
+        own.setdefault((f.artifact_type, f.path), []).append(f)
+    shapes = [card_shape(c, own.get((c.artifact_type, c.path), ())) for c in in_order(cards)]
+    return json.dumps({"schemaVersion": SCHEMA_VERSION, "overall": overall_grade(cards), "artifacts": shapes}, indent=2, ensure_ascii=False)
+
+
 def rules_document() -> str:
     """The rule catalogue by artifact type, dimension and id."""
     out: list[str] = []
