@@ -17,6 +17,7 @@ from rubrica.operators.catalog import RULES
 from rubrica.operators.context_rules import context_hits
 from rubrica.operators.engine import sort_key, to_findings
 from rubrica.operators.quantiles import nearest_rank
+from rubrica.plans import reports
 from rubrica.sources.mcp import mutation_word, servers
 
 
@@ -71,6 +72,16 @@ def top_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("path", "rank", "x.rule_id", "x.severity", "x.dimension", "x.message", "x.fix", "x.count", "x.gain", "x.projected_composite", "x.projected_grade")
 
 
+def card_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each artifact's card as a JSON document, fixes included."""
+    return reports.card_documents(cards(spark, sf_dir, True))
+
+
+def finding_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each finding as a JSON document."""
+    return reports.finding_documents(findings(spark, sf_dir))
+
+
 def repo_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = cards(spark, sf_dir).withColumn("repo", F.substring("path", 2, 10).cast("long") % 97)
     return rollup.worst_grade(own, "repo")
@@ -149,6 +160,21 @@ best AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY gain DESC, rule
 SELECT path, rank::INT AS rank, rule_id, severity, dimension, message, 'fix ' || rule_id AS fix, "count", gain, {_R2.format('projected')} AS projected_composite, {_GRADE.format('projected')} AS projected_grade
 FROM best JOIN rid USING (path, rule_id) WHERE rank < 3
 """
+#: Dimensions in an order that agrees with each type's own.
+_DIM_ORDER = "['structure', 'protocol', 'trigger', 'definition', 'token', 'instruction', 'security', 'reliability', 'quality']"
+DOCUMENT_SQL = f"""
+WITH dims AS (
+  SELECT path, list({{'dimension': dimension, 'label': label, 'score': score, 'grade': grade, 'weight': weight, 'findingCount': findings}} ORDER BY list_position({_DIM_ORDER}, dimension)) AS dims FROM ({DIMENSION_SQL}) GROUP BY path),
+fixes AS (
+  SELECT path, list({{'ruleId': rule_id, 'severity': severity, 'dimension': dimension, 'message': message, 'fix': fix, 'count': "count", 'gain': gain, 'projectedComposite': projected_composite, 'projectedGrade': projected_grade}} ORDER BY rank) AS fixes FROM ({FIX_SQL}) GROUP BY path),
+cards AS ({SCORE_SQL})
+SELECT path, to_json({{'schemaVersion': 1, 'toolVersion': '0.3.0', 'deterministic': true, 'artifact': {{'type': artifact_type, 'name': 'n' || substr(path, 2), 'path': path}}, 'dimensions': dims, 'composite': composite, 'compositeRaw': composite_raw,
+  'grade': grade, 'securityCapped': security_capped, 'foundationalCapped': foundational_capped, 'topFixes': coalesce(fixes, []),
+  'stats': {{'tokens': substr(path, 2)::BIGINT % 7000, 'rulesRun': 20, 'findings': {{'error': n_error, 'warn': n_warn, 'info': n_info}}}}}})::VARCHAR AS card
+FROM cards JOIN dims USING (path) LEFT JOIN fixes USING (path)"""
+FINDING_SQL = f"""WITH {_FINDINGS_SQL}
+SELECT path, '{{"ruleId":"' || rule_id || '","severity":"' || severity || '","dimension":"' || dimension || '","message":"' || message || '","fix":"fix ' || rule_id || '"' || CASE WHEN rule_id = 'SK001' AND l_quantity > 30 THEN ',"foundational":true' ELSE '' END
+  || ',"location":{{"file":"f.md","line":' || line || '}}}}' AS finding FROM fnd"""
 _RANK = "list_position(" + _sql_list(scoring.GRADES) + ", {0})"
 ROLLUP_SQL = f"WITH {_FINDINGS_SQL}, g AS (SELECT substr(path, 2)::BIGINT % 97 AS repo, {_GRADE.format('score')} AS grade, {_R2.format('score')} AS composite FROM card) SELECT repo, arg_max(grade, {_RANK.format('grade')}) AS overall, count(*) AS artifacts, min(composite) AS worst_composite FROM g GROUP BY repo"
 GATE_SQL = f"WITH {_FINDINGS_SQL}, g AS (SELECT path, {_GRADE.format('score')} AS grade, {_R2.format('score')} AS composite FROM card) SELECT * FROM g WHERE {_RANK.format('grade')} > {scoring.GRADES.index('C') + 1}"
@@ -501,14 +527,14 @@ SELECT event_type, floor(p * 10000 + 0.5) / 10000 AS precision, floor(r * 10000
 """
 
 QUERIES = {
-    "score_cards": score_cards, "dimension_scores": dimension_scores, "top_fixes": top_fixes, "repo_rollup": repo_rollup, "ci_gate": ci_gate, "findings_order": findings_order, "effective_findings": effective_findings,
+    "score_cards": score_cards, "dimension_scores": dimension_scores, "top_fixes": top_fixes, "card_documents": card_documents, "finding_documents": finding_documents, "repo_rollup": repo_rollup, "ci_gate": ci_gate, "findings_order": findings_order, "effective_findings": effective_findings,
     "line_index": line_index, "name_similarity": name_similarity, "text_similarity": text_similarity, "edit_distance": edit_distance, "latency_p95": latency_p95, "text_counts": text_counts, "fenced_code": fenced_code,
     "detect_injection": injection, "detect_fetch_execute": fetch, "detect_base64": blobs, "detect_secrets": secret, "detect_hidden_unicode": hidden,
     "skill_rule_hits": skill_rule_hits, "sibling_descriptions": sibling_descriptions, "mcp_rule_hits": mcp_rule_hits, "confusable_names": confusable_names, "name_collisions": name_collisions, "context_rule_hits": context_rule_hits,
     "captured_catalogue": captured_catalogue, "trigger_metrics": trigger_metrics,
 }
 ORACLE_SQL = {
-    "score_cards": SCORE_SQL, "dimension_scores": DIMENSION_SQL, "top_fixes": FIX_SQL, "repo_rollup": ROLLUP_SQL, "ci_gate": GATE_SQL, "findings_order": ORDER_SQL, "effective_findings": EFFECTIVE_SQL,
+    "score_cards": SCORE_SQL, "dimension_scores": DIMENSION_SQL, "top_fixes": FIX_SQL, "card_documents": DOCUMENT_SQL, "finding_documents": FINDING_SQL, "repo_rollup": ROLLUP_SQL, "ci_gate": GATE_SQL, "findings_order": ORDER_SQL, "effective_findings": EFFECTIVE_SQL,
     "line_index": LINE_SQL, "name_similarity": JACCARD_SQL, "text_similarity": TEXT_JACCARD_SQL, "edit_distance": EDIT_SQL, "latency_p95": P95_SQL, "text_counts": COUNTS_SQL, "fenced_code": FENCED_SQL,
     "detect_injection": _detector_sql(INJECTED, D.INJECTION, "(?i)"), "detect_fetch_execute": _detector_sql(FETCHED, D.FETCH, "(?i)"), "detect_base64": BLOB_SQL,
     "detect_secrets": _detector_sql(SECRET, [(k, p.replace("(?!ant-)", "")) for k, p in D.SECRETS], "", "substr(m, 1, 8) || '…' || right(m, 4)").replace("FROM h\n", "FROM h WHERE NOT (kind = 'API secret key' AND starts_with(m, 'sk-ant-'))\n"),
