@@ -9,6 +9,8 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rubrica.config import Config
+
 HIT_FIELDS = {"severity": "string", "message": "string", "foundational": "boolean", "file": "string", "line": "int", "tool_name": "string", "meta": "map<string,string>"}
 HIT_TYPE = "struct<" + ",".join(f"{k}:{v}" for k, v in HIT_FIELDS.items()) + ">"
 HITS_TYPE = f"array<{HIT_TYPE}>"
@@ -16,13 +18,13 @@ HITS_SCHEMA = ["artifact_type", "path", "rule_id", *HIT_FIELDS]
 
 
 def built_once(build: Callable[..., dict[str, Column]]) -> Callable[..., dict[str, Column]]:
-    """Keeps rule expressions for a session, by settings. They name columns only, so any table can take them; making them is tens of thousands of calls to the JVM, however small the tables."""
+    """Keeps rule expressions for a session, by budgets, the only settings that they hold. They name columns only, so any table can take them; making them is tens of thousands of calls to the JVM, however small the tables."""
     known: dict[tuple, dict[str, Column]] = {}
 
     @wraps(build)
     def again(*args: object) -> dict[str, Column]:
         context = SparkContext._active_spark_context
-        key = (context and context.applicationId, repr(args))
+        key = (context and context.applicationId, *[repr(a.budgets) if isinstance(a, Config) else repr(a) for a in args])
         if key not in known:
             for old in [k for k in known if k[0] != key[0]] or list(known)[:-7]:  # another session's are of no use
                 del known[old]
