@@ -21,6 +21,7 @@ from rubrica.operators.catalog import active
 from rubrica.operators.hits import built_once, by_row, hit, none, rows, text, when
 from rubrica.operators.joins import named_in, near_names
 from rubrica.operators.quantiles import nearest_rank
+from rubrica.tables import spread, unsent
 
 TYPE = "mcp-server"
 
@@ -225,17 +226,17 @@ def sibling_steering(tools: DataFrame) -> DataFrame:
     own = tools.select("path", "ord", "name", F.col("description").alias("said"), "entry_valid")
     speakers = own.where(F.col("said").rlike(PRECEDENCE))
     named = named_in(speakers.select("path", "ord", "said"), own.where(F.col("entry_valid") & (utf16_length(F.col("name")) >= 4)).select("path", "ord", "name"))
-    told = named.join(speakers.select("path", "ord", "name"), ["path", "ord"])
+    told = named.join(unsent(speakers.select("path", "ord", "name")), ["path", "ord"])
     return rows(told, TYPE, "MCP303", hit(text('tool "', F.col("name"), '" description names sibling tool "', F.col("o_name"), '" with precedence language'), tool_name=F.col("name")))
 
 
 def confusable(tools: DataFrame) -> DataFrame:
     """MCP305: pairs of valid tools, each once, whose names are one or two edits apart."""
     some = tools.where(F.col("entry_valid") & (utf16_length(F.col("name")) >= MIN_TYPO_NAME)).select("path", "ord", "name", F.lower("name").alias("low"))
-    near = near_names(some.select("path", F.col("low").alias("name")).distinct(), MAX_TYPO_DISTANCE)
+    near = near_names(spread(some.select("path", F.col("low").alias("name")), "path", "name").distinct(), MAX_TYPO_DISTANCE)
     left = some.select("path", F.col("low").alias("a"), F.col("ord").alias("a_ord"), F.col("name").alias("a_name"))
     right = some.select("path", F.col("low").alias("b"), F.col("ord").alias("b_ord"), F.col("name").alias("b_name"))
-    both = near.join(left, ["path", "a"]).join(right, ["path", "b"])
+    both = near.join(unsent(left), ["path", "a"]).join(unsent(right), ["path", "b"])
     ahead = F.col("a_ord") < F.col("b_ord")
     told = both.select("path", "distance", F.when(ahead, F.col("a_name")).otherwise(F.col("b_name")).alias("name"), F.when(ahead, F.col("b_name")).otherwise(F.col("a_name")).alias("o_name"))
     return rows(told, TYPE, "MCP305", hit(text('tool names "', F.col("name"), '" and "', F.col("o_name"), '" are edit distance ', F.col("distance"), " apart — easily confused with each other"), tool_name=F.col("o_name")))

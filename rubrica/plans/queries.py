@@ -19,6 +19,7 @@ from rubrica.operators.engine import sort_key, to_findings
 from rubrica.operators.quantiles import nearest_rank
 from rubrica.plans import reports
 from rubrica.sources.mcp import mutation_word, servers
+from rubrica.tables import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -407,9 +408,10 @@ def tool_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), k.cast("string"))
     desc = F.when(k % 4 == 0, F.lit(None)).when(k % 4 == 1, "short text").when(k % 4 == 2, F.concat(F.lit("Returns the stock of one part given its size, one of "), F.col("p_type"))).otherwise(F.concat(F.lit("Updates the price of a part before the credentials are read "), F.repeat(F.lit("word "), (k % 900).cast("int"))))
     schema = F.when(k % 3 == 0, F.lit(None)).when(k % 3 == 1, '{"type":"object","properties":{"size":{"type":"string","description":"must be either S or L"},"n":{"type":"integer"}}}').otherwise('{"type":"object","properties":{}}')
-    tool = table(spark, sf_dir, "part").select(F.concat(F.lit("m"), (k % 50).cast("string")).alias("path"), F.expr("p_partkey div 50").alias("ord"), name.alias("name"), desc.alias("description"), schema.alias("input_schema"), X.approximate_tokens(F.concat(name, F.coalesce(desc, F.lit("")))).alias("tokens"), F.lit(True).alias("entry_valid"))
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), "p_partkey")
+    tool = part.select(F.concat(F.lit("m"), (k % 50).cast("string")).alias("path"), F.expr("p_partkey div 50").alias("ord"), name.alias("name"), desc.alias("description"), schema.alias("input_schema"), X.approximate_tokens(F.concat(name, F.coalesce(desc, F.lit("")))).alias("tokens"), F.lit(True).alias("entry_valid"))
     server = tool.groupBy("path").agg(F.sum("tokens").cast("int").alias("tokens_total")).select("path", F.col("path").alias("name"), F.lit("http").alias("transport"), F.lit("http://host.example/sse").alias("target"), F.lit(True).alias("initialized"), F.lit(None).cast("string").alias("initialize_error"), F.lit("2025-06-18").alias("protocol_version"), F.lit("{}").alias("capabilities"), F.lit(None).cast("string").alias("tools_list_error"), "tokens_total", F.lit(True).alias("probed"))
-    probe = table(spark, sf_dir, "part").select(F.concat(F.lit("m"), (k % 50).cast("string")).alias("path"), name.alias("tool_name"), (k % 5 == 0).alias("skipped"), F.lit(None).cast("string").alias("skip_reason"), (k * 7 % 6000).cast("int").alias("latency_ms"), (k % 9 == 1).alias("protocol_error"), F.when(k % 9 == 2, False).when(k % 9 == 3, True).alias("error_structured"))
+    probe = part.select(F.concat(F.lit("m"), (k % 50).cast("string")).alias("path"), name.alias("tool_name"), (k % 5 == 0).alias("skipped"), F.lit(None).cast("string").alias("skip_reason"), (k * 7 % 6000).cast("int").alias("latency_ms"), (k % 9 == 1).alias("protocol_error"), F.when(k % 9 == 2, False).when(k % 9 == 3, True).alias("error_structured"))
     return server, tool, probe
 
 

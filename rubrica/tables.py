@@ -1,4 +1,4 @@
-"""Tables in the folder that driver and executors share, which cut a plan's lineage and are read several times."""
+"""Tables in the folder that driver and executors share, which cut a plan's lineage and are read several times, and rows dealt to tasks."""
 
 from __future__ import annotations
 
@@ -19,6 +19,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows of df, dealt by keys to four tasks a core, for work that costs far more than reading: a row group, of up to a million rows, is one task's, and small shuffles are put together into a few."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+def unsent(df: DataFrame) -> DataFrame:
+    """df for a join by shuffle: sizes are guessed from files, where rows derived from small ones, or exploded, look small enough to be sent through the driver to every task."""
+    return df.hint("merge")
+
+
 def table_of(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, computed once, as a Parquet table in the shared folder; drop_table deletes it."""
     spark = df.sparkSession
