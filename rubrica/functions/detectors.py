@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rubrica.functions.text import matches, regex
+from rubrica.functions.text import let, matches, regex
 
 # Injection phrases.
 INJECTION = [
@@ -58,9 +58,9 @@ SECRET_WORDS = [("AKIA",), ("ghp_", "github_pat_"), ("sk-ant-",), ("sk-",), ("xo
 # Unicode 15 ranges of pictographs, emoji modifiers, the variation selector and the joiner.
 PICTOGRAPHS = "A9 AE 203C 2049 2122 2139 2194-2199 21A9-21AA 231A-231B 2328 2388 23CF 23E9-23F3 23F8-23FA 24C2 25AA-25AB 25B6 25C0 25FB-25FE 2600-2605 2607-2612 2614-2685 2690-2705 2708-2712 2714 2716 271D 2721 2728 2733-2734 2744 2747 274C 274E 2753-2755 2757 2763-2767 2795-2797 27A1 27B0 27BF 2934-2935 2B05-2B07 2B1B-2B1C 2B50 2B55 3030 303D 3297 3299 1F000-1F0FF 1F10D-1F10F 1F12F 1F16C-1F171 1F17E-1F17F 1F18E 1F191-1F19A 1F1AD-1F1E5 1F201-1F20F 1F21A 1F22F 1F232-1F23A 1F23C-1F23F 1F249-1F3FA 1F400-1F53D 1F546-1F64F 1F680-1F6FF 1F774-1F77F 1F7D5-1F7FF 1F80C-1F80F 1F848-1F84F 1F85A-1F85F 1F888-1F88F 1F8AE-1F8FF 1F90C-1F93A 1F93C-1F945 1F947-1FAFF 1FC00-1FFFD 1F3FB-1F3FF FE0F 200D"
 EMOJI = "[" + "".join("-".join(rf"\x{{{x}}}" for x in r.split("-")) for r in PICTOGRAPHS.split()) + "]"
-HIDDEN = r"[\x{200B}-\x{200D}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{E0000}-\x{E007F}]|(?<=[\w\W])\x{FEFF}"
-#: A joiner between parts of an emoji; what stands in for it keeps every other place.
-JOINED = rf"({EMOJI})\x{{200D}}(?={EMOJI})"
+HIDDEN = r"[\x{200B}-\x{200D}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{E0000}-\x{E007F}]|\x{FEFF}(?<=[\w\W]\x{FEFF})"
+#: A joiner between parts of an emoji; what stands in for it keeps every other place. Whether a joiner follows is asked first, as the class has hundreds of ranges.
+JOINED = rf"(?=[\w\W]\x{{200D}})({EMOJI})\x{{200D}}(?={EMOJI})"
 FOUND = "array<struct<kind:string,pos:int,line:int,match:string>>"
 
 
@@ -121,4 +121,6 @@ def hidden_unicode(text: Column) -> Column:
         digits = F.hex(code)
         return F.struct(kind.alias("kind"), h["pos"].alias("pos"), h["line"].alias("line"), F.concat(F.lit("U+"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)).alias("match"))
 
-    return F.transform(matches(F.regexp_replace(text, JOINED, "$1\x01"), HIDDEN), told)
+    joined = F.when(F.contains(text, F.lit("\u200d")), F.regexp_replace(text, JOINED, "$1\x01")).otherwise(text)
+    found = let(joined, lambda t: matches(t, HIDDEN))
+    return F.when(F.octet_length(text) > F.length(text), F.transform(found, told)).otherwise(F.array().cast(FOUND))  # all of them are beyond ASCII

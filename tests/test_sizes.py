@@ -1,7 +1,12 @@
 """Plans that hold at any size: rows derived from small files are neither sent through the driver nor left to one task."""
 
+import random
+
 from pyspark.sql import functions as F
 
+import __spark_entry__
+from rubrica.functions import detectors as D
+from rubrica.functions.text import matches
 from rubrica.operators import joins, mcp_rules
 
 
@@ -23,3 +28,19 @@ def test_keys_of_a_name_are_those_of_its_deletions(spark):
     left = lambda n: {n} | {n[:i] + n[i + 1 :] for i in range(len(n))} | {n[:i] + n[i + 1 : j] + n[j + 1 :] for i in range(len(n)) for j in range(i + 1, len(n))}
     assert got[None] is None and all(len(got[n]) == len(set(got[n])) == len(left(n)) for n in names)
     assert all(len({*got[a]} & {*got[b]}) == len(left(a) & left(b)) for a in names for b in names)
+
+
+def test_texts_are_dealt_to_tasks(spark, tmp_path):
+    spark.createDataFrame([(i, "text") for i in range(50)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for query in ("detect_hidden_unicode", "context_rule_hits"):
+        assert "REPARTITION_BY_NUM" in plan_of(__spark_entry__.queries()[query](spark, str(tmp_path)))
+
+
+def test_joiners_between_emoji(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("a‍‍﻿️👨👩é\n", k=rng.randint(0, 12))) for _ in range(3000)]
+    plain = rf"({D.EMOJI})\x{{200D}}(?={D.EMOJI})"
+    t = F.regexp_replace("t", plain, "$1\x01")
+    want = F.transform(matches(t, r"[\x{200B}-\x{200D}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{E0000}-\x{E007F}]|(?<=[\w\W])\x{FEFF}"), lambda h: h["pos"])
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.transform(D.hidden_unicode(F.col("t")), lambda h: h["pos"]).alias("got"), want.alias("want"))
+    assert df.where("got <> want").count() == 0 and df.where("size(got) > 0").count() > 500
