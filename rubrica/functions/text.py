@@ -118,7 +118,7 @@ def word_count(text: Column) -> Column:
 
 
 def filled_lines(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, "\n", -1), lambda x: trimmed(x) != ""))
+    return F.size(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE_IN_CLASS}]")))
 
 
 # Function words of other languages.
