@@ -44,3 +44,9 @@ def test_joiners_between_emoji(spark):
     want = F.transform(matches(t, r"[\x{200B}-\x{200D}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{E0000}-\x{E007F}]|(?<=[\w\W])\x{FEFF}"), lambda h: h["pos"])
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.transform(D.hidden_unicode(F.col("t")), lambda h: h["pos"]).alias("got"), want.alias("want"))
     assert df.where("got <> want").count() == 0 and df.where("size(got) > 0").count() > 500
+
+
+def test_context_files_end_with_as_many_bytes_as_their_sql_says(spark, tmp_path):
+    spark.createDataFrame([(5 * n, "x" * n) for n in range(5978, 5990)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = __spark_entry__.queries()["context_rule_hits"](spark, str(tmp_path)).where("rule_id = 'CTX001'")
+    assert sorted(int(r.path[1:]) // 5 for r in out.collect()) == [n for n in range(5978, 5990) if -(-(n + 18) // 4) > 1500]
