@@ -266,7 +266,7 @@ def mcp_hits(servers: DataFrame, tools: DataFrame, probes: DataFrame, config: Co
     """Hits of all active server rules."""
     on = set(active(TYPE, config.rules))
     pick = lambda r: {k: v for k, v in r.items() if k in on}
-    full = tools.join(servers.select("path", "initialized"), "path").fillna({"name": ""})
+    full = spread(tools.join(unsent(servers.select("path", "initialized")), "path"), "path", "ord").fillna({"name": ""})
     full = full.withColumns({"props": params(), "patterns": schema_patterns("input_schema") if "MCP203" in on else F.lit(None).cast("struct<depth:int,titles:array<string>>")})
     out = by_row(servers, TYPE, pick(server_rules())).unionByName(by_row(full, TYPE, pick(tool_rules(config)))).unionByName(by_row(probes, TYPE, pick(probe_rules())))
     for rule, more in (

@@ -17,7 +17,7 @@ from rubrica.operators.engine import to_findings
 from rubrica.operators.mcp_rules import mcp_hits
 from rubrica.plans.grading import findings_of_files, grade_files
 from rubrica.sources.mcp import servers
-from rubrica.tables import table_of
+from rubrica.tables import spread, table_of
 
 Hit = tuple[str, str, str | None, int | None, str]  # rule, severity, file or tool, line, message
 
@@ -167,7 +167,7 @@ def of_case(values: list[str | None]) -> Column:
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    return spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), "p_partkey")
 
 
 def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +183,7 @@ def derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = F.concat(entries(SKILLS, "SKILL.md", "skill-@/"), F.when(shares, F.array().cast("array<struct<path:string,content:string>>")).otherwise(entries(CONTEXTS, "AGENTS.md", "")))
     out = p.select("repo", "p_partkey", F.explode(both).alias("f")).select("repo", keyed(F.col("f.path")).alias("path"), keyed(F.col("f.content")).alias("content"))
     whole = out.select("repo", "path", F.octet_length("content").cast("long").alias("size"), "content")
-    return table_of(whole.repartition("repo"), "files")  # in several splits, as a lake of files would be
+    return table_of(spread(whole, "repo"), "files")  # in several splits, as a lake of files would be
 
 
 def file_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from rubrica.functions.text import approximate_tokens, trimmed
 from rubrica.operators.mcp_rules import json_string
+from rubrica.tables import unsent
 
 # The page cap and the words that mark a tool as changing things.
 MAX_PAGES = 100
@@ -44,7 +45,7 @@ def listings(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = F.col("problem").isNotNull() | F.col("cursor").isNull()
     found = told.groupBy("path").agg(F.min_by(F.struct("problem"), F.when(ends, F.col("page"))).alias("end"), F.min(F.when(ends, F.col("page"))).alias("last"))
     judged = found.select("path", "last", F.when(F.col("last").isNull(), "the capture ends while a cursor is open").otherwise(F.col("end.problem")).alias("error"))
-    good = told.select("path", "page", "reply").join(judged.where("error IS NULL").select("path", "last"), "path").where("page <= last").drop("last")
+    good = told.select("path", "page", "reply").join(unsent(judged.where("error IS NULL").select("path", "last")), "path").where("page <= last").drop("last")
     return judged.select("path", "error"), good
 
 
@@ -77,7 +78,7 @@ def tools_of(pages: DataFrame, tokens=approximate_tokens) -> DataFrame:
 def server_rows(own: DataFrame, tool: DataFrame) -> DataFrame:
     """mcp_server of rows that have path, name, transport, target, initialize, initialize_error, tools_list_error and probed."""
     total = tool.groupBy("path").agg(F.sum("tokens").cast("int").alias("tokens_total"))
-    return own.join(total, "path", "left").select(
+    return own.join(unsent(total), "path", "left").select(
         "path", "name", "transport", "target",
         F.col("initialize").isNotNull().alias("initialized"),
         "initialize_error",
@@ -94,7 +95,7 @@ def servers(capture: DataFrame, tokens=approximate_tokens) -> tuple[DataFrame, D
     pages = capture.where("initialize IS NOT NULL AND list_error IS NULL").select("path", F.posexplode("pages").alias("page", "reply"), F.lit(None).cast("string").alias("error"))
     judged, good = listings(pages)
     tool = tools_of(good, tokens)
-    own = capture.join(judged, "path", "left").withColumn("tools_list_error", F.coalesce("list_error", "error"))
+    own = capture.join(unsent(judged), "path", "left").withColumn("tools_list_error", F.coalesce("list_error", "error"))
     return server_rows(own, tool), tool
 
 
