@@ -8,6 +8,9 @@ import __spark_entry__
 from rubrica.functions import detectors as D
 from rubrica.functions.text import matches
 from rubrica.operators import joins, mcp_rules
+from rubrica.plans import artifact_queries, eval_queries, queries
+from rubrica.sources.mcp import servers
+from rubrica.sources.trees import skills
 
 
 def plan_of(df):
@@ -50,3 +53,17 @@ def test_context_files_end_with_as_many_bytes_as_their_sql_says(spark, tmp_path)
     spark.createDataFrame([(5 * n, "x" * n) for n in range(5978, 5990)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     out = __spark_entry__.queries()["context_rule_hits"](spark, str(tmp_path)).where("rule_id = 'CTX001'")
     assert sorted(int(r.path[1:]) // 5 for r in out.collect()) == [n for n in range(5978, 5990) if -(-(n + 18) // 4) > 1500]
+
+
+def test_parts_are_dealt_to_tasks_and_not_sent_through_the_driver(spark, tmp_path):
+    spark.createDataFrame([(i, "red bolt", "SMALL") for i in range(20)], "p_partkey long, p_name string, p_type string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(i, f"NATION_{i}") for i in range(25)], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    replies = plan_of(eval_queries.recorded_replies(spark, str(tmp_path)))
+    assert "REPARTITION_BY_NUM" in replies and "BroadcastExchange" not in replies
+    for own in (artifact_queries.parts(spark, str(tmp_path)), queries.tool_tables(spark, str(tmp_path))[1], eval_queries.trigger_scenarios(spark, str(tmp_path))):
+        assert "REPARTITION_BY_NUM" in plan_of(own)
+    page = F.lit('{"tools":[{"name":"read_page"}]}')
+    capture = artifact_queries.parts(spark, str(tmp_path)).select(F.col("p_partkey").cast("string").alias("path"), *[F.lit("x").alias(c) for c in ("name", "transport", "target", "initialize")], F.lit(None).cast("string").alias("initialize_error"), F.array(page).alias("pages"), F.lit(None).cast("string").alias("list_error"), F.lit(False).alias("probed"))
+    assert all("BroadcastExchange" not in plan_of(t) for t in servers(capture))
+    files = artifact_queries.derived_files(spark, str(tmp_path))
+    assert all("BroadcastExchange" not in plan_of(t) for t in skills(files))
