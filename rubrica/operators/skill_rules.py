@@ -15,6 +15,7 @@ from rubrica.functions.text import SPACE_IN_CLASS, fenced_blocks, filled_lines,
 from rubrica.operators.catalog import active
 from rubrica.operators.hits import built_once, by_row, hit, none, rows, text, when
 from rubrica.operators.joins import alike_sets, opposed
+from rubrica.tables import spread, unsent
 
 TYPE = "skill"
 FILE = "SKILL.md"
@@ -171,7 +172,7 @@ def similar_siblings(skill: DataFrame, threshold: float) -> DataFrame:
     """SK106: skills of one repository whose descriptions share more than `threshold` of their words, in both directions."""
     own = skill.select("repo", "path", "name", word_set(F.col("desc")).alias("w"))
     other = own.select("repo", F.col("path").alias("o_path"), F.col("name").alias("o_name"))
-    alike = alike_sets(own.select("repo", "path", "w"), threshold).join(other, ["repo", "o_path"])
+    alike = alike_sets(own.select("repo", "path", "w"), threshold).join(unsent(other), ["repo", "o_path"])
     return rows(alike, TYPE, "SK106", hit(text("description is ", F.floor(F.col("similarity") * 100 + 0.5).cast("long"), '% similar to sibling skill "', F.col("o_name"), f'" (threshold {int(threshold * 100 + 0.5)}%)')))
 
 
@@ -179,7 +180,7 @@ def skill_hits(skill: DataFrame, refs: DataFrame, resources: DataFrame, config:
     """Hits of all active skill rules."""
     on = set(active(TYPE, config.rules))
     n_refs = refs.groupBy("path").agg(F.count(F.lit(1)).alias("n_refs"))
-    full = skill.join(n_refs, "path", "left").fillna({"n_refs": 0, "raw": "", "body": ""})
+    full = spread(skill.join(unsent(n_refs), "path", "left"), "path").fillna({"n_refs": 0, "raw": "", "body": ""})
     full = full.withColumns({"name_": front_string("name"), "desc": description(), "name_line": front_line(F.lit("name"))})
     out = by_row(full, TYPE, {k: v for k, v in row_rules(config).items() if k in on})
     if "SK005" in on:
@@ -189,4 +190,4 @@ def skill_hits(skill: DataFrame, refs: DataFrame, resources: DataFrame, config:
     if "SK304" in on:
         out = out.unionByName(contradictions(full))
     flags = full.select("path", (F.col("raw") != "").alias("has_raw"), (F.col("body") != "").alias("has_body"))
-    return out.unionByName(by_row(resources.where("content IS NOT NULL").join(flags, "path"), TYPE, {k: v for k, v in resource_rules().items() if k in on}))
+    return out.unionByName(by_row(spread(resources.where("content IS NOT NULL").join(unsent(flags), "path"), "path", "resource"), TYPE, {k: v for k, v in resource_rules().items() if k in on}))

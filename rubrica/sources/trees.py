@@ -20,6 +20,7 @@ from rubrica.config import UserError
 from rubrica.functions.text import approximate_tokens, line_count, matches
 from rubrica.sources.files import FILES, FileTree
 from rubrica.sources.references import MANIFESTS, commands, file_mentions, manifest_targets, masked, resolved
+from rubrica.tables import unsent
 
 # Names, patterns and limits of the adapters.
 CONTEXT_NAMES = {"CLAUDE.md": "claude-md", "AGENTS.md": "agents-md", "GEMINI.md": "gemini-md", ".cursorrules": "cursorrules"}
@@ -168,14 +169,14 @@ def skills(files: DataFrame, tokens=approximate_tokens) -> tuple[DataFrame, Data
     links = skill.select("repo", "path", "folder", "body_start_line", F.explode(matches(F.col("body"), LINK)).alias("m")).withColumn("link", F.regexp_extract("m.match", LINK, 1))
     links = links.where(~F.col("link").rlike(f"(?i){NOT_RELATIVE}")).withColumn("bare", F.regexp_extract("link", "^[^#?]*", 0)).where("bare <> ''")
     listed = entries(files).withColumn("exists", F.lit(True))
-    refs = links.withColumn("entry", resolved(F.col("folder"), F.col("bare"))).join(listed, ["repo", "entry"], "left").select("path", "link", F.coalesce("exists", F.lit(False)).alias("exists"), (F.col("m.line") + F.col("body_start_line") - 1).alias("line"))
+    refs = links.withColumn("entry", resolved(F.col("folder"), F.col("bare"))).join(unsent(listed), ["repo", "entry"], "left").select("path", "link", F.coalesce("exists", F.lit(False)).alias("exists"), (F.col("m.line") + F.col("body_start_line") - 1).alias("line"))
     # Files that aren't text, and large ones, are resources without content
     readable = F.col("path").rlike(TEXT_RESOURCE) & (F.col("size") <= MAX_RESOURCE_BYTES)
     texts = files.where(basename(F.col("path")) != "SKILL.md").withColumn("content", F.when(readable, F.col("content")))
     # A file belongs to every skill folder above it: its ancestors are few, so the join is on folders
     above = F.transform(F.sequence(F.lit(0), F.size(F.split("path", "/")) - 1), lambda k: F.array_join(F.slice(F.split("path", "/"), F.lit(1), k), "/"))
     held = texts.withColumn("folder", F.explode(above)).withColumnRenamed("path", "file")
-    resources = held.join(skill.select("repo", "folder", "path"), ["repo", "folder"]).select("path", F.when(F.col("folder") == "", F.col("file")).otherwise(F.substring(F.col("file"), F.length("folder") + 2, F.length("file"))).alias("resource"), "content")
+    resources = held.join(unsent(skill.select("repo", "folder", "path")), ["repo", "folder"]).select("path", F.when(F.col("folder") == "", F.col("file")).otherwise(F.substring(F.col("file"), F.length("folder") + 2, F.length("file"))).alias("resource"), "content")
     return skill.drop("folder"), refs, resources
 
 
@@ -191,7 +192,7 @@ def context_files(files: DataFrame, tokens=approximate_tokens) -> tuple[DataFram
     texts = masked(own.select("repo", "path", "folder", "raw"))
     listed = entries(files).withColumn("exists", F.lit(True))
     found = file_mentions(texts).select("repo", "path", "ref", "pos", "line", "sure", resolved(F.col("folder"), F.col("ref")).alias("entry"))
-    told = found.join(listed, ["repo", "entry"], "left").withColumn("exists", F.coalesce("exists", F.lit(False))).where("sure OR exists")
+    told = found.join(unsent(listed), ["repo", "entry"], "left").withColumn("exists", F.coalesce("exists", F.lit(False))).where("sure OR exists")
     file_refs = told.groupBy("path", "ref").agg(F.min_by("exists", "pos").alias("exists"), F.min_by("line", "pos").alias("line"))
     names = [(n, k, i) for k, own_names in MANIFESTS.items() for i, n in enumerate(own_names)]
     table = files.sparkSession.createDataFrame(names, "base string, kind string, rank int")
@@ -202,5 +203,5 @@ def context_files(files: DataFrame, tokens=approximate_tokens) -> tuple[DataFram
     first = F.min(F.struct("pos", "line")).alias("m")
     calls = commands(texts).groupBy("path", "command", *keys, "target").agg(first)
     known = F.col("targets").isNull() | F.array_contains("targets", F.col("target"))
-    command_refs = calls.join(manifest_targets(manifests), keys, "left").select("path", "command", known.alias("known"), F.col("m.line").alias("line"))
+    command_refs = calls.join(unsent(manifest_targets(manifests)), keys, "left").select("path", "command", known.alias("known"), F.col("m.line").alias("line"))
     return ctx, file_refs, command_refs
