@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # The white space of the rule language.
 SPACE_IN_CLASS = r"\s\x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACES = " \t\n\x0b\f\r\u00a0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 WORD_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 HIT = "array<struct<pos:int,line:int,match:string>>"
 
@@ -42,7 +43,8 @@ def regex(pattern: str, flags: str = "") -> str:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE_IN_CLASS}]+|[{SPACE_IN_CLASS}]+$", "")
+    """Without white space at both ends; a pattern for trailing white space would be tried anew at every space of the text."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def utf16_length(text: Column) -> Column:

@@ -1,12 +1,14 @@
 """Plans that hold at any size: rows derived from small files are neither sent through the driver nor left to one task."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from rubrica.config import Config
 from rubrica.functions import detectors as D
-from rubrica.functions.text import matches
+from rubrica.functions.text import SPACE_IN_CLASS, SPACES, matches, regex, trimmed
 from rubrica.operators import joins, mcp_rules
 from rubrica.plans import artifact_queries, eval_queries, queries
 from rubrica.sources.mcp import servers
@@ -67,3 +69,29 @@ def test_parts_are_dealt_to_tasks_and_not_sent_through_the_driver(spark, tmp_pat
     assert all("BroadcastExchange" not in plan_of(t) for t in servers(capture))
     files = artifact_queries.derived_files(spark, str(tmp_path))
     assert all("BroadcastExchange" not in plan_of(t) for t in skills(files))
+
+
+def test_trimming_takes_one_look_at_each_end(spark):
+    assert spark.range(1).where(~F.lit(SPACES).rlike(f"^[{SPACE_IN_CLASS}]{{{len(SPACES)}}}$")).count() == 0
+    whole = spark.createDataFrame([(chr(c),) for c in range(1, 0xD800)] + [(chr(c),) for c in range(0xE000, 0x10000)], "c string")
+    assert {r.c for r in whole.where(trimmed(F.concat(F.col("c"), F.lit("x"), F.col("c"))) == "x").collect()} == {*SPACES} == {r.c for r in whole.where(F.col("c").rlike(f"[{SPACE_IN_CLASS}]")).collect()}
+    began, gap = time.time(), 150000
+    rows = [("\u3000 a\u2028 b \u0085\t",), (" \ufeff",), ("a" + " " * gap + "b",), (None,)]
+    assert [r.t for r in spark.createDataFrame(rows, "t string").select(trimmed(F.col("t")).alias("t")).collect()] == ["a\u2028 b \u0085", "", rows[2][0], None]
+    assert time.time() - began < 10
+
+
+def test_texts_with_a_match_have_the_words_that_it_needs(spark):
+    said = "Use this first|use this tool instead|Before calling any Other tool|always CALL this first|instead of using any other tools|~/.SSH x|Id_rsa|(.Env|Credential|KEYCHAIN|.aws/x|/etc/passwd|Private  key|does stuff|A tool.|The tool that x|tool for|Given x|REQUIRES|must provide|nothing".split("|")
+    patterns = [*[(regex(p, "i"), w) for (_, p), w in zip([*mcp_rules.STEERING, *mcp_rules.SENSITIVE], [*mcp_rules.STEERING_WORDS, *mcp_rules.SENSITIVE_WORDS], strict=True)], (mcp_rules.PLACEHOLDER, [mcp_rules.PLACEHOLDER_WORDS]), (mcp_rules.IMPLIES_PARAMS, [mcp_rules.IMPLIES_WORDS]), (mcp_rules.MANDATORY, [mcp_rules.MANDATORY_WORDS])]
+    df = spark.createDataFrame([(t,) for t in said], "t string")
+    out = df.select(*[F.struct(F.col("t").rlike(p).alias("is"), D.holds(F.lower("t"), w).alias("has")).alias(f"p{i}") for i, (p, w) in enumerate(patterns)]).collect()
+    assert all(x["has"] for r in out for x in r if x["is"]) and not any(x["has"] for x in out[-1])
+    assert all(any(r[i]["is"] for r in out) for i in range(len(patterns)))
+
+
+def test_a_long_description_that_restates_its_name(spark):
+    rows = [("read_file", "Read file."), ("read_file", "\nREAD" + "- " * 300 + "File!"), ("read_file", "Read file and " + "word " * 300), ("o" * 210, "O" * 210), ("o" * 209, "O" * 210)]
+    df = spark.createDataFrame(rows, "name string, description string").withColumn("bare", trimmed(F.col("description"))).withColumns({"low": F.lower("bare"), "entry_valid": F.lit(True)})
+    told = df.select(F.exists(mcp_rules.tool_rules(Config())["MCP102"], lambda h: F.contains(h["message"], F.lit("restates"))).alias("x"))
+    assert [r.x for r in told.collect()] == [False, True, False, True, False]
