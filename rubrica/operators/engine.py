@@ -15,10 +15,10 @@ from rubrica.tables import table_of
 FINDING_COLUMNS = ["artifact_type", "path", "rule_id", "severity", "dimension", "message", "fix", "foundational", "file", "line", "tool_name", "meta"]
 
 
-def sort_key() -> Column:
-    """The order of an artifact's findings: rule, file, tool, line, message, by locale; missing ones first."""
+def sort_key(within_rule: bool = False) -> Column:
+    """The order of an artifact's findings: rule (but within a rule), file, tool, line, message, by locale; missing ones first."""
     name = lambda c: F.collate(F.coalesce(F.col(c), F.lit("")), "UNICODE")
-    return F.struct(name("rule_id").alias("r"), name("file").alias("f"), name("tool_name").alias("t"), F.coalesce("line", F.lit(0)).alias("l"), name("message").alias("m"))
+    return F.struct(*[] if within_rule else [name("rule_id").alias("r")], name("file").alias("f"), name("tool_name").alias("t"), F.coalesce("line", F.lit(0)).alias("l"), name("message").alias("m"))
 
 
 def to_findings(hits: DataFrame, config: Config | None = None) -> DataFrame:

@@ -89,6 +89,29 @@ def test_top_fixes_rank_by_gain(spark):
     assert capped.top_fixes == []  # either alone leaves the cap in place
 
 
+def test_a_rule_of_several_dimensions_is_left_out_of_all(spark):
+    found = [finding("SK102", message=str(i)) for i in range(4)] + [finding("SK102", message="t", dimension="token"), finding("SK202"), finding("SK202", "info", message="n")]
+    c = card(spark, found)
+    score = {"trigger": 100 - 5 * (1 + 0.5 + 0.25 + 0.1), "token": 100 - 5 - 5 * (1 + 0.5)}
+    assert {d.dimension: (d.score, d.findings) for d in c.dimensions if d.findings} == {"trigger": (score["trigger"], 4), "token": (score["token"], 3)}
+    first, second = c.top_fixes
+    assert (first.rule_id, first["count"], first.dimension, first.message, first.gain) == ("SK102", 5, "token", "t", 3.78)  # 0.3 * 9.25 + 0.2 * 5, half up
+    assert (second.rule_id, second["count"], second.severity, second.message, second.gain) == ("SK202", 2, "warn", "m", 1.5)
+    assert second.projected_composite == round(c.composite + 1.5, 2) and second.projected_grade == "A"
+
+
+def test_findings_are_grouped_without_what_follows_from_their_rule(spark, tmp_path):
+    """Sorted by path first and joined to the catalogue once grouped; texts are carried only for fixes, and several terms only where there are several findings."""
+    spark.createDataFrame([finding("SK102", message=m) for m in ("b", "a")] + [finding("SK401")], FINDING).write.parquet(f"{tmp_path}/f")
+    found = spark.read.parquet(f"{tmp_path}/f")
+    plan = scoring.rule_entries(found, texts=False)._jdf.queryExecution().optimizedPlan().toString()
+    grouped = next(line for line in plan.splitlines() if "Aggregate" in line)
+    assert grouped.split("Aggregate [")[1].startswith("path") and "multiplier" not in grouped and "security_cap" not in grouped and "fix" not in grouped
+    rows = {r.rule_id: r for r in scoring.rule_entries(found).collect()}
+    assert (rows["SK102"].n, rows["SK102"].message, rows["SK102"].each, rows["SK102"].terms, rows["SK102"].capping) == (2, "a", 5.0, [5.0, 2.5], False)
+    assert (rows["SK401"].n, rows["SK401"].each, rows["SK401"].terms, rows["SK401"].capping) == (1, 15.0, None, True)
+
+
 def test_rollup_and_gate(spark):
     cards = spark.createDataFrame([("r", "A", 95.0), ("r", "C", 74.0), ("q", "F", 10.0), ("s", "B", 84.0)], "repo string, grade string, composite double")
     assert {r.repo: r.overall for r in rollup.worst_grade(cards, "repo").collect()} == {"r": "C", "q": "F", "s": "B"}
