@@ -46,8 +46,9 @@ VERSION = "0.3.0"
 def card_documents(cards: DataFrame) -> DataFrame:
     """(path, card): each scorecard as a JSON document. How many findings a dimension has is in it; they themselves are documents of their own, so an artifact with very many makes no row of that size."""
     c = F.col
-    dims = F.transform("dimensions", lambda d: F.struct(d["dimension"].alias("dimension"), d["label"].alias("label"), d["score"].alias("score"), d["grade"].alias("grade"), d["weight"].alias("weight"), d["findings"].alias("findingCount")))
-    fixes = F.transform("top_fixes", lambda x: F.struct(x["rule_id"].alias("ruleId"), x["severity"].alias("severity"), x["dimension"].alias("dimension"), x["message"].alias("message"), x["fix"].alias("fix"), x["count"].alias("count"), x["gain"].alias("gain"), x["projected_composite"].alias("projectedComposite"), x["projected_grade"].alias("projectedGrade")))
+    # Casts to structs of other names: a transform would rebuild each struct outside generated code
+    dims = c("dimensions").cast("array<struct<dimension: string, label: string, score: double, grade: string, weight: double, findingCount: bigint>>")
+    fixes = c("top_fixes").cast("array<struct<ruleId: string, severity: string, dimension: string, message: string, fix: string, count: bigint, gain: double, projectedComposite: double, projectedGrade: string>>")
     stats = F.struct("tokens", c("rules_run").alias("rulesRun"), F.struct(c("n_error").alias("error"), c("n_warn").alias("warn"), c("n_info").alias("info")).alias("findings"))
     card = F.struct(
         F.lit(SCHEMA_VERSION).alias("schemaVersion"),

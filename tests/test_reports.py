@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import Row
 
@@ -20,3 +22,16 @@ def test_badges_and_rules():
     with pytest.raises(ValueError):
         R.badge("E")
     assert R.rules_document().count("\n| SK") == 27 and R.rules_document().count("\n| MCP") == 23
+
+
+def test_documents_of_cards_rename_without_lambdas(spark, tmp_path):
+    dims = [("security", "Security", 17.75, "F", 0.2, 1)]
+    fixes = [("SK401", "error", "security", "m", "Remove it.", 2, 4.5, 83.5, "B")]
+    schema = """artifact_type string, path string, name string, tokens long, rules_run int, dimensions array<struct<dimension:string,label:string,score:double,grade:string,weight:double,findings:long>>, composite double, composite_raw double, grade string, security_capped boolean,
+        foundational_capped boolean, n_error long, n_warn long, n_info long, top_fixes array<struct<rule_id:string,severity:string,dimension:string,message:string,fix:string,count:long,gain:double,projected_composite:double,projected_grade:string>>"""
+    spark.createDataFrame([("skill", "p", "n", 1, 27, dims, 79.0, 83.55, "C+", True, False, 1, 0, 0, fixes)], schema).write.parquet(f"{tmp_path}/c")
+    out = R.card_documents(spark.read.parquet(f"{tmp_path}/c"))
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    doc = json.loads(out.first().card)
+    assert doc["dimensions"] == [{"dimension": "security", "label": "Security", "score": 17.75, "grade": "F", "weight": 0.2, "findingCount": 1}]
+    assert doc["topFixes"] == [{"ruleId": "SK401", "severity": "error", "dimension": "security", "message": "m", "fix": "Remove it.", "count": 2, "gain": 4.5, "projectedComposite": 83.5, "projectedGrade": "B"}]
