@@ -38,11 +38,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/rubrica/{name}-{uuid.uuid4().hex}"
 
 
+#: Whether the files of a query's shuffles go when it is over; otherwise they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, once computed and cut from their lineage, as a Parquet table in the shared folder."""
+    """The rows of df, once computed and cut from their lineage, as a Parquet table in the shared folder; nothing of the shuffles that led to it stays on disk."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -128,3 +128,35 @@ def test_copies_are_dealt_over_all_tasks(spark, docs):
     met = J.meet(docs(rows).repartition(4), 4, 85, 100, 16, "doc_id", "text").where(F.col("kind") == J.ROW)
     sizes = [r["count"] for r in met.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert sum(sizes) == 4000 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_a_passage_in_common_makes_no_cluster():
+    """Texts that share some of their shingles, and link with nothing, meet in small groups at most, and tell no more parts than they need."""
+    rng, parts = np.random.default_rng(3), J.Parts(80, 100)
+    passage = rng.integers(0, (1 << 64) - 1, 40, np.uint64)
+    hashes, keys = [], []
+    for i in range(1500):
+        s = np.unique(np.concatenate([rng.choice(passage, 15, replace=False), rng.integers(0, (1 << 64) - 1, 235, np.uint64)]))
+        for f, x in parts.hashes(s):
+            assert len(x) <= len(s) // 4 + 1
+            hashes.append(x)
+            keys.append(np.full(len(x), i ^ J.band_mark(f), np.int64))
+    *_, pairs = J.forest(np.concatenate(hashes), np.concatenate(keys))
+    assert max(collections.Counter(pairs[:, 0].tolist()).values(), default=0) < 150
+
+
+def test_shuffles_leave_nothing_once_a_table_stands(spark):
+    import pathlib
+    import time
+
+    from rubrica.llm.common import forget, written
+
+    disk = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {p for d in disk for p in pathlib.Path(d).rglob("shuffle_*.data")}
+    before, told = files(), written(spark.range(100_000).repartition(5, "id"), "shuffled")
+    for _ in range(50):  # they go in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left and told.count() == 100_000
+    forget(told)
