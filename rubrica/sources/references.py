@@ -18,7 +18,11 @@ BUILTINS = "add audit bin cache config create dedupe dlx env exec global help i
 FENCE_MARK = regex(r"^\s*(```+|~~~+)")
 CODE_SPAN = r"`([^`\n]+)`"
 LINK = regex(r"\[[^\]]*\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)")
-BARE_WORD = regex(r"[^\s|()\[\]\"'`,;=]+")
+#: What ends a bare word. Letters and digits stand first in the classes, as most characters are told by them.
+ENDS_WORD = SPACE_IN_CLASS + r"""|()\[\]\"'`,;="""
+IN_WORD, IN_WORD_PLAIN = f"[a-zA-Z0-9[^{ENDS_WORD}]]", f"[a-zA-Z0-9[^{ENDS_WORD}./]]"
+#: A word that has a dot or slash, as all do that could name a file; it is looked for at the start of a word only, once.
+BARE_WORD = f"(?<!{IN_WORD}){IN_WORD_PLAIN}*+[./]{IN_WORD}*+"
 COMMAND = r"(?<![A-Za-z0-9_])(npm|pnpm|yarn|make|just)[ \t]+([A-Za-z0-9_:.-]+)(?:[ \t]+([A-Za-z0-9_:.-]+))?"
 ELSEWHERE = regex(r"\bcd\s+\S+\s*(?:&&|;)")
 HOST_SEGMENT = r"(?i)^[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}$"

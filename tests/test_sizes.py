@@ -12,6 +12,7 @@ from rubrica.functions.text import SPACE_IN_CLASS, SPACES, matches, regex, trimm
 from rubrica.operators import joins, mcp_rules
 from rubrica.plans import artifact_queries, eval_queries, queries
 from rubrica.sources.mcp import servers
+from rubrica.sources.references import BARE_WORD
 from rubrica.sources.trees import skills
 
 
@@ -95,3 +96,19 @@ def test_a_long_description_that_restates_its_name(spark):
     df = spark.createDataFrame(rows, "name string, description string").withColumn("bare", trimmed(F.col("description"))).withColumns({"low": F.lower("bare"), "entry_valid": F.lit(True)})
     told = df.select(F.exists(mcp_rules.tool_rules(Config())["MCP102"], lambda h: F.contains(h["message"], F.lit("restates"))).alias("x"))
     assert [r.x for r in told.collect()] == [False, True, False, True, False]
+
+
+def test_bare_words_are_those_with_a_dot_or_slash(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("ab1é日_-:./ \n\t  |()[]\"'`,;=", k=rng.randint(0, 30))) for _ in range(3000)] + ["", "a.b", "x" * 30 + "/y."]
+    words = F.filter(matches(F.col("t"), regex(r"[^\s|()\[\]\"'`,;=]+")), lambda m: m["match"].rlike("[./]"))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(matches(F.col("t"), BARE_WORD).alias("got"), words.alias("want"))
+    assert df.where("got <> want").count() == 0 and df.where("size(got) > 1").count() > 500
+
+
+def test_a_long_word_is_looked_at_once(spark):
+    """Forty texts of one word each, ten million characters, where a word looked for at each of its places would take 10^12 steps."""
+    began = time.time()
+    df = spark.range(40).select(F.concat(F.repeat(F.lit("word"), 62_500), F.lit(" src/a.ts")).alias("t"))
+    assert {len(r.m) for r in df.select(matches(F.col("t"), BARE_WORD).alias("m")).collect()} == {1}
+    assert time.time() - began < 15
