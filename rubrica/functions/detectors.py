@@ -81,13 +81,17 @@ def any_word(text: Column, words: tuple[str, ...]) -> Column:
 def scan(text: Column, patterns: list[tuple[str, str]], needed: list[list[tuple[str, ...]]]) -> Column:
     """Hits of all patterns in order of place, then of pattern; those of exempt kinds only outside closed fences. A pattern searches only texts with the words it needs."""
     fences = F.transform(matches(text, FENCE), lambda f: F.struct(f["pos"].alias("a"), (f["pos"] + F.length(f["match"])).alias("b")))
-    low, out = F.lower(text), []
-    for (kind, p), words in zip(patterns, needed, strict=True):
-        hits = matches(text, regex(p, "i"))
-        if kind in FENCE_EXEMPT:
-            hits = F.filter(hits, lambda h: ~F.exists(fences, lambda f: (h["pos"] >= f["a"]) & (h["pos"] < f["b"])))
-        out.append(F.when(holds(low, words), tagged(kind, hits)).otherwise(F.array().cast(FOUND)))
-    placed = F.array_sort(F.transform(F.concat(*out), lambda h, i: F.struct(h["pos"].alias("pos"), i.alias("i"), h.alias("h"))))
+
+    def found(low: Column) -> Column:
+        out = []
+        for (kind, p), words in zip(patterns, needed, strict=True):
+            hits = matches(text, regex(p, "i"))
+            if kind in FENCE_EXEMPT:
+                hits = F.filter(hits, lambda h: ~F.exists(fences, lambda f: (h["pos"] >= f["a"]) & (h["pos"] < f["b"])))
+            out.append(F.when(holds(low, words), tagged(kind, hits)).otherwise(F.array().cast(FOUND)))
+        return F.concat(*out)
+
+    placed = F.array_sort(F.transform(let(F.lower(text), found), lambda h, i: F.struct(h["pos"].alias("pos"), i.alias("i"), h.alias("h"))))
     return F.transform(placed, lambda x: x["h"])
 
 

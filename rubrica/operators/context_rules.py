@@ -29,7 +29,7 @@ def normal_heading(t: Column) -> Column:
 
 def absolutes(ctx: DataFrame) -> DataFrame:
     """(path, positive, words, own: place, phrase and line) of each "always ..." or "never ..." phrase; every token counts. Of phrases with the same tokens the first stands for all."""
-    found = ctx.where(F.col("raw").rlike(ABSOLUTE)).select("path", F.explode(matches(F.col("raw"), ABSOLUTE)).alias("h"))
+    found = ctx.where(D.any_word(F.lower("raw"), ("always", "never")) & F.col("raw").rlike(ABSOLUTE)).select("path", F.explode(matches(F.col("raw"), ABSOLUTE)).alias("h"))
     first, rest = F.regexp_extract("h.match", ABSOLUTE, 1), F.regexp_extract("h.match", ABSOLUTE, 2)
     told = found.select("path", (F.lower(first) == "always").alias("positive"), F.split(F.lower(rest), "[ \t]+").alias("words"), F.struct("h.pos", F.concat(first, F.lit(" "), rest).alias("phrase"), "h.line").alias("own"))
     return told.groupBy("path", "positive", "words").agg(F.min("own").alias("own"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rubrica.config import Config
 from rubrica.functions import detectors as D
-from rubrica.functions.text import SPACE_IN_CLASS, fenced_blocks, filled_lines, matches, mostly_english, regex, trimmed, utf16_length, word_count, word_set
+from rubrica.functions.text import SPACE_IN_CLASS, fenced_blocks, filled_lines, let, matches, mostly_english, regex, trimmed, utf16_length, word_count, word_set
 from rubrica.operators.catalog import active
 from rubrica.operators.hits import built_once, by_row, hit, none, rows, text, when
 from rubrica.operators.joins import alike_sets, opposed
@@ -25,6 +25,8 @@ KNOWN_KEYS = ["name", "description", "version", "license", "metadata", "allowed-
 MAX_NAME = 64
 KEBAB = "^[a-z0-9]+(-[a-z0-9]+)*$"
 ABSOLUTE_PATH = regex(r"/(?:Users|home|var|etc|tmp|opt)/[^\s\"'`)\],;]+|\b[A-Za-z]:\\[^\s\"'`)\],;]+")
+#: What each absolute path has one of.
+ABSOLUTE_PATH_WORDS = ("/Users/", "/home/", "/var/", "/etc/", "/tmp/", "/opt/", ":\\")
 PLACEHOLDERS = [regex(p, "i") for p in (r"^(?:todo|tbd|fixme|xxx)\b", r"^description (?:goes )?here\b", r"^does stuff\b", r"^a skill(?: for [\w\s-]{0,24})?[.!]?$")]
 USAGE = regex(r"\buse\s+when\b|\buse\s+this\b|\btrigger\b|\bfor\s+tasks\b|\binvoke\s+when\b|\bapplies\s+when\b|\bwhen\s+the\s+user\b", "i")
 VERBS = "analyze annotate archive audit build classify clean compile compress configure convert copy create debug decode decrypt delete deploy diff download edit encode encrypt export extract fetch fill filter flatten format generate import index inspect install lint list merge migrate monitor optimize parse patch plot publish query read redact refactor rename render resize run scan schedule scrape search send sign sort split summarize sync transcribe transform translate update upload validate verify write".split()
@@ -72,7 +74,7 @@ def body_line(line: Column) -> Column:
 
 def claims(skill: DataFrame) -> DataFrame:
     """(path, positive, words, own: the words as text and their line) of each "always ..." or "never ..." phrase of a body: function words and a general leading verb are left out."""
-    found = skill.where((F.col("body") != "") & F.col("body").rlike(MODIFIER)).select("path", "body_start_line", F.explode(matches(F.col("body"), MODIFIER)).alias("h"))
+    found = skill.where((F.col("body") != "") & D.any_word(F.col("body"), ("lways", "ever")) & F.col("body").rlike(MODIFIER)).select("path", "body_start_line", F.explode(matches(F.col("body"), MODIFIER)).alias("h"))
     words = F.filter(F.split(F.replace(F.lower(F.regexp_extract("h.match", MODIFIER, 2)), F.lit("`"), F.lit("")), "[ \t]+"), lambda w: (w != "") & ~w.isin(STOPWORDS))
     words = F.when(F.get(words, F.lit(0)).isin(LEAD_VERBS), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
     told = found.select("path", (F.lower(F.regexp_extract("h.match", MODIFIER, 1)) == "always").alias("positive"), words.alias("words"), body_line(F.col("h.line")).alias("line")).where(F.size("words") > 0).distinct()
@@ -109,7 +111,8 @@ def row_rules(config: Config) -> dict[str, Column]:
     folder = F.element_at(F.filter(F.split(F.col("skill_file_path"), r"[\\/]", -1), lambda s: s != ""), F.lit(-2))
     long = filled_lines(body) > MIN_LINES
     english = desc.isNotNull() & (word_count(desc) >= MIN_WORDS) & mostly_english(desc)
-    verbs = F.filter(F.array(*map(F.lit, VERBS)), lambda v: F.regexp_like(F.lower(desc), F.concat(F.lit(r"(?<![A-Za-z0-9_])"), v, F.lit(r"(?:s|es|ed|ing)?(?![A-Za-z0-9_])"))))
+    # A pattern made of a row's value is compiled anew each time, so only for the verbs that are there
+    verbs = let(F.lower(desc), lambda low: F.filter(F.array(*map(F.lit, VERBS)), lambda v: F.contains(low, v) & F.regexp_like(low, F.concat(F.lit(r"(?<![A-Za-z0-9_])"), v, F.lit(r"(?:s|es|ed|ing)?(?![A-Za-z0-9_])")))))
     short = utf16_length(desc) < b.descriptionMinChars
     placeholder = F.coalesce(*[F.nullif(F.regexp_extract(desc, p, 0), F.lit("")) for p in PLACEHOLDERS])
     lines = F.split(body, "\n", -1)
@@ -132,7 +135,7 @@ def row_rules(config: Config) -> dict[str, Column]:
             ),
         ).otherwise(none()),
         "SK004": F.when(F.col("fm_json").isNotNull(), F.transform(F.filter(F.coalesce(F.json_object_keys("fm_json"), F.array().cast("array<string>")), lambda k: ~k.isin(KNOWN_KEYS)), lambda k: hit(text('unknown frontmatter key "', k, '"'), file=FILE, line=front_line(k)))).otherwise(none()),
-        "SK006": F.when(has_body, F.transform(paths, lambda h: hit(text('absolute local path "', h["match"], '" will not resolve on other machines'), file=FILE, line=body_line(h["line"])))).otherwise(none()),
+        "SK006": F.when(has_body & D.any_word(body, ABSOLUTE_PATH_WORDS), F.transform(paths, lambda h: hit(text('absolute local path "', h["match"], '" will not resolve on other machines'), file=FILE, line=body_line(h["line"])))).otherwise(none()),
         "SK101": F.when(desc.isNull(), none()).when(short, F.array(hit(text("description is ", utf16_length(desc), f" chars (minimum {b.descriptionMinChars:g})")))).otherwise(when(placeholder.isNotNull(), hit(text('description contains placeholder text "', placeholder, '"')))),
         "SK102": when(utf16_length(desc) > b.descriptionMaxChars, hit(text("description is ", utf16_length(desc), f" chars (budget {b.descriptionMaxChars:g})"))),
         "SK103": when(english & ~desc.rlike(USAGE), hit('description never says when to use the skill (no "use when", "for tasks", "when the user", or similar)')),

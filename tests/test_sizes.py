@@ -9,7 +9,7 @@ import __spark_entry__
 from rubrica.config import Config
 from rubrica.functions import detectors as D
 from rubrica.functions.text import SPACE_IN_CLASS, SPACES, matches, regex, trimmed
-from rubrica.operators import joins, mcp_rules
+from rubrica.operators import joins, mcp_rules, skill_rules
 from rubrica.plans import artifact_queries, eval_queries, queries
 from rubrica.sources.mcp import servers
 from rubrica.sources.references import BARE_WORD
@@ -112,3 +112,16 @@ def test_a_long_word_is_looked_at_once(spark):
     df = spark.range(40).select(F.concat(F.repeat(F.lit("word"), 62_500), F.lit(" src/a.ts")).alias("t"))
     assert {len(r.m) for r in df.select(matches(F.col("t"), BARE_WORD).alias("m")).collect()} == {1}
     assert time.time() - began < 15
+
+
+def test_texts_are_lowered_once_and_patterns_made_for_the_verbs_that_are_there(spark):
+    one = spark.createDataFrame([("x", "x")], "t string, desc string").select(D.injection_phrases(F.col("t")).alias("t"))
+    assert one._jdf.queryExecution().analyzed().toString().count("lower(") == 1
+    texts = ["Validates and converts, reading none.", "Buildings rebuilt; PLOTTED, plots", "", "re-render un-sort xmerge"]
+    skill = spark.createDataFrame([(t,) for t in [*texts, None]], "desc string")
+    rule = skill_rules.row_rules(Config())["SK104"]
+    cols = {c: F.lit(None).cast(k) for c, k in (("name_", "string"), ("body", "string"), ("raw", "string"))}
+    long = skill.withColumns(cols).withColumn("desc", F.concat("desc", F.lit(" of the pages one and two in a place")))
+    plan = long.select(F.size(rule).alias("n"), F.get(rule, F.lit(0))["message"].alias("m"))
+    assert "contains(" in plan._jdf.queryExecution().analyzed().toString().lower()
+    assert [r.n for r in plan.collect()] == [0, 1, 1, 0, 0]
