@@ -118,3 +118,23 @@ def test_the_cap_and_an_empty_table(spark):
     assert got["cheap"][3] is None and got["dear"][3].startswith("estimated eval cost $0.0") and got["dear"][3].endswith("exceeds eval.maxUSD ($0.05)")
     none = E.evaluate(skills(spark, []), CORPUS, BANK, judge(spark, rows, lambda p, i: True), "m", 1.0, 5.0, 0.05)
     assert none.results.count() == 0 and none.asked.count() == 0
+
+
+def test_replies_and_scenarios_are_worked_out_once(spark, tmp_path):
+    from rubrica.plans import eval_queries
+
+    spark.createDataFrame([(i, "red bolt") for i in range(20)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(i, f"NATION_{i}") for i in range(25)], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    said = eval_queries.recorded_replies(spark, str(tmp_path))
+    plan = said._jdf.queryExecution().optimizedPlan().toString()
+    assert "part.parquet" not in str(said.inputFiles()) and "Join" not in plan
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(reply):
+        met.add(1)
+        return reply
+
+    plan = E.scenarios(eval_queries.part_skills(spark, str(tmp_path)), *eval_queries.nations(spark, str(tmp_path)), eval_queries.MODEL)
+    n, out = said.count(), E.answered(plan, said.withColumn("reply", seen.asNondeterministic()("reply")))
+    assert out.where("size(responses) = 16").count() == 18 and met.value == n
